@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import imatch, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op10_fingerprints": imatch.op10_fingerprints,
 }
 ORACLE = {
     "op1_url_filters": url_filter.SQL,
