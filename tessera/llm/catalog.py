@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import imatch, url_filter
+from . import bpe, html_text, imatch, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op4_html_extraction": html_text.op4_html_extraction,
+    "op5_bpe": bpe.op5_bpe,
+    "op8_warc": warc.op8_warc,
     "op10_fingerprints": imatch.op10_fingerprints,
 }
 ORACLE = {
     "op1_url_filters": url_filter.SQL,
+    "op8_warc": warc.SQL,
 }
