@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, imatch, url_filter, warc
+from . import bpe, decontaminate, html_text, imatch, language, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_bpe": bpe.op5_bpe,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op8_warc": warc.op8_warc,
+    "op9_language_id": language.op9_language_id,
     "op10_fingerprints": imatch.op10_fingerprints,
 }
 ORACLE = {
     "op1_url_filters": url_filter.SQL,
+    "op6_decontamination": decontaminate.SQL,
     "op8_warc": warc.SQL,
 }
