@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, imatch, language, url_filter, warc
+from . import bpe, decontaminate, html_text, imatch, jaccard_join, language, ngram_lm, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_lm_scoring": ngram_lm.op7_lm_scoring,
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
     "op10_fingerprints": imatch.op10_fingerprints,

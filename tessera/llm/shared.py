@@ -41,3 +41,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def keyed_blocks(n_bytes: int, target: int, least: int = 1) -> int:
     """How many blocks of about ``target`` bytes hold ``n_bytes``."""
     return max(least, -(-int(n_bytes or 0) // target))
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """Connected components of the columns a and b: a row (node, label) for each node that has an edge; label is the least node.
+
+    Labels spread along edges and by pointer jumping, a written table a round, until none changes; the number of rounds is about the
+    logarithm of the longest path. Nothing but the count of changes reaches the driver.
+    """
+    both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).toDF("a", "b").distinct(), f"{name}-edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-labels")
+    while True:
+        near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
+        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
+        new = step.join(jump, "low", "left").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("changed"))
+        new = stored(new, f"{name}-labels")
+        labels = new.select("node", "label")
+        if new.where("changed").isEmpty():
+            return labels
