@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, imatch, jaccard_join, language, ngram_lm, url_filter, warc
+from . import bpe, decontaminate, html_text, imatch, jaccard_join, language, ngram_lm, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontaminate.op6_decontamination,
