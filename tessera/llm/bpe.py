@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import textbytes as tb
 
@@ -238,5 +239,23 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenise(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """The columns ``keep``, n_tokens, ids (array of int) and exact: whether the ids decode to the very text."""
+    path = vocabulary or default_vocabulary()
+    rows = docs.select(*keep, F.col(text_col).alias("_t"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(path)
+        for b in batches:
+            for part, ids in encoded_batch(coder, b, "_t"):
+                texts = part.column(len(keep)).to_pylist()
+                yield pa.RecordBatch.from_arrays([
+                    *part.columns[: len(keep)], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                    pa.array([coder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())], names=[*keep, "n_tokens", "ids", "exact"])
+
+    return rows.mapInArrow(work, schema + ", n_tokens long, ids array<int>, exact boolean")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
