@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import catalog_data, catalog_rank, catalog_signal, catalog_stats
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+MODULES = (catalog_rank, catalog_data, catalog_signal, catalog_stats)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
+flagship = QUERIES["per_query_metrics"]
