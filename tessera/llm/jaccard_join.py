@@ -32,6 +32,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL, SIGNATURE = 24, 6, 0.9999, 120
 #: Most members of a bucket in one task, and of each of the two blocks of a tile.
 BUCKET, TILE = 2048, 2048
+#: Trees whose buckets are joined first.
+FIRST_TREES = 4
 #: A guess of a similarity s from the signature is off by less than this, but for about one in a million.
 SLACK = 0.18
 
@@ -124,55 +126,93 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
 
 
 def _pivot_round(members: DataFrame, near: float, apart: float) -> DataFrame:
-    """In each (bucket, part): edges member - pivot (b null for a pivot itself). Members at ``apart`` or more leave with their pivot."""
+    """In each (bucket, part): edges member - pivot that join two of the groups ``comp`` known so far, and, for buckets that are split,
+    the pivots (b null). Members at ``apart`` or more leave with their pivot."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, _), (digests, signs) in _groups(batches, 2):
+        for (bucket, _), (digests, signs, comps, split) in _groups(batches, 2):
+            if not split[0] and len(set(comps)) == 1:
+                continue
             own = np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1)
             left = np.array(sorted(range(len(digests)), key=lambda k: digests[k]))
+            _, group = np.unique(np.array(comps, dtype=object), return_inverse=True)
             edges, pivots = [], []
             while len(left):
                 pivot = left[0]
                 like = (own[left] == own[pivot]).mean(1)
-                edges += [(digests[k], digests[pivot]) for k in left[like >= near].tolist() if k != pivot]
+                taken = left[like >= near]
+                groups, first = np.unique(group[taken], return_index=True)
+                for g, k in zip(groups.tolist(), taken[first].tolist(), strict=True):
+                    if g != group[pivot]:
+                        edges.append((digests[k], digests[pivot]))
+                        group[group == g] = group[pivot]
                 pivots.append(int(pivot))
-                left = left[like < apart]
-            out = [(bucket, a, b, None) for a, b in edges] + [(bucket, digests[k], None, signs[k]) for k in pivots]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "a", "b", "sign"])
+                left = left[1:][like[1:] < apart]
+            out = [(bucket, a, b, None, None) for a, b in edges] + [(bucket, digests[k], None, signs[k], comps[k]) for k in pivots if split[0]]
+            if out:
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "a", "b", "sign", "comp"])
+
+    dealt = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "digest", "sign", "comp", "split")
+    return dealt.mapInArrow(work, "bucket long, a binary, b binary, sign binary, comp binary")
+
+
+def _joined(members: DataFrame, near: float, apart: float, wide: float) -> DataFrame:
+    """Edges (a, b) of all buckets, split ones in as many rounds as their pivots need."""
+    found = stored(_pivot_round(members, near, apart), "jaccard-pivots")
+    edges = found.where("b is not null").select("a", "b")
+    rounds = 0
+    pivots = found.where("b is null")
+    while not pivots.isEmpty():
+        rounds += 1
+        pivots = pivots.select("bucket", F.col("a").alias("digest"), "sign", "comp")
+        count = pivots.groupBy("bucket").agg(F.count("*").alias("m"))
+        parts = pivots.join(count, "bucket").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(rounds)), F.ceil(F.col("m") / BUCKET))).withColumn("split", F.col("m") > BUCKET)
+        before = pivots.count()
+        found = stored(_pivot_round(parts, wide, max(wide, 0.5)), "jaccard-pivots")
+        edges = edges.union(found.where("b is not null").select("a", "b"))
+        pivots = found.where("b is null")
+        if pivots.count() >= before:  # pivots that nothing joins, too many for a task: all buckets' parts meet, pair by pair
+            edges = edges.union(_part_pairs(pivots, wide))
+            break
+    return edges
 
-    dealt = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "digest", "sign")
-    return dealt.mapInArrow(work, "bucket long, a binary, b binary, sign binary")
+
+def _part_pairs(pivots: DataFrame, wide: float) -> DataFrame:
+    """Edges between pivots that are too many for a task: blocks of them meet two by two."""
+    rows = pivots.select("bucket", F.col("a").alias("digest"), "sign", "comp")
+    count = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("n"))
+    rows = rows.join(count, "bucket").withColumn("own", F.pmod(F.xxhash64("digest", F.lit(-1)), F.col("n")).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.withColumn("part", F.least("own", "k") * F.col("n").cast("long") + F.greatest("own", "k")).withColumn("split", F.lit(False))
+    return stored(_pivot_round(rows, wide, 2.0), "jaccard-pivots").select("a", "b")
 
 
 def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Groups (digest, comp) such that pairs at the threshold that share a prefix are in one."""
-    rows = reps.where("n > 0").select("digest", F.explode("keys").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("who")).where("m > 1")
+    rows = reps.where("n > 0").select("digest", F.posexplode("keys").alias("tree", "bucket"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("tree").alias("tree"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("who")).where("m > 1")
     # Buckets with the same members: one of them is enough.
-    buckets = buckets.groupBy("m", "who").agg(F.min("bucket").alias("bucket"))
-    members = rows.join(buckets.select("bucket", "m"), "bucket")
+    buckets = buckets.groupBy("m", "who").agg(F.min(F.struct("tree", "bucket")).alias("b")).select("m", "b.tree", "b.bucket")
+    members = rows.drop("tree").join(buckets, "bucket")
     members = stored(members.join(reps.select("digest", "sign"), "digest").select(
-        "bucket", "digest", "sign", F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BUCKET)).alias("part"), "m"), "jaccard-members")
+        "tree", "bucket", "digest", "sign", F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BUCKET)).alias("part"), (F.col("m") > BUCKET).alias("split")), "jaccard-members")
     # d(x, y) <= 1 - t: if x leaves with pivot p, d(x, p) <= 1 - apart, y must be taken by p as well.
     apart = threshold - 0.1
     near = 1 - ((1 - threshold) + (1 - apart)) - SLACK / 2
-    found = [stored(_pivot_round(members, near, apart), "jaccard-pivots")]
     # The pivots of split buckets: y left with q, x with p; d(p, q) <= 2 (1 - apart) + 1 - t.
     wide = max(0.0, 1 - (2 * (1 - apart) + 1 - threshold) - SLACK / 2)
-    split = members.where(F.col("m") > BUCKET).select("bucket").distinct()
-    left = split.count()
-    while left:
-        pivots = found[-1].where("b is null").join(split, "bucket").select("bucket", F.col("a").alias("digest"), "sign")
-        count = pivots.groupBy("bucket").agg(F.count("*").alias("m"))
-        parts = pivots.join(count, "bucket").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(len(found))), F.ceil(F.col("m") / BUCKET)))
-        found.append(stored(_pivot_round(parts, wide, max(wide, 0.5)), "jaccard-pivots"))
-        split = count.where(F.col("m") > BUCKET).select("bucket")
-        now = split.count()
-        left = now if now < left or len(found) < 4 else 0
-    edges = found[0].where("b is not null").select("a", "b")
-    for f in found[1:]:
-        edges = edges.union(f.where("b is not null").select("a", "b"))
-    return components(edges, "jaccard-groups").toDF("digest", "comp")
+    # The first trees join most of what there is; the others only add what joins two groups.
+    first = members.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("digest"))
+    known = components(_joined(first, near, apart, wide), "jaccard-first").toDF("digest", "comp")
+    later = members.where(F.col("tree") >= FIRST_TREES).join(known, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    more = _joined(later, near, apart, wide)
+    label = known.toDF("node", "label")
+    more = more.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(more, "jaccard-groups").toDF("comp", "final")
+    # Nodes of the first groups, and those that only later edges reach.
+    every = known.union(merged.select(F.col("comp").alias("digest"), F.col("comp")).join(known.select("digest"), "digest", "left_anti")).toDF("digest", "comp")
+    return every.join(merged, "comp", "left").select("digest", F.coalesce("final", "comp").alias("comp"))
 
 
 def overlaps(sets: list[np.ndarray], split: int | None) -> np.ndarray:

@@ -30,7 +30,9 @@ from .shared import stored, work_path
 from .warc import _filesystem
 
 #: Bytes of a repeated string; of an anchor's hash; most distinct contexts of a hash that meet in a task; bytes in a suffix array; in a block.
-LENGTH, GRAM, HOT, ARRAY_BYTES, BLOCK_BYTES = 200, 32, 4096, 1 << 20, 4 << 20
+LENGTH, GRAM, HOT, ARRAY_BYTES, BLOCK_BYTES = 200, 32, 4096, 256 << 10, 4 << 20
+#: Bytes of text that are worked on at a time.
+CACHE_BYTES = 128 << 10
 #: Places within a text are told apart by so many bits when hashes are equal.
 _PLACE_BITS = 28
 
@@ -68,6 +70,18 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     return place[first], hashes[place[first]], starts[first], starts[last]
 
 
+def block_anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The anchors of a block, worked out for a few documents at a time, so that the tables fit the processor's cache."""
+    parts, start, n = [], 0, len(offsets) - 1
+    while start < n:
+        stop = min(max(int(np.searchsorted(offsets, offsets[start] + CACHE_BYTES, "right")) - 1, start + 1), n)
+        lo, hi = offsets[start], offsets[stop]
+        place, hashes, first, last = anchors(raw[lo:hi], offsets[start : stop + 1] - lo, length, gram)
+        parts.append((place + lo, hashes, first + lo, last + lo))
+        start = stop
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else anchors(raw, offsets, length, gram)
+
+
 def suffix_order(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at ``starts`` in the order of their first ``length`` bytes, ties by place; and whether each has the same
     ``length`` bytes as the one before it. By prefix doubling over all places, from 8 bytes on."""
@@ -140,6 +154,15 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordB
         yield pa.concat_batches(held)
 
 
+def _single(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Row batches with one value of the column each: all its neighbouring rows."""
+    for b in _runs(batches, column):
+        keys = b.column(column).to_numpy()
+        edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for i, j in zip(edge, edge[1:], strict=False):
+            yield b.slice(i, j - i)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "first", columns: list[str] | None = None,
           length: int = LENGTH, gram: int = GRAM, hot: int = HOT, cleaned: bool = True) -> DataFrame:
     """Removes the bytes of repeated strings of ``length`` bytes, judged on the input, and never across documents.
@@ -166,37 +189,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 head = part.select(list(range(len(columns))))
                 with pa.ipc.new_stream(sink := pa.BufferOutputStream(), head.schema) as out:
                     out.write_batch(head)
-                ids = part.column(len(columns))
-                _put(f"{folder}/{block}", raw=raw, offsets=offsets, head=np.frombuffer(sink.getvalue(), np.uint8),
-                     ids=ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64))
+                ids = part.column(len(columns)).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
+                _put(f"{folder}/{block}", raw=raw, offsets=offsets, head=np.frombuffer(sink.getvalue(), np.uint8))
+                place, hashes, first, last = block_anchors(raw, offsets, length, gram)
+                data, ahead = raw.tobytes(), place - first
+                context = [xxhash.xxh3_64_intdigest(data[i : j + length], seed=k) for i, j, k in zip(first.tolist(), last.tolist(), ahead.tolist(), strict=True)]
+                owner = np.searchsorted(offsets, place, "right") - 1
+                _put(f"{folder}/{block}.anchors", key=hashes, ctx=np.array(context, np.uint64), owner=owner.astype(np.uint32), ids=ids,
+                     p=place.astype(np.int32), a=ahead.astype(np.int16), w=(last - first + 1).astype(np.int16))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
 
     blocks = stored(rows.mapInArrow(cut_blocks, "block long"), "suffix-blocks")
     n_blocks = max(1, blocks.count())
     each = blocks.repartition(n_blocks)  # a task for each block
 
-    def block_anchors(block: int):
-        x = _get(f"{folder}/{block}")
-        raw, offsets = x["raw"], x["offsets"]
-        return raw, offsets, x["ids"], *anchors(raw, offsets, length, gram)
-
     def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in b.column(0).to_pylist():
-                hashes = block_anchors(block)[4]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(_get(f"{folder}/{block}.anchors")["key"].view(np.int64))], names=["key"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in b.column(0).to_pylist():
-                raw, offsets, ids, p, hashes, first, last = block_anchors(block)
-                data = raw.tobytes()
-                ahead = p - first
-                context = [xxhash.xxh3_64_intdigest(data[i : j + length], seed=k) - 2**63 for i, j, k in zip(first.tolist(), last.tolist(), ahead.tolist(), strict=True)]
-                owner = ids[np.searchsorted(offsets, p, "right") - 1] if len(p) else ids[:0]
+                x = _get(f"{folder}/{block}.anchors")
+                key, p = x["key"].view(np.int64), x["p"]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes.view(np.int64)), pa.array(context, pa.int64()), pa.array(owner, pa.int64()), pa.array(np.full(len(p), block), pa.int64()),
-                    pa.array(p, pa.int32()), pa.array(ahead, pa.int16()), pa.array(last - first + 1, pa.int16())], names=["key", "ctx", "d", "block", "p", "a", "w"])
+                    pa.array(key), pa.array(x["ctx"].view(np.int64)), pa.array(x["ids"][x["owner"]]), pa.array(np.full(len(p), block)),
+                    pa.array(p), pa.array(x["a"]), pa.array(x["w"])], names=["key", "ctx", "d", "block", "p", "a", "w"])
 
     often = each.mapInArrow(only_keys, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     kept = stored(each.mapInArrow(whole, "key long, ctx long, d long, block long, p int, a short, w short").join(often, "key", "left_semi"), "suffix-anchors")
@@ -206,7 +225,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     several = stored(distinct.join(meets, "key").select("key", "ctx", "at.*", "m"), "suffix-several")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, 3):
+        for b in _single(batches, 3):
             data = _get(f"{folder}/{b.column(3)[0].as_py()}")["raw"].tobytes()
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
@@ -282,7 +301,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, 0):
+        for b in _single(batches, 0):
             x = _get(f"{folder}/{b.column(0)[0].as_py()}")
             raw, offsets = x["raw"], x["offsets"]
             head = pa.ipc.open_stream(x["head"].tobytes()).read_all().combine_chunks().to_batches()
