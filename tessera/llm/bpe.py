@@ -155,10 +155,7 @@ def cut_places(raw: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) ->
     """Where the rolling hash cuts: character borders strictly inside documents."""
     if len(raw) <= WINDOW:
         return np.zeros(0, np.int64)
-    sums = tb.prefix_sums(raw)
-    ends = np.arange(WINDOW, len(raw))
-    hashes = tb.span_hashes(sums, ends - WINDOW, ends)
-    cuts = ends[(hashes & np.uint64((1 << bits) - 1)) == 0]
+    cuts = WINDOW + np.flatnonzero((tb.gram_hashes(raw, WINDOW)[:-1] & np.uint64((1 << bits) - 1)) == 0)
     while len(move := np.flatnonzero((cuts < len(raw)) & ((raw[np.minimum(cuts, len(raw) - 1)] & 0xC0) == 0x80))):
         cuts[move] += 1
     cuts = np.unique(cuts)

@@ -32,7 +32,7 @@ from .warc import _filesystem
 #: Bytes of a repeated string; of an anchor's hash; most distinct contexts of a hash that meet in a task; bytes in a suffix array; in a block.
 LENGTH, GRAM, HOT, ARRAY_BYTES, BLOCK_BYTES = 200, 32, 4096, 256 << 10, 4 << 20
 #: Bytes of text that are worked on at a time.
-CACHE_BYTES = 128 << 10
+CACHE_BYTES = 1 << 20
 #: Places within a text are told apart by so many bits when hashes are equal.
 _PLACE_BITS = 28
 
@@ -43,11 +43,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     n = len(raw)
     if n < length:
         return none
-    sums = tb.prefix_sums(raw)
-    at = np.arange(n - gram + 1)
-    hashes = tb.span_hashes(sums, at, at + gram)
+    hashes = tb.gram_hashes(raw, gram)
     mask = np.uint64((1 << _PLACE_BITS) - 1)
-    key = (hashes & ~mask) | (mask - (at.astype(np.uint64) & mask))
+    key = (hashes & ~mask) | (mask - (np.arange(len(hashes), dtype=np.uint64) & mask))
     width = length - gram + 1
     m = len(key)
     padded = np.full(-(-m // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -56,10 +54,10 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     ahead = np.minimum.accumulate(table, axis=1).ravel()
     back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = np.arange(m - width + 1)
-    least = np.minimum(back[starts], ahead[starts + width - 1])
+    least = np.minimum(back[: m - width + 1], ahead[width - 1 : m])
     place = (mask - (least & mask)).astype(np.int64)
     place += (starts - place + int(mask)) >> _PLACE_BITS << _PLACE_BITS
-    doc = np.searchsorted(offsets, starts, "right")
+    doc = np.repeat(np.arange(1, len(offsets)), np.diff(offsets))[: len(starts)]
     ok = starts + length <= offsets[doc]
     starts, place, doc = starts[ok], place[ok], doc[ok]
     if not len(starts):

@@ -95,3 +95,10 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte spans that don't depend on where the span stands."""
     inverse = _power_table(_INVERSE, len(sums))
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of the ``gram`` bytes from each place on."""
+    sums = prefix_sums(raw)
+    n = len(raw) - gram + 1
+    return mix((sums[gram:] - sums[:n]) * _power_table(_INVERSE, n))
