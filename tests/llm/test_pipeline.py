@@ -11,7 +11,7 @@ from .test_texts import brute_dedup, brute_groups, brute_hits  # noqa: E402
 def test_stages_in_order(spark, tmp_path):
     rows = fixtures.documents()
     items = [(1, rows[1][1]), (2, rows[2][1][:400])]
-    rows = [*rows, (900, "Here " + rows[1][1], "en", "s0", 0), (950, "\u0001\u0002\u0003" * 300, "en", "s0", 0), (3, rows[3][1], "en", "s0", 0)]
+    rows = [*rows, (900, "Here " + rows[1][1], "en", "s0", 0), (950, "\u0001\u0002\u0003" * 300, None, "s0", 0), (3, rows[3][1], "en", "s0", 0)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = fixtures.with_extras(fixtures.frame(spark, rows), "digest", "cleaned")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
