@@ -24,8 +24,8 @@ from . import textbytes as tb
 from .shared import keyed_blocks, work_path
 from .warc import _filesystem
 
-#: Words in a window; bytes of benchmark text in a block; every so many positions the suffix array is kept.
-WINDOW, BLOCK_BYTES, SAMPLE = 10, 16 << 20, 8
+#: Words in a window; bytes of benchmark text in a block; of documents in a shard; every so many positions the suffix array is kept.
+WINDOW, BLOCK_BYTES, SHARD_BYTES, SAMPLE = 10, 16 << 20, 2 << 20, 8
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -240,7 +240,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = load(paths[0]) if len(paths) == 1 else None
         for batch in batches:
-            for part in tb.slices(batch, "_whole"):
+            for part in tb.slices(batch, "_whole", SHARD_BYTES):
                 column = part.column(len(keep))
                 raw, offsets = tb.buffers(column)
                 starts, ends, hashes, first = words_of(raw, offsets)
