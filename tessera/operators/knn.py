@@ -29,7 +29,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", keys: tuple[str, ...] = ("query_id", "q_seg"), exclude: str | None = None, digits: int = 9) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", keys: tuple[str, ...] = ("query_id", "q_seg"), exclude: str | None = None, digits: int = 12) -> DataFrame:
     """The k best corpus rows for each query: keys, doc_id, label, score, rank.
 
     ``corpus`` has doc_id, label, embedding (and ``exclude``, a column whose value must differ from the first key). Cosine is the

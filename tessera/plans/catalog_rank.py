@@ -86,7 +86,7 @@ def knn_rows(metric: str):
 def _knn_sql(score: str, where: str = "", having: str = "", digits: int = 6) -> str:
     return f"""WITH {SEGMENTS} SELECT query_id, q_seg, doc_id, label, round(s, {digits}) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, doc_id) AS rank FROM (
-    SELECT query_id, q_seg, doc_id, corpus.label AS label, round({score}, 9) AS s FROM queries, corpus {where})) WHERE rank <= 10"""
+    SELECT query_id, q_seg, doc_id, corpus.label AS label, round({score}, 12) AS s FROM queries, corpus {where})) WHERE rank <= 10"""
 
 
 DOT = "list_dot_product(queries.embedding, corpus.embedding)"
@@ -104,7 +104,7 @@ def knn_exclude_self(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_es_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search server's score (1 + cosine) / 2, mapped back."""
     hits = knn_rows("cosine")(spark, sf_dir)
-    return hits.withColumn("es_score", F.round((1 + F.col("score")) / 2, 7)).withColumn("score", F.round(2 * ((1 + F.col("score")) / 2) - 1, 6))
+    return hits.withColumn("es_score", (1 + F.col("score")) / 2).withColumn("score", 2 * ((1 + F.col("score")) / 2) - 1)
 
 
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ EARLY = f"""{SEGMENTS},
 pooled AS (SELECT query_id, list(v ORDER BY i) AS m FROM (SELECT query_id, i, avg(embedding[i]) AS v FROM (SELECT query_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM queries) GROUP BY query_id, i) GROUP BY query_id),
 early AS (SELECT query_id, {oracle.unit('m')} AS embedding FROM pooled),
 hits AS (SELECT query_id, q_seg, label, score, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT query_id, 0 AS q_seg, doc_id, label, round(list_dot_product(early.embedding, corpus.embedding), 9) AS score FROM early, corpus)) WHERE rank <= 100)
+  SELECT query_id, 0 AS q_seg, doc_id, label, round(list_dot_product(early.embedding, corpus.embedding), 12) AS score FROM early, corpus)) WHERE rank <= 100)
 """
 
 
@@ -227,14 +227,14 @@ ORACLE = {
     "knn_flat_cosine": _knn_sql(DOT), "knn_flat_l2": _knn_sql(L2),
     "knn_exclude_self": f"""WITH {SEGMENTS} SELECT query_id, q_seg, doc_id, label, round(s, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, doc_id) AS rank FROM (
-    SELECT a.item_id AS query_id, a.seg_idx AS q_seg, b.vec_id AS doc_id, b.label AS label, round(list_dot_product(a.embedding, b.embedding), 9) AS s FROM segs a JOIN segs b ON a.item_id <> b.item_id)) WHERE rank <= 5""",
-    "knn_es_score": f"SELECT query_id, q_seg, doc_id, label, round((1 + score) / 2, 7) AS es_score, round(2 * ((1 + score) / 2) - 1, 6) AS score, rank FROM ({_knn_sql(DOT)})",
+    SELECT a.item_id AS query_id, a.seg_idx AS q_seg, b.vec_id AS doc_id, b.label AS label, round(list_dot_product(a.embedding, b.embedding), 12) AS s FROM segs a JOIN segs b ON a.item_id <> b.item_id)) WHERE rank <= 5""",
+    "knn_es_score": f"SELECT query_id, q_seg, doc_id, label, (1 + score) / 2 AS es_score, 2 * ((1 + score) / 2) - 1 AS score, rank FROM ({_knn_sql(DOT)})",
     "knn_ivf": f"""WITH {SEGMENTS},
 lists AS (SELECT r - 1 AS list_id, embedding AS centre FROM (SELECT embedding, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) AS r FROM corpus) WHERE r <= (SELECT greatest(1, CAST(floor(sqrt(count(*)) + 0.5) AS BIGINT)) FROM corpus)),
-own AS (SELECT doc_id, label, embedding, list_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, list_id) AS r FROM (SELECT c.*, list_id, round(list_dot_product(c.embedding, centre), 9) AS s FROM corpus c, lists)) WHERE r = 1),
-probes AS (SELECT query_id, q_seg, embedding, list_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, list_id) AS r FROM (SELECT q.*, list_id, round(list_dot_product(q.embedding, centre), 9) AS s FROM queries q, lists)) WHERE r <= 8)
+own AS (SELECT doc_id, label, embedding, list_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, list_id) AS r FROM (SELECT c.*, list_id, round(list_dot_product(c.embedding, centre), 12) AS s FROM corpus c, lists)) WHERE r = 1),
+probes AS (SELECT query_id, q_seg, embedding, list_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, list_id) AS r FROM (SELECT q.*, list_id, round(list_dot_product(q.embedding, centre), 12) AS s FROM queries q, lists)) WHERE r <= 8)
 SELECT query_id, q_seg, doc_id, label, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, doc_id) AS rank FROM (
-  SELECT query_id, q_seg, doc_id, label, round(list_dot_product(p.embedding, o.embedding), 9) AS s FROM probes p JOIN own o USING (list_id))) WHERE rank <= 10""",
+  SELECT query_id, q_seg, doc_id, label, round(list_dot_product(p.embedding, o.embedding), 12) AS s FROM probes p JOIN own o USING (list_id))) WHERE rank <= 10""",
     "index_footprint": "WITH s AS (SELECT count(*) AS n, max(len(embedding)) AS dim FROM embeddings) SELECT 'flat' AS kind, n * dim * 4 AS bytes FROM s UNION ALL SELECT 'ivf', n * dim * 4 FROM s UNION ALL SELECT 'hnsw', n * dim * 4 + n * 32 * 8 FROM s UNION ALL SELECT 'ivfpq', n * 16 FROM s",
     "retrieve_early": f"WITH {EARLY} " + oracle.top_k(oracle.ranker("max")),
     "retrieve_late": f"WITH {HITS} " + oracle.top_k(oracle.ranker("rrf")),

@@ -37,7 +37,7 @@ def split(segs: DataFrame) -> DataFrame:
 
 def queries_and_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     segs = segments(spark, sf_dir)
-    both = segs.join(split(segs), "item_id")
+    both = segs.join(split(segs), "item_id").persist()  # read several times: counted, searched, judged
     queries = both.where("part = 'test'").select(F.col("item_id").alias("query_id"), F.col("seg_idx").alias("q_seg"), "embedding", F.col("label").alias("true_label"))
     corpus = both.where("part = 'train'").select(F.col("vec_id").alias("doc_id"), "item_id", "seg_idx", "label", "embedding")
     return queries, corpus
@@ -51,9 +51,8 @@ def hits(spark: SparkSession, sf_dir: str, metric: str = "cosine") -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, true_label."""
-    segs = segments(spark, sf_dir)
-    items = segs.groupBy("item_id").agg(F.first("label").alias("true_label"))
-    return items.join(split(segs), "item_id").where("part = 'test'").select(F.col("item_id").alias("query_id"), "true_label")
+    queries, _ = queries_and_corpus(spark, sf_dir)
+    return queries.groupBy("query_id").agg(F.first("true_label").alias("true_label"))
 
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:

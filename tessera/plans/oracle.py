@@ -14,7 +14,7 @@ truth AS (SELECT item_id AS query_id, label AS true_label FROM split WHERE part
 """
 
 SCORED = """
-scored AS (SELECT query_id, q_seg, doc_id, corpus.label AS label, round(list_dot_product(queries.embedding, corpus.embedding), 9) AS score FROM queries, corpus)
+scored AS (SELECT query_id, q_seg, doc_id, corpus.label AS label, round(list_dot_product(queries.embedding, corpus.embedding), 12) AS score FROM queries, corpus)
 """
 
 HITS = f"""{SEGMENTS}, {SCORED},
