@@ -115,7 +115,7 @@ def bootstrap(values: DataFrame, column: str, resamples: int = 1000, level: floa
     return values.agg(F.avg(column).alias("mean")).crossJoin(limits)  # one row each
 
 
-def pair_groups(systems: DataFrame) -> DataFrame:
+def pair_groups(systems: DataFrame, backbones: tuple[str, str], strategies: tuple[str, str] = ("E1", "E2")) -> DataFrame:
     """Which systems (backbone, strategy, ranker) are compared: key_a, key_b, grp. A pair of several groups has the first."""
     key = lambda t: F.concat_ws("__", *[F.col(f"{t}.{c}") for c in ("backbone", "strategy", "ranker")])
     a, b = systems.alias("a"), systems.alias("b")
@@ -125,8 +125,8 @@ def pair_groups(systems: DataFrame) -> DataFrame:
         for c in on[1:]:
             cond = cond & c
         return a.join(b, cond).select(key("a").alias("key_a"), key("b").alias("key_b"), F.lit(order).alias("o"), F.lit(name).alias("grp"))
-    every = pairs(1, "backbone", [*same("strategy", "ranker"), F.col("a.backbone") == "birdnet_v3", F.col("b.backbone") == "perch_v2"])
-    every = every.unionByName(pairs(2, "strategy", [*same("backbone", "ranker"), F.col("a.strategy") == "E1", F.col("b.strategy") == "E2"]))
+    every = pairs(1, "backbone", [*same("strategy", "ranker"), F.col("a.backbone") == backbones[0], F.col("b.backbone") == backbones[1]])
+    every = every.unionByName(pairs(2, "strategy", [*same("backbone", "ranker"), F.col("a.strategy") == strategies[0], F.col("b.strategy") == strategies[1]]))
     every = every.unionByName(pairs(3, "reranker_vs_attention", [*same("backbone", "strategy"), F.col("a.ranker") == "attention", F.col("b.ranker") != "attention"]))
     every = every.unionByName(pairs(4, "score_vs_rank", [*same("backbone", "strategy"), F.col("a.ranker").isin("attention", "softmax"), F.col("b.ranker").isin("rrf", "borda")]))
     return every.groupBy("key_a", "key_b").agg(F.min(F.struct("o", "grp")).alias("g")).select("key_a", "key_b", F.col("g.grp").alias("grp"))

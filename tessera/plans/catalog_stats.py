@@ -82,9 +82,9 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["attention", "softmax", "rrf", "borda", "max", "consensus"]
-    every = [(b, s, r) for b in ("perch_v2", "birdnet_v3") for s in ("E1", "E2") for r in names]
+    every = [(b, s, r) for b in ("model_b", "model_a") for s in ("E1", "E2") for r in names]
     rows = F.array(*[F.struct(F.lit(b).alias("backbone"), F.lit(s).alias("strategy"), F.lit(r).alias("ranker")) for b, s, r in every])
-    return stats.pair_groups(spark.range(1).select(F.inline(rows)))
+    return stats.pair_groups(spark.range(1).select(F.inline(rows)), ("model_a", "model_b"))
 
 
 def project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +123,8 @@ SELECT test, p_raw, delta_map, round(CAST(p_adjusted AS DOUBLE), 9) AS p_adjuste
 t AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT count(*) AS c FROM vals GROUP BY query_id, value)), z AS (SELECT count(DISTINCT query_id) AS n, count(DISTINCT system) AS k FROM vals),
 q AS (SELECT CAST(sum(s * s) AS DOUBLE) AS squares FROM (SELECT sum(r) AS s FROM r GROUP BY system))
 SELECT n AS n_queries, k AS n_systems, round((12.0 / (n * k * (k + 1)) * squares - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) AS statistic FROM z, q, t""",
-    "pair_groups": """WITH n AS (SELECT b AS backbone, s AS strategy, r AS ranker, b || '__' || s || '__' || r AS key FROM (SELECT unnest(['perch_v2', 'birdnet_v3']) AS b), (SELECT unnest(['E1', 'E2']) AS s), (SELECT unnest(['attention', 'softmax', 'rrf', 'borda', 'max', 'consensus']) AS r)),
-p AS (SELECT a.key AS key_a, b.key AS key_b, CASE WHEN a.strategy = b.strategy AND a.ranker = b.ranker AND a.backbone = 'birdnet_v3' AND b.backbone = 'perch_v2' THEN 1
+    "pair_groups": """WITH n AS (SELECT b AS backbone, s AS strategy, r AS ranker, b || '__' || s || '__' || r AS key FROM (SELECT unnest(['model_b', 'model_a']) AS b), (SELECT unnest(['E1', 'E2']) AS s), (SELECT unnest(['attention', 'softmax', 'rrf', 'borda', 'max', 'consensus']) AS r)),
+p AS (SELECT a.key AS key_a, b.key AS key_b, CASE WHEN a.strategy = b.strategy AND a.ranker = b.ranker AND a.backbone = 'model_a' AND b.backbone = 'model_b' THEN 1
   WHEN a.backbone = b.backbone AND a.ranker = b.ranker AND a.strategy = 'E1' AND b.strategy = 'E2' THEN 2
   WHEN a.backbone = b.backbone AND a.strategy = b.strategy AND a.ranker = 'attention' AND b.ranker <> 'attention' THEN 3
   WHEN a.backbone = b.backbone AND a.strategy = b.strategy AND a.ranker IN ('attention', 'softmax') AND b.ranker IN ('rrf', 'borda') THEN 4 END AS o FROM n a, n b)
