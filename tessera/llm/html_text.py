@@ -55,7 +55,6 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[int, str, int, int]] = []
         self.parts: list[str] = []
         self.linked = self.tags = self.links = 0
-        self.pages = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -66,7 +65,7 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
-            while len(self.open) > 1 and self.name[self.open[-1]] in ("p",):
+            if self.name[self.open[-1]] == "p":
                 self.close_top()
             self.end_line()
             if tag in ("li", "dt", "dd", "option", "tr") and self.name[self.open[-1]] == tag:
@@ -101,10 +100,7 @@ class _Lines(HTMLParser):
         self.open.pop()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML has no self-closing elements but the void ones
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # HTML has no self-closing elements but the void ones
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -172,8 +168,7 @@ def main_text(html: str | None) -> str:
             while p and name[p] not in ("article", "main"):
                 only = only and (not aside[p] or name[p] == "header" or aside[p] == 2 and name[p] in ("div", "section", "hgroup"))
                 p = parent[p]
-            chain = p
-            out[k] = not only or out[chain]
+            out[k] = not only or out[p]
     lines = [x for x in page.lines if not out[x[0]]]
     if not lines:
         return ""
