@@ -30,7 +30,7 @@ from .shared import stored, work_path
 from .warc import _filesystem
 
 #: Bytes of a repeated string; of an anchor's hash; most distinct contexts of a hash that meet in a task; bytes in a suffix array; in a block.
-LENGTH, GRAM, HOT, ARRAY_BYTES, BLOCK_BYTES = 200, 32, 4096, 256 << 10, 4 << 20
+LENGTH, GRAM, HOT, ARRAY_BYTES, BLOCK_BYTES = 200, 32, 4096, 256 << 10, 2 << 20
 #: Bytes of text that are worked on at a time.
 CACHE_BYTES = 1 << 20
 #: Places within a text are told apart by so many bits when hashes are equal.
@@ -159,6 +159,7 @@ def _single(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
         edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for i, j in zip(edge, edge[1:], strict=False):
             yield b.slice(i, j - i)
+    tb.release()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "first", columns: list[str] | None = None,
@@ -215,7 +216,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                     pa.array(key), pa.array(x["ctx"].view(np.int64)), pa.array(x["ids"][x["owner"]]), pa.array(np.full(len(p), block)),
                     pa.array(p), pa.array(x["a"]), pa.array(x["w"])], names=["key", "ctx", "d", "block", "p", "a", "w"])
 
-    often = each.mapInArrow(only_keys, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    often = each.mapInArrow(only_keys, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key").hint("merge")  # the planner takes what comes out of blocks for as small as their list
     kept = stored(each.mapInArrow(whole, "key long, ctx long, d long, block long, p int, a short, w short").join(often, "key", "left_semi"), "suffix-anchors")
     distinct = kept.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("d", "block", "p", "a", "w")).alias("at"))
     distinct = stored(distinct, "suffix-contexts")
@@ -254,6 +255,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 held, size = [], 0
         if held:
             yield done(held)
+        tb.release()
 
     near = fetched(several.where(F.col("m") <= hot)).repartition("key").sortWithinPartitions("key", "d", "block", "p")
     flags = near.mapInArrow(search, "key long, ctx long, dup binary, later binary")
@@ -286,9 +288,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         groups = groups.mapInArrow(packed, "key long, ctx long, dup binary, later binary")
         flags = flags.union(groups)
 
-    facts = distinct.join(flags, ["key", "ctx"], "left").where("n > 1 or dup is not null")
-    facts = facts.select("key", "ctx", "n", F.col("at.block").alias("fb"), F.col("at.p").alias("fp"), "dup", "later")
-    hits = kept.join(facts, ["key", "ctx"])
+    facts = distinct.join(flags.hint("merge"), ["key", "ctx"], "left").where("n > 1 or dup is not null")
+    # Written, so that the join below has both its sides from exchanges: a context that is hot is then split at run time.
+    facts = stored(facts.select("key", "ctx", "n", F.col("at.block").alias("fb"), F.col("at.p").alias("fp"), "dup", "later"), "suffix-facts")
+    hits = kept.join(facts.hint("merge"), ["key", "ctx"])
     if keep == "first":
         own = (F.col("block") == F.col("fb")) & (F.col("p") == F.col("fp"))
         hits = hits.withColumn("bits", F.when(own, F.col("later"))).where(~own | F.col("later").isNotNull())

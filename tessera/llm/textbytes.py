@@ -5,6 +5,7 @@ Everything works on the UTF-8 bytes of a slice of documents; a null text counts
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,15 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw, (offsets - offsets[0]) if len(offsets) else np.zeros(1, np.int64)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on between tasks, and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``limit`` bytes of text."""
     if not batch.num_rows:
@@ -63,6 +73,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
