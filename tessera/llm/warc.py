@@ -201,8 +201,9 @@ def read_warc(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    # One archive after the other in a task, and the archives over all tasks: each has an id of its own to be dealt by.
-    dealt = manifest.select("archive").repartition(F.xxhash64("archive"))
+    # One archive after the other in a task, and the archives over all tasks.
+    # A number of its own keeps the planner from putting their few rows, however many bytes they stand for, into one task.
+    dealt = manifest.select("archive").repartition(max(1, manifest.count()), "archive")
     out = dealt.mapInArrow(work, "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload string")
     return out.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
 
