@@ -1,6 +1,15 @@
 """I-Match fingerprints with randomised lexicon subsets, in DataFrame operations only.
 
-A text's terms are its distinct lower-cased runs of letters and digits. The lexicon is split at random (by a hash of
+``whole_fingerprints`` (the query) uses every term of every text: document frequency is counted over the distinct terms of all
+whole documents, and the band is applied to each term. The lexicon is dealt at random over ``LEXICONS`` parts, and a fingerprint is a
+hash for each part of all the text's terms in it, so that no term in the band can change unseen. Likeness is the share of equal
+subsets when the lexicon is split into ``2**b`` of them, ``b`` as below, and all of them are compared.
+
+Terms outside the band leave by range of ids: the frequent ones are at most ``terms / (MAX_SHARE * documents)`` and go to all
+ranges; a term of one document goes to the ranges that hold the document; a term that only an edited text has, where the two
+texts meet, is looked up and goes to its range. Texts are shuffled by range, hashes of terms never are by document.
+
+``fingerprints`` is the cheaper variant on a sample of terms. For it, a text's terms are its distinct lower-cased runs of letters and digits. The lexicon is split at random (by a hash of
 the term) into ``2**b`` subsets, where ``b`` grows with the text's length so that a subset holds about one term of it; the
 first ``SUBSETS`` of them are looked at, at scale ``b`` and at ``b + 1``, so that texts of similar length share a scale.
 Of the terms that fall into these, those within the inverse-document-frequency band are kept, sorted, and hashed: one
@@ -29,6 +38,8 @@ from .shared import stored
 SUBSETS, CHARS_PER_TERM, RANGE_DOCS, MOST_RANGES = 32, 10, 200, 65536
 #: The band: at least so many documents, and at most this share of all.
 MIN_DF, MAX_SHARE = 2, 0.05
+#: Parts of the lexicon in a whole fingerprint: the highest five bits of the term's hash.
+LEXICONS = 32
 _LEAST_SCALE, _MOST_SCALE = 3, 40
 
 
@@ -97,17 +108,13 @@ def _ranges(ids: DataFrame, n: int) -> tuple[Column, int]:
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + fine), len(cuts) + 1
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how like they are.
+def _by_order():
+    return Window.partitionBy("bucket").orderBy("tail", F.desc("_key"), F.xxhash64("_text"))
 
-    The edited text has its last ``floor(n_chars / 3)`` code points replaced by the first as many (or all) of the next
-    document's, by descending id; after the last comes the first. Returns id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. Other columns are left out, so they can't clash.
 
-    Defined cases: a null text is empty; a null id comes last in the order and is returned as null; documents of one id
-    are ordered by a hash of their text; a single document is its own next; empty texts, and those without a term in
-    the band, have a hash of the text as fingerprint; an empty table gives no rows.
-    """
+def _dealt(docs: DataFrame, id_col: str, text_col: str):
+    """Rows dealt into ranges of descending ids, each with the next range's first documents as its tail; a function that deals
+    any rows with a column ``_key`` alike; and the number of documents."""
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     base = base.withColumn("_key", F.coalesce("_id", F.lit(-(2**63))))
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"))
@@ -117,11 +124,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = sorted(firsts)
     tails = [{"k": firsts[b], "dest": order[(i + 1) % len(order)]} for i, b in enumerate(order)]
     tail = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(tails)), "array<struct<k:bigint,dest:int>>")))
-    dealt = base.join(F.broadcast(tail), base["_key"] == tail["k"], "left").select(
-        "_id", "_key", "_text", F.explode(F.filter(F.array(
+
+    def deal(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(tail), rows["_key"] == tail["k"], "left").select(*rows.columns, F.explode(F.filter(F.array(
             F.struct(where.cast("int").alias("bucket"), F.lit(False).alias("tail")), F.struct(F.col("dest").alias("bucket"), F.lit(True).alias("tail"))),
-            lambda s: s["bucket"].isNotNull())).alias("at")).select("_id", "_key", "_text", "at.bucket", "at.tail")
-    by_order = Window.partitionBy("bucket").orderBy("tail", F.desc("_key"), F.xxhash64("_text"))
+            lambda s: s["bucket"].isNotNull())).alias("at")).select(*rows.columns, "at.bucket", "at.tail")
+
+    return deal(base), deal, n
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how like they are.
+
+    The edited text has its last ``floor(n_chars / 3)`` code points replaced by the first as many (or all) of the next
+    document's, by descending id; after the last comes the first. Returns id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next. Other columns are left out, so they can't clash.
+
+    Defined cases: a null text is empty; a null id comes last in the order and is returned as null; documents of one id
+    are ordered by a hash of their text; a single document is its own next; empty texts, and those without a term in
+    the band, have a hash of the text as fingerprint; an empty table gives no rows.
+    """
+    dealt, _, n = _dealt(docs, id_col, text_col)
+    by_order = _by_order()
     n_chars = F.char_length("_text")
     cut = F.floor(n_chars / 3).cast("int")
     rows = dealt.withColumn("next", F.lead("_text").over(by_order)).withColumn("rn", F.row_number().over(by_order))
@@ -163,5 +187,70 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("ef").alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, nxt).alias("near_next"))
 
 
+def _lexicon_hashes(terms: Column) -> tuple[Column, Column, Column]:
+    """In steps, a hash for each part of the lexicon, null where it is empty. Sorted terms lie in parts; marks between the parts find them."""
+    marks = [-(2**63) + (r << 59) for r in range(LEXICONS)]
+    laid = F.array_sort(F.concat(terms, F.array(*[F.lit(m).cast("long") for m in marks])))
+    ends = F.transform(F.array(*[F.lit(m).cast("long") for m in marks]), lambda m: F.array_position(F.col("_laid"), m).cast("int"))
+
+    def one(p: Column, r: Column) -> Column:
+        last = F.coalesce(F.get(F.col("_ends"), r + 1), F.size("_laid") + 1)
+        return F.when(last - p > 1, F.xxhash64(F.slice(F.col("_laid"), p + 1, last - p - 1)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return laid, ends, F.transform(F.col("_ends"), one)
+
+
+def _with_print(rows: DataFrame, terms: str, whole: str, name: str) -> DataFrame:
+    """Adds the whole fingerprint as a string; a text without a term in the band is its own hash."""
+    laid, ends, hashes = _lexicon_hashes(F.col(terms))
+    rows = rows.withColumn("_laid", laid).withColumn("_ends", ends).withColumn("_hashes", hashes)
+    shown = F.array_join(F.transform("_hashes", lambda v: F.coalesce(F.lower(F.hex(v)), F.lit(""))), ",")
+    return rows.withColumn(name, F.when(F.size(terms) == 0, F.concat(F.lit("text:"), F.lower(F.hex(whole)))).otherwise(shown)).drop("_laid", "_ends", "_hashes")
+
+
+def _whole_likeness(x: Column, y: Column, sx: Column, sy: Column) -> Column:
+    """The share of equal subsets of two texts' terms, of those that aren't empty in both, over all subsets of the scales that
+    both have: a subset differs if a term of only one text falls into it."""
+    any_term, odd = F.array_union(x, y), F.array_union(F.array_except(x, y), F.array_except(y, x))
+    slots = lambda v, s: F.size(F.array_distinct(F.transform(v, lambda h: _slot(h, s))))
+    s = F.greatest(sx, sy)
+    both = lambda v: slots(v, s) + F.when(sx == sy, slots(v, s + 1)).otherwise(0)
+    return F.when(F.abs(sx - sy) > 1, F.lit(0.0)).otherwise(F.coalesce(1 - both(odd) / F.nullif(both(any_term), F.lit(0)), F.lit(0.0)))
+
+
+def whole_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``fingerprints`` over all terms of all texts: same columns, edited texts and defined cases."""
+    dealt, deal, n = _dealt(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    each = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"), F.explode(terms_of(text)).alias("h"))
+    df = stored(each.groupBy("h").agg(F.count("*").alias("df"), F.max("_key").alias("_key")), "imatch-df")
+    most = max(MIN_DF, int(MAX_SHARE * n))
+    frequent = F.broadcast(df.where(F.col("df") > most).agg(F.collect_list("h").alias("frequent")))  # one row
+
+    cut = F.floor(F.char_length("_text") / 3).cast("int")
+    rows = dealt.withColumn("next", F.coalesce(F.lead("_text").over(_by_order()), F.lit("")))
+    rows = rows.withColumn("edited", F.concat(F.left("_text", F.char_length("_text") - cut), F.left("next", cut)))
+    rows = rows.withColumn("to", terms_of(F.col("_text"))).withColumn("te", F.when(F.col("tail"), F.array().cast("array<bigint>")).otherwise(terms_of(F.col("edited"))))
+
+    # Terms to drop in each range, besides the frequent ones: with MIN_DF 2, a term of too few documents has one, or is in none.
+    seam = rows.withColumn("tn", F.lead("to").over(_by_order())).where(~F.col("tail"))
+    seam = seam.crossJoin(frequent).select("bucket", F.explode(F.array_except(F.array_except("te", F.array_union("to", F.coalesce("tn", "to"))), "frequent")).alias("h")).distinct()
+    unknown = seam.join(df.where(F.col("df") >= MIN_DF).select("h"), "h", "left_anti").select("bucket", "h")
+    rare = deal(df.where(F.col("df") < MIN_DF).select("_key", "h")).select("bucket", "h")
+    drops = stored(rare.union(unknown).groupBy("bucket").agg(F.collect_list("h").alias("drops")), "imatch-drops")
+
+    gone = F.concat(F.coalesce("drops", F.array().cast("array<bigint>")), "frequent")
+    rows = rows.join(drops.hint("merge"), "bucket", "left").crossJoin(frequent).withColumn("gone", gone).select(
+        "bucket", "tail", "_key", "_id", "_text", F.char_length("_text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"),
+        F.xxhash64("_text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"), scale_of(F.char_length("_text")).alias("so"),
+        scale_of(F.char_length("edited")).alias("se"), F.array_except("to", "gone").alias("to"), F.array_except("te", "gone").alias("te"))
+    rows = _with_print(_with_print(rows, "to", "own_hash", "of"), "te", "edited_hash", "ef")
+    rows = rows.withColumn("nx", F.lead(F.struct("so", "to", "of")).over(_by_order())).where(~F.col("tail"))
+    so = F.col("so")
+    return rows.select(
+        F.col("_id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), F.col("of").alias("fingerprint"), F.col("ef").alias("edited_fingerprint"),
+        F.when(F.col("of") == F.col("ef"), F.lit(1.0)).otherwise(_whole_likeness(F.col("to"), F.col("te"), so, F.col("se"))).alias("near_edited"),
+        F.when(F.col("of") == F.col("nx.of"), F.lit(1.0)).otherwise(_whole_likeness(F.col("to"), F.col("nx.to"), so, F.col("nx.so"))).alias("near_next"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return whole_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

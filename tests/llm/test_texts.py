@@ -307,3 +307,73 @@ def test_fingerprint_plan_has_no_python(spark):
 def test_near_texts_are_likelier_than_far_ones(spark):
     r = imatch.op10_fingerprints(spark, "/root/testdata/sf0.01").selectExpr("avg(near_edited) AS e", "avg(near_next) AS n").first()
     assert r["e"] > .25 > 5 * r["n"]
+
+
+def brute_whole(texts, documents):
+    """Whole fingerprints, and the terms in the band that they stand for."""
+    terms = [{hash64(w.encode()) for w in re.split(r"[^\w]+|_", t.lower()) if w} for t in documents]
+    df, most = collections.Counter(h for x in terms for h in x), max(imatch.MIN_DF, int(imatch.MAX_SHARE * len(documents)))
+    out = []
+    for t in texts:
+        own = sorted(h for h in {hash64(w.encode()) for w in re.split(r"[^\w]+|_", t.lower()) if w} if imatch.MIN_DF <= df[h] <= most)
+        parts = [[h for h in own if (h + 2**63) >> 59 == r] for r in range(imatch.LEXICONS)]
+        shown = []
+        for mine in parts:
+            seed = 42
+            for h in mine:
+                seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), seed)
+            shown.append(format(seed & 0xFFFFFFFF, "x") if mine else "")
+        out.append((",".join(shown) if own else "text:" + format(hash64(t.encode()) % 2**64, "x"), set(own)))
+    return out
+
+
+def brute_likeness(p, q, x, y):
+    scale = lambda t: int(min(40, max(3, math.floor(math.log2(max(len(t), 1) / imatch.CHARS_PER_TERM) + .5))))
+    (fp, a), (fq, b), sx, sy = p, q, scale(x), scale(y)
+    if fp == fq or abs(sx - sy) > 1:
+        return float(fp == fq)
+    same = every = 0
+    for s in ({sx, sx + 1} & {sy, sy + 1}):
+        subsets = [collections.defaultdict(set) for _ in "ab"]
+        for at, own in zip(subsets, (a, b), strict=True):
+            for h in own:
+                at[h & ((1 << s) - 1)].add(h)
+        every += len({*subsets[0], *subsets[1]})
+        same += sum(subsets[0][r] == subsets[1].get(r) for r in list(subsets[0]))
+    return same / every if every else 0.0
+
+
+def test_whole_fingerprints_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_DOCS", 7)  # many ranges
+    rows = [r for r in fixtures.documents() if r[1] is None or r[1].isascii()]
+    want, text = edited_text(rows), {r[0]: r[1] or "" for r in rows}
+    documents = [r[1] or "" for r in rows]
+    own = dict(zip(text, brute_whole(documents, documents), strict=True))
+    edited = dict(zip(text, brute_whole([want[i][0] for i in text], documents), strict=True))
+    df = fixtures.with_extras(fixtures.frame(spark, rows), "bucket", "rn", "h", "tail", "df", "to", "gone")
+    got = {r["doc_id"]: r for r in imatch.whole_fingerprints(df).collect()}
+    assert got.keys() == text.keys()
+    for i, t in text.items():
+        after, nxt = want[i]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(after.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own[i][0], edited[i][0])
+        assert r["near_edited"] == pytest.approx(brute_likeness(own[i], edited[i], t, after)) and r["near_next"] == pytest.approx(brute_likeness(own[i], own[nxt], t, text[nxt]))
+
+
+def test_any_term_in_the_band_changes_the_querys_fingerprint(spark, tmp_path):
+    body = [f"w{k}" for k in range(1000)]
+    rows = [(0, " ".join(body), "en", "s", 0)] + [(k + 1, " ".join([*body[:k], "other", *body[k + 1 :]]), "en", "s", 0) for k in range(0, 1000, 100)]
+    rows += [(2000 + k, f"filler{k}", "en", "s", 0) for k in range(300)]
+    fixtures.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.op10_fingerprints(spark, str(tmp_path)).collect()}
+    assert len({got[r[0]] for r in rows[:11]}) == 11
+
+
+def test_whole_fingerprint_cases(spark):
+    assert imatch.whole_fingerprints(fixtures.frame(spark, [])).isEmpty()
+    one = imatch.whole_fingerprints(fixtures.frame(spark, [(1, "a b c d", "en", "s", 0)])).first()
+    assert one["edited_sha256"] == hashlib.sha256(b"a b ca ").hexdigest() and one["fingerprint"].startswith("text:")
+    rows = [(1, "same text", "en", "s", 0), (1, "same text", "en", "s", 0), (None, "same text", "en", "s", 0), (None, None, "en", "s", 0)]
+    got = imatch.whole_fingerprints(fixtures.frame(spark, rows)).collect()
+    assert len(got) == 4 and len({r["fingerprint"] for r in got if r["n_chars"]}) == 1
