@@ -10,13 +10,15 @@ The trigram models are the one thing learned from a sample: at most about ``SAMP
 chosen by a hash of the id.
 
 Scale: one pass over the texts, whose result (a few numbers a row) is stored; the host priors come back by a join that is
-split at run time where a host is hot. Counts of trigrams reach the driver as one fixed-size table per language and task of
-``SAMPLE_TASKS``.
+split at run time where a host is hot. Every declared language with ``LEAST_LABELLED`` rows has a model. Counts of trigrams reach the
+driver as one fixed-size table per language, one at a time; driver and workers hold all tables (0.5 and 0.26 MB a language). Documents
+declared in a language of fewer rows are accepted where the models see no language.
 """
 
 from __future__ import annotations
 
 import html as html_entities
+import json
 import re
 from collections.abc import Iterator
 
@@ -29,8 +31,8 @@ from . import textbytes as tb
 from .shared import stored
 from .url_filter import host_of
 
-#: Bound on the labelled sample; tasks that count it; languages with fewer labelled rows have no model; most languages.
-SAMPLE_PER_LANGUAGE, SAMPLE_TASKS, LEAST_LABELLED, MOST_LANGUAGES = 400, 4, 5, 64
+#: Bound on the labelled sample; tasks that count it; languages with fewer labelled rows have no model.
+SAMPLE_PER_LANGUAGE, SAMPLE_TASKS, LEAST_LABELLED = 400, 4, 5
 #: Trigram buckets; weight of the text's log-likelihood (neighbouring trigrams share letters); smoothing of tables and priors.
 BUCKETS, TEMPER, DECLARED_SMOOTH, PRIOR_WEIGHT = 1 << 16, 1 / 3, 0.5, 10.0
 #: Prior of "none"; a row is accepted if its language is one, with at least this probability.
@@ -66,25 +68,34 @@ def normal(lang: Column) -> Column:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log-probabilities of trigram buckets by language (a last bucket of 0, a last row of "none")."""
     rows = labelled.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), normal(F.col(lang_col)).alias("l"))
-    counts = {r["l"]: r["n"] for r in rows.where("l is not null").groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LABELLED).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
+    counts = {r["l"]: r["n"] for r in rows.where("l is not null").groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LABELLED).collect()}
     langs = sorted(counts)
     table = np.zeros((len(langs), BUCKETS + 1))
     if langs:
-        share = F.coalesce(*[F.when(F.col("l") == x, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / counts[x]))) for x in langs], F.lit(0.0))
+        shares = F.from_json(F.lit(json.dumps({x: min(1.0, SAMPLE_PER_LANGUAGE / counts[x]) for x in langs})), "map<string,double>")
+        share = F.coalesce(F.try_element_at(shares, F.col("l")), F.lit(0.0))
         sample = rows.where(F.pmod(F.xxhash64("i", "l"), F.lit(1_000_003)) < share * 1_000_003)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = {x: np.zeros(BUCKETS + 1, np.int64) for x in langs}
+            """Rows come sorted by language: one language's table at a time."""
+            now, sums = None, np.zeros(BUCKETS + 1, np.int64)
+            row = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([sums.tobytes()], pa.binary())], names=["l", "c"])
             for b in batches:
                 for part in tb.slices(b, "t"):
                     raw, offsets = tb.buffers(part.column(0))
                     at = buckets_of(raw, offsets)
                     for k, x in enumerate(part.column(1).to_pylist()):
-                        sums[x] += np.bincount(at[offsets[k] : offsets[k + 1]], minlength=BUCKETS + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([sums[x].astype(np.int64).tobytes() for x in langs], pa.binary())], names=["l", "c"])
-
-        for r in sample.select("t", "l").repartition(SAMPLE_TASKS).mapInArrow(count, "l string, c binary").collect():
-            table[langs.index(r["l"])] += np.frombuffer(r["c"], np.int64)
+                        if x != now:
+                            if now is not None:
+                                yield row()
+                            now, sums = x, np.zeros(BUCKETS + 1, np.int64)
+                        sums += np.bincount(at[offsets[k] : offsets[k + 1]], minlength=BUCKETS + 1)
+            if now is not None:
+                yield row()
+
+        place = {x: k for k, x in enumerate(langs)}
+        for r in sample.select("t", "l").repartition(SAMPLE_TASKS, "l").sortWithinPartitions("l").mapInArrow(count, "l string, c binary").toLocalIterator():
+            table[place[r["l"]]] += np.frombuffer(r["c"], np.int64)
     table = table[:, :BUCKETS] + 0.05
     logs = np.concatenate([np.log(table / table.sum(1, keepdims=True)), np.full((1, BUCKETS), -np.log(BUCKETS))])
     return langs, np.concatenate([logs, np.zeros((len(langs) + 1, 1))], 1)
@@ -95,7 +106,7 @@ def score_texts(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: boo
     others = [f for f in rows.schema.fields if f.name != "_text"]
     names = [f.name for f in others] + ["ll"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", ll array<double>"
-    shared = rows.sparkSession.sparkContext.broadcast(logs.astype(np.float32))  # a fixed size: MOST_LANGUAGES tables of BUCKETS
+    shared = rows.sparkSession.sparkContext.broadcast(logs.astype(np.float32))  # a table of BUCKETS for each language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -129,8 +140,9 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
 
     Adds text_lang (by the text alone), lang, confidence (the posterior probability of lang) and accepted; takes away ``_text``.
 
-    Defined cases: an empty or null text has no likelihood, so that declaration and host decide; a null declaration, or one of an
-    unknown language, says nothing; rows without a host share the empty host's prior; if no language is known all is "none".
+    Defined cases: an empty or null text has no likelihood, so that declaration and host decide; a null declaration
+    says nothing; one of a language without a model counts where the rest says "none": the row has that language, is accepted, and its
+    confidence is null; rows without a host share the empty host's prior; if no language has a model all is "none".
     """
     k = len(langs) + 1
     scored = stored(score_texts(rows, langs, logs, markup), "language")
@@ -167,16 +179,18 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
     for t in [*langs, NONE]:
         whole = sum(seen.get((d, t), 0) for d in langs) + DECLARED_SMOOTH * len(langs)
         table.append({d: float(np.log((seen.get((d, t), 0) + DECLARED_SMOOTH) / whole)) for d in langs})
-    zero = F.array(*[F.lit(0.0)] * k)
-    declared = zero
-    for d in langs:
-        declared = F.when(F.col("_declared") == d, F.array(*[F.lit(row[d]) for row in table])).otherwise(declared)
+    known = F.from_json(F.lit(json.dumps({d: [row[d] for row in table] for d in langs})), "map<string,array<double>>")
+    declared = F.coalesce(F.try_element_at(known, F.col("_declared")), F.array(*[F.lit(0.0)] * k))
     out = scored.join(priors, "_host", "left")
     fused = F.transform(F.arrays_zip(F.col("ll").alias("a"), declared.alias("b"), F.col("prior").alias("c")), lambda v: v["a"] * TEMPER + v["b"] + F.log(v["c"]))
     out = out.withColumn("_post", fused)
     weight = F.aggregate(F.transform("_post", lambda v: F.exp(v - F.array_max("_post"))), F.lit(0.0), lambda a, v: a + v)
-    return out.withColumns({"lang": _best(F.col("_post"), langs), "confidence": 1 / weight}).withColumn(
-        "accepted", (F.col("lang") != NONE) & (F.col("confidence") >= ACCEPT)).drop("ll", "prior", "_post", "_domain", "_suffix")
+    out = out.withColumns({"lang": _best(F.col("_post"), langs), "confidence": 1 / weight})
+    unmodelled = F.lit(bool(langs)) & (F.col("lang") == NONE) & F.col("_declared").isNotNull() & ~F.coalesce(F.col("_declared").isin(langs), F.lit(False))
+    out = out.withColumn("_other", unmodelled)
+    return out.withColumns({
+        "lang": F.when(F.col("_other"), F.col("_declared")).otherwise(F.col("lang")), "confidence": F.when(~F.col("_other"), F.col("confidence")),
+        "accepted": F.col("_other") | ((F.col("lang") != NONE) & (F.col("confidence") >= ACCEPT))}).drop("_other", "ll", "prior", "_post", "_domain", "_suffix")
 
 
 def identify_documents(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, keep: list[str] | None = None) -> DataFrame:

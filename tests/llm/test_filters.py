@@ -108,6 +108,19 @@ def test_evidence_decides_where_text_does_not(spark):
     assert {r["lang"] for r in language.identify_documents(df, language.train(df.limit(0))).collect()} == {"none"}
 
 
+def test_every_declared_language_counts(spark):
+    names = [f"{a}{b}" for a in "abcdefg" for b in "klmnopqrst"]  # 70, each of an alphabet of its own
+    text = lambda k: "".join(chr(0x4E00 + 40 * k + j) for j in range(40)) * 4
+    rows = [(10 * k + j, text(k), x, "a.example", 0) for k, x in enumerate(names) for j in range(5)]
+    rows += [(5000 + j, text(200), "fi", "a.example", 0) for j in range(3)] + [(5010, "\u0001\u0002\u0003" * 200, None, "a.example", 0), (5011, "\u0001\u0002\u0003" * 200, "ak", "a.example", 0)]
+    df = fixtures.frame(spark, rows)
+    model = language.train(df.where("doc_id < 5010"))
+    assert model[0] == sorted(names)
+    got = {r["doc_id"]: r for r in language.identify_documents(df, model).collect()}
+    assert all((got[i]["lang"], got[i]["accepted"]) == (x, True) for i, _, x, *_ in rows if i < 5010)
+    assert got[5000]["confidence"] is None and got[5000]["text_lang"] == "none" and not got[5010]["accepted"] and not got[5011]["accepted"]
+
+
 def test_archives_round_trip(spark):
     big, small = "<p>" + "same " * 50, "<p>tiny"
     rows = [(5, "http://a/", big), (2, "http://b/", big), (9, None, big), (3, "c", small), (4, "d", small), (7, "e", None), (None, "f", big), (11, "g\r\nX: y", "é" * 5000), (2, "http://b/", big)]
