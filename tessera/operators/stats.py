@@ -99,7 +99,7 @@ def chi2_tail(x: float, df: int) -> float:
     return min(1.0, total)
 
 
-def bootstrap(values: DataFrame, column: str, resamples: int = 1000, level: float = 0.95) -> DataFrame:
+def bootstrap(values: DataFrame, column: str, resamples: int = 5000, level: float = 0.95) -> DataFrame:
     """Mean and its percentile interval. Each row counts Poisson(1) times in a resample, by a hash of (key, resample): rows are
     never copied, only sums per resample are shuffled. ``values`` has query_id and ``column``."""
     u = (F.pmod(F.xxhash64("query_id", "b"), F.lit(1_000_000_007)) + 0.5) / 1_000_000_007

@@ -157,6 +157,11 @@ def test_bootstrap_holds_the_mean(spark):
     assert r["low"] < r["mean"] < r["high"] and r["high"] - r["low"] < 1.5
 
 
+def test_bootstrap_resamples_as_often_as_the_reference(spark):
+    rows = spark.createDataFrame([(k, float(k * k % 17)) for k in range(20)], "query_id long, v double")
+    assert stats.bootstrap(rows, "v").first() == stats.bootstrap(rows, "v", 5000).first() != stats.bootstrap(rows, "v", 1000).first()
+
+
 @pytest.fixture(scope="module")
 def space(spark):
     rng = np.random.default_rng(1)
