@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import keyed_blocks, work_path
-from .warc import _filesystem
+from .shared import filesystem, keyed_blocks, work_path
 
 #: Words in a window; bytes of benchmark text in a block; of documents in a shard; every so many positions the suffix array is kept.
 WINDOW, BLOCK_BYTES, SHARD_BYTES, SAMPLE = 10, 16 << 20, 2 << 20, 8
@@ -219,7 +218,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
     blocks = keyed_blocks(items.agg(F.sum(F.octet_length("t"))).first()[0], BLOCK_BYTES)
     folder = work_path(spark, "phrases")
-    system, base = _filesystem(folder)
+    system, base = filesystem(folder)
     system.create_dir(base, recursive=True)
     paths = []
     for k in range(blocks):  # each of bounded size
@@ -229,7 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         paths.append(f"{folder}/{k}")
 
     def load(path: str) -> Phrases:
-        inner, name = _filesystem(path)
+        inner, name = filesystem(path)
         with inner.open_input_stream(name) as f:
             return Phrases.loaded(f.read())
 

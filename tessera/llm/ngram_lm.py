@@ -1,21 +1,20 @@
-"""Language-model scoring by a weighted backoff automaton over corpus counts.
-
-Words are counted over all training documents. Words above a share of all tokens are the automaton's symbols; all others
-share a few classes by their last character, so that the number of symbols is bounded by the share, not by the corpus, while each
-rare word keeps its own count as the probability within its class. N-grams of two symbols are smoothed by absolute
-discounting: the seen ones (above a share of tokens) are arcs of the states, one state for each context; what the discount leaves
-is the weight of the state's failure arc to the state without context. A text is scored in one pass from left to right: each
-token moves the state along an arc, or along the failure arc first, and adds its weight.
-
-Scale: texts are never shuffled. The documents' words are written once, as block files in the shared folder (words as places
-in the block's list of distinct words); only distinct words of blocks, with their counts, go to the shard of their hash, and
-the corpus-wide counts come back to the blocks in the same order. Frequent words, the one key that every block has, are
-one row per block and shard, never one per document. The automaton reaches the tasks as a file of bounded size.
+"""Language-model scoring by a weighted backoff automaton over the n-grams of the whole corpus.
+
+All words, pairs and triples of the training texts are counted, whatever their number. They are smoothed towards the shorter
+context (a Dirichlet prior of weight ``PRIOR``) and become an automaton: a state for each context that was seen (none, a word, a pair,
+the start of a text), an arc for each n-gram that was seen, and from each state with a context a failure arc to the state with the
+shorter one, whose weight is what the seen n-grams leave. A text is read once from left to right: in each state the arc of the
+next word is taken, after as many failure arcs as it needs, and the weights are summed.
+
+Scale: texts are never shuffled. They are written once, in blocks, to the shared folder (as places in the block's list of distinct
+words). Blocks send their distinct n-grams' 64-bit hashes and counts to the shard of the hash, in cells of one block and shard; the sums come
+back in the same order. N-grams go order by order: a pair of which a word occurs once in the corpus, or a triple of which a pair does,
+occurs once as well, so that its block knows its count and doesn't send it. A frequent n-gram is one entry a block, never one a document.
+Each block then builds the part of the automaton that its own texts can reach, so nothing is broadcast or sent to the driver but sums.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Iterator
 
@@ -26,255 +25,309 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import stored, work_path
-from .warc import _filesystem
+from .shared import get_arrays, make_folder, put_arrays, stored
 
-#: Text bytes in a block; a symbol's least share of the training tokens; an arc's; discount; the base's smoothing.
-BLOCK_BYTES, SYMBOL_SHARE, ARC_SHARE, DISCOUNT, SMOOTH = 8 << 20, 1e-4, 1e-6, 0.75, 0.1
-#: Words that blocks ask a shard for.
-SHARD_WORDS = 500_000
-#: Classes of the other words, by last character: sentence end, other punctuation, rest. Then the end of text, and its start (a context only).
-CLASSES = 3
-#: The end token's hash: no word's, as far as 64 bits go.
-END = np.uint64(0x5BD1E995C6A4A793)
+#: Text bytes in a block; the base's smoothing; the prior's weight for a context of one word, and of two.
+BLOCK_BYTES, SMOOTH, PRIOR = 8 << 20, 0.1, (20.0, 4.0)
+#: N-grams that meet in a shard, as an upper bound of the mean; tokens of a text that are read in one go.
+SHARD_KEYS, SEGMENT = 1_000_000, 512
+#: Hashes of the end token and of the start of a text: no word's, as far as 64 bits go.
+END, START = np.uint64(0x5BD1E995C6A4A793), np.uint64(0x1F83D9ABFB41BD6B)
 
 
-def _put(path: str, **arrays: np.ndarray) -> None:
-    system, name = _filesystem(path)
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    with system.open_output_stream(f"{name}.part", compression=None) as f:
-        f.write(zstandard.ZstdCompressor(level=1).compress(out.getvalue()))
-    system.move(f"{name}.part", name)
-
-
-def _get(path: str):
-    system, name = _filesystem(path)
-    with system.open_input_stream(name, compression=None) as f:
-        return np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(f.read())))
-
-
-def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the tokens, each text's words and then its end; classes; and the first token of each text (n+1)."""
+def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens, each text's words and then its end; and the first token of each text (n+1)."""
     low = tb.lower_ascii(raw)
     starts, ends, first = tb.runs(~((low == 32) | ((low >= 9) & (low <= 13))), offsets)
     hashes = tb.span_hashes(tb.prefix_sums(low), starts, ends)
-    last = low[ends - 1] if len(ends) else low[:0]
-    sentence = (last == 46) | (last == 33) | (last == 63)
-    letter = ((last - np.uint8(97)) < 26) | ((last - np.uint8(48)) < 10) | (last >= 128)
-    kind = np.where(sentence, 0, np.where(letter, 2, 1)).astype(np.int8)
     n = len(offsets) - 1
     at = first + np.arange(n + 1)
-    ends_at = at[1:] - 1
-    out, kinds = np.full(len(starts) + n, END, np.uint64), np.zeros(len(starts) + n, np.int8)
+    out = np.full(len(starts) + n, END, np.uint64)
     words = np.ones(len(out), bool)
-    words[ends_at] = False
-    out[words], kinds[words] = hashes, kind
-    return out, kinds, at
+    words[at[1:] - 1] = False
+    out[words] = hashes
+    return out, at
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in little space: bytes of equal weight together."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+class Block:
+    """A block's texts as places in its distinct words, and its n-grams of each order with their counts, as far as they are known.
+
+    ``own`` are the counts within the block, ``train`` and ``every`` those over the corpus (training texts; all texts)."""
+
+    def __init__(self, path: str) -> None:
+        x = get_arrays(path)
+        self.words, self.at, self.first, self.learn, self.ids = x["words"], unpacked(x["at"].tobytes(), np.uint32).astype(np.int64), x["first"], x["learn"], x["ids"]
+        self.n = len(self.words)
+        self.token_learns = np.repeat(self.learn, np.diff(self.first))
+        self.places: dict[int, np.ndarray] = {1: self.at}
+        self.codes: dict[int, np.ndarray] = {}
+        self.keys = {1: self.words}
+        self.train: dict[int, np.ndarray] = {}
+        self.every: dict[int, np.ndarray] = {}
+        self.asked = {1: np.ones(self.n, bool)}
+
+    def own(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        place, n = self.places[order], len(self.keys[order])
+        there = place >= 0
+        learns = self.token_learns[there]
+        place = place[there]
+        return np.bincount(place[learns], minlength=n), np.bincount(place, minlength=n)
+
+    def grow(self, order: int) -> None:
+        """N-grams of the next order, from those of the one before, whose counts are known; and which of them others may have too."""
+        if order == 2:
+            before = np.empty_like(self.at)
+            before[1:] = self.at[:-1]
+            before[self.first[:-1]] = self.n  # the start
+            self.codes[2], self.places[2] = np.unique(before * self.n + self.at, return_inverse=True)
+            u, v = self.codes[2] // self.n, self.codes[2] % self.n
+            words = np.append(self.words, START)
+            self.keys[2] = tb.mix(tb.mix(words[u]) * np.uint64(0x9E3779B97F4A7C15) + self.words[v])
+            every = np.append(self.every[1], 2)
+            self.asked[2] = (every[u] > 1) & (every[v] > 1)
+            return
+        pairs = self.places[2]
+        later = np.ones(len(self.at), bool)
+        later[self.first[:-1]] = False
+        spot = np.flatnonzero(later)
+        self.codes[3], place = np.unique(pairs[spot - 1] * self.n + self.at[spot], return_inverse=True)
+        self.places[3] = np.full(len(self.at), -1)
+        self.places[3][spot] = place
+        head, v = self.codes[3] // self.n, self.codes[3] % self.n
+        self.tail = np.empty(len(self.codes[3]), np.int64)  # the pair that ends the triple
+        self.tail[place] = pairs[spot]
+        self.keys[3] = tb.mix(self.keys[2][head] * np.uint64(0xD6E8FEB86659FD93) + self.words[v] + np.uint64(1))
+        self.asked[3] = (self.every[2][head] > 1) & (self.every[2][self.tail] > 1)
+
+    def question(self, order: int) -> np.ndarray:
+        """The n-grams to ask for, in the order of their hash."""
+        asked = np.flatnonzero(self.asked[order])
+        return asked[np.argsort(self.keys[order][asked], kind="stable")]
+
+    def learned(self, order: int, cells: list[bytes]) -> None:
+        """Counts over the corpus from the shards' answers, in the order of shards; the others' are the block's own."""
+        self.train[order], self.every[order] = self.own(order)
+        counts = [unpacked(c, np.int64).reshape(2, -1) for c in cells]
+        if counts:
+            at = self.question(order)
+            self.train[order][at], self.every[order][at] = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
 
 
 class Automaton:
-    """States are symbols read last; arcs are sorted by state and symbol; failure arcs lead to the state without context."""
+    """State 0 has no context; 1 + w is the context of a word (w = words: the start of a text), the others are pairs. ``arcs`` are sorted
+    state * words + word, with weights and targets; each state but 0 has a failure arc; state 0 has an arc for each word."""
 
-    def __init__(self, symbols: np.ndarray, root: np.ndarray, arcs: np.ndarray, weights: np.ndarray, failure: np.ndarray) -> None:
-        self.symbols, self.root, self.arcs, self.weights, self.failure = symbols, root, arcs, weights, failure
-        self.n = len(root)
+    def __init__(self, words: int, root: np.ndarray, home: np.ndarray, arcs: np.ndarray, weights: np.ndarray, targets: np.ndarray, failure: np.ndarray, leave: np.ndarray) -> None:
+        self.words, self.root, self.home, self.arcs, self.weights, self.targets, self.failure, self.leave = words, root, home, arcs, weights, targets, failure, leave
 
     @classmethod
-    def built(cls, words: np.ndarray, counts: np.ndarray, rest: np.ndarray, arcs: np.ndarray, arc_counts: np.ndarray, ends: float, discount: float = DISCOUNT) -> Automaton:
-        """words, counts: the symbols that are words (sorted hashes), and how often they occur; rest: the classes' tokens; ends:
-        texts; arcs, arc_counts: context * symbols + symbol, sorted."""
-        n = len(words) + CLASSES + 1  # and the start, a context
-        mass = np.concatenate([counts, rest + 0.5, [ends + 0.5]]).astype(float)
-        root = np.log10(mass / mass.sum())
-        context, symbol = arcs // (n + 1), arcs % (n + 1)
-        # Occurrences of a context: its arcs that were kept, and its others.
-        seen = np.concatenate([counts, rest, [0], [ends]]).astype(float)  # the end is no context; the start is
-        held = np.bincount(context, arc_counts - discount, n + 1)
-        prob = (arc_counts - discount) / np.maximum(seen[context], 1)
-        left = 1 - held / np.maximum(seen, 1)
-        base = np.bincount(context, 10 ** root[symbol], n + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where((seen > 0) & (left > 0), left / np.maximum(1 - base, 1e-12), 1.0)
-        return cls(words, root, arcs, np.log10(np.maximum(prob, 1e-300)), np.log10(np.maximum(weight, 1e-300)))
-
-    def scores(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log10 weight of each token's move; each text begins in the start state."""
-        state = np.empty(len(symbols), np.int64)
-        state[1:] = symbols[:-1]
-        state[first[:-1]] = self.n  # the start
-        key = state * (self.n + 1) + symbols
-        out = self.failure[state] + self.root[symbols]
-        if len(self.arcs):
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[at] == key
-            out[hit] = self.weights[at[hit]]
+    def of_counts(cls, codes: dict[int, np.ndarray], tail: np.ndarray, count: dict[int, np.ndarray], tokens: int, texts: int, distinct: int, prior: tuple[float, float] = PRIOR) -> Automaton:
+        """From n-grams and their training counts: pairs are u * words + v, triples pair * words + w; ``tail`` is a triple's last pair."""
+        n = len(count[1])
+        one = (count[1] + SMOOTH) / (tokens + SMOOTH * (distinct + 1))
+        context = np.append(count[1], texts)
+        u, v = codes[2] // n, codes[2] % n
+        two = (count[2] + prior[0] * one[v]) / (context[u] + prior[0])
+        head, w = codes[3] // n, codes[3] % n
+        three = (count[3] + prior[1] * two[tail]) / (count[2][head] + prior[1])
+        pairs, triples = np.flatnonzero(count[2] > 0), np.flatnonzero(count[3] > 0)
+        first_pair = n + 2
+        home = np.where(count[1] > 0, 1 + np.arange(n), 0)
+        arcs = np.concatenate([(1 + u[pairs]) * n + v[pairs], (first_pair + head[triples]) * n + w[triples]])
+        weights = np.log10(np.concatenate([two[pairs], three[triples]]))
+        targets = np.concatenate([first_pair + pairs, first_pair + tail[triples]])
+        failure = np.concatenate([np.zeros(n + 2, np.int64), home[v]])
+        leave = np.log10(np.concatenate([[1.0], prior[0] / (context + prior[0]), prior[1] / (count[2] + prior[1])]))
+        return cls(n, np.log10(one), home, arcs, weights, targets, failure, leave)  # codes are sorted, so arcs are
+
+    def move(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads a word in each state: the new states, and the weights of the arcs that were taken."""
+        state, weight, new = state.copy(), np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            s, w = state[left], word[left]
+            at_root = s == 0
+            done = left[at_root]
+            weight[done] += self.root[word[done]]
+            new[done] = self.home[word[done]]
+            left, s, w = left[~at_root], s[~at_root], w[~at_root]
+            if not len(left):
+                break
+            key = s * self.words + w
+            at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+            hit = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
+            weight[left[hit]] += self.weights[at[hit]]
+            new[left[hit]] = self.targets[at[hit]]
+            left, s = left[~hit], s[~hit]
+            weight[left] += self.leave[s]
+            state[left] = self.failure[s]
+        return new, weight
+
+    def read(self, tokens: np.ndarray, first: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+        """The weight of each token of texts that begin at ``first``. Long texts are read from several places at a time: a state is what its
+        last two words lead to, so reading these two first gives the state in which a place is reached."""
+        out = np.zeros(len(tokens))
+        size = np.diff(first)
+        parts = -(-size // segment)
+        text = np.repeat(np.arange(len(size)), parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = first[text] + number * segment
+        stop = np.minimum(begin + segment, first[text + 1])
+        state = np.where(begin - 2 < first[text], 1 + self.words, 0)
+        for back in (2, 1):
+            inner = np.flatnonzero(begin - back >= first[text])
+            state[inner], _ = self.move(state[inner], tokens[begin[inner] - back])
+        order = np.argsort(begin - stop, kind="stable")  # the longest first
+        begin, stop, state = begin[order], stop[order], state[order]
+        length = stop - begin
+        for k in range(int(length.max()) if len(length) else 0):
+            live = int(np.searchsorted(-length, -k, "left"))
+            state[:live], out[begin[:live] + k] = self.move(state[:live], tokens[begin[:live] + k])
         return out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbol_share: float = SYMBOL_SHARE, arc_share: float = ARC_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """Scores all texts, learning from those whose crc32(id as text) modulo 10 is not 0.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams with additive smoothing) and score (log10).
 
     Defined cases: a null or empty text is the end token alone; a null id counts as the empty string; repeated rows count
-    and are scored each; without training documents, score and base come from the smoothing alone; an empty table gives no rows;
-    other columns are left out.
+    and are scored each; a text longer than a block is a block of its own, read from several places at a time with the same result; words
+    never seen share one probability; without training documents, score and base come from the smoothing alone; an empty table
+    gives no rows; other columns are left out.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    folder = work_path(spark, "lm")
-    system, place = _filesystem(folder)
-    system.create_dir(place, recursive=True)
+    folder = make_folder(spark, "lm")
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     rows = docs.select(F.col(id_col).alias("i"), held.alias("h"), F.col(text_col).alias("t"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in tb.slices(b, "t", block_bytes):
-                raw, offsets = tb.buffers(part.column(2))
-                hashes, kinds, first = tokens_of(raw, offsets)
-                words, at = np.unique(hashes, return_inverse=True)
-                train = ~np.array(part.column(1).to_pylist(), bool)
-                counts = np.bincount(at[np.repeat(train, np.diff(first))], minlength=len(words)).astype(np.uint32)
-                word_kinds = np.zeros(len(words), np.int8)
-                word_kinds[at] = kinds
+                pieces, firsts = [], [np.zeros(1, np.int64)]
+                for piece in tb.slices(part.select([2]), "t"):  # a little text at a time
+                    hashes, first = tokens_of(*tb.buffers(piece.column(0)))
+                    pieces.append(hashes)
+                    firsts.append(first[1:] + firsts[-1][-1])
+                first = np.concatenate(firsts)
+                words, at = np.unique(np.concatenate(pieces), return_inverse=True)
+                learn = ~np.array(part.column(1).to_pylist(), bool)
                 block = uuid.uuid4().int >> 65  # a task that runs again writes blocks of its own; the table below says which count
                 schema = pa.schema([part.schema.field(0)])
                 with pa.ipc.new_stream(sink := pa.BufferOutputStream(), schema) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([part.column(0)], schema=schema))
-                _put(f"{folder}/{block}", words=words, counts=counts, kinds=word_kinds, at=at.astype(np.uint32), first=first, train=train, ids=np.frombuffer(sink.getvalue(), np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (block, int(counts.sum()), int(train.sum()), len(words))], names=["block", "tokens", "texts", "n"])
+                put_arrays(f"{folder}/{block}", words=words, at=np.frombuffer(packed(at.astype(np.uint32)), np.uint8), first=first, learn=learn, ids=np.frombuffer(sink.getvalue(), np.uint8))
+                tokens = int(np.diff(first)[learn].sum())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (block, tokens, int(learn.sum()), len(at), len(words))], names=["block", "tokens", "texts", "n", "words"])
 
-    blocks = stored(rows.mapInArrow(tokenise, "block long, tokens long, texts long, n long"), "lm-blocks")
-    n_train, n_texts, n_rows, n_blocks = (int(x or 0) for x in blocks.agg(F.sum("tokens"), F.sum("texts"), F.sum("n"), F.count("*")).first())
-    shards = max(1, -(-n_rows // SHARD_WORDS))
-    each = blocks.select("block").repartition(max(1, n_blocks))  # a task for each block
+    blocks = stored(rows.mapInArrow(tokenise, "block long, tokens long, texts long, n long, words long"), "lm-blocks")
+    n_train, n_texts, n_tokens, n_words, n_blocks = (int(x or 0) for x in blocks.agg(*[F.sum(c) for c in ("tokens", "texts", "n", "words")], F.count("*")).first())
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's distinct words, counts and classes, to the shards that they belong to: ranges of the hash."""
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+        """Rows come sorted by block, order and shard: one block at a time, with its answers so far."""
+        now, cells = None, {}
         for b in batches:
-            for block in b.column(0).to_pylist():
-                x = _get(f"{folder}/{block}")
-                words, counts, kinds = x["words"], x["counts"], x["kinds"]
-                shard = ((words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                own, start = np.unique(shard, return_index=True)
-                edge = [*start.tolist(), len(words)]
-                cut = lambda v: pa.array([v[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array([block] * len(own), pa.int64()), cut(words), cut(counts), cut(kinds)], names=["shard", "block", "words", "counts", "kinds"])
-
-    least = max(2.0, symbol_share * n_train)
-    kinds_of_answer = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("answer", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("rest", pa.binary()), ("distinct", pa.int64())])
-
-    def totals(shard: int, asked: list[tuple]) -> pa.RecordBatch:
-        """What a shard answers its blocks, and a row with its frequent words, classes' tokens and number of distinct words."""
-        words, at = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
-        sums = np.bincount(at, np.concatenate([x[2] for x in asked]), len(words)).astype(np.int64)
-        kinds = np.zeros(len(words), np.int8)
-        kinds[at] = np.concatenate([x[3] for x in asked])
-        often, others = (sums >= least) & (words != END), (sums < least) & (words != END)
-        rest = np.bincount(kinds[others], sums[others], CLASSES).astype(float)
-        edge = np.cumsum([0, *[len(x[1]) for x in asked]])
-        answers = [{"shard": shard, "block": x[0], "answer": sums[at[i:j]].tobytes()} for x, i, j in zip(asked, edge, edge[1:], strict=False)]
-        own = {"shard": shard, "words": words[often].tobytes(), "counts": sums[often].tobytes(), "rest": rest.tobytes(), "distinct": int((sums > 0).sum())}
-        return pa.RecordBatch.from_pylist([*answers, own], kinds_of_answer)
+            for block, order, cell in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+                if block != now and now is not None:
+                    yield now, cells
+                    cells = {}
+                now = block
+                if order:
+                    cells.setdefault(order, []).append(cell)
+        if now is not None:
+            yield now, cells
+        tb.release()
+
+    def known(block: int, cells: dict[int, list[bytes]], orders: int) -> Block:
+        own = Block(f"{folder}/{block}")
+        for order in range(1, orders + 1):
+            if order > 1:
+                own.grow(order)
+            own.learned(order, cells.get(order, []))
+        return own
+
+    def dealt(order: int, shards: int):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, cells in by_block(batches):
+                own = known(block, cells, order - 1)
+                if order > 1:
+                    own.grow(order)
+                at = own.question(order)
+                train, every = (x[at] for x in own.own(order))
+                keys = own.keys[order][at]
+                shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+                numbers, start = np.unique(shard, return_index=True)
+                edge = [*start.tolist(), len(keys)]
+                cut = [slice(i, j) for i, j in zip(edge, edge[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(numbers.astype(np.int64)), pa.array(np.full(len(cut), block)), pa.array([packed(np.diff(keys[c], prepend=np.uint64(0))) for c in cut], pa.binary()),
+                    pa.array([packed(np.concatenate([train[c], every[c] - train[c]]).astype(np.uint32)) for c in cut], pa.binary())], names=["shard", "block", "grams", "counts"])
+        return deal
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard: one shard at a time."""
+        """Rows come sorted by shard, one shard at a time: sums go back to its blocks, and a row says how many n-grams were learned."""
+        def sums(shard: int, asked: list[tuple]) -> pa.RecordBatch:
+            keys = [np.cumsum(unpacked(g, np.uint64), dtype=np.uint64) for _, g, _ in asked]
+            counts = [unpacked(c, np.uint32).reshape(2, -1) for _, _, c in asked]
+            grams, at = np.unique(np.concatenate(keys), return_inverse=True)
+            train = np.bincount(at, np.concatenate([c[0] for c in counts]), len(grams)).astype(np.int64)
+            every = train + np.bincount(at, np.concatenate([c[1] for c in counts]), len(grams)).astype(np.int64)
+            edge = np.cumsum([0, *map(len, keys)])
+            cells = [packed(np.concatenate([train[at[i:j]], every[at[i:j]]])) for i, j in zip(edge, edge[1:], strict=False)]
+            n = len(asked)
+            return pa.RecordBatch.from_arrays([
+                pa.array([x[0] for x in asked] + [None], pa.int64()), pa.array([shard] * (n + 1), pa.int64()), pa.array([*cells, None], pa.binary()),
+                pa.array([None] * n + [int((train > 0).sum())], pa.int64())], names=["block", "shard", "cell", "learned"])
+
         now, asked = None, []
         for b in batches:
-            for shard, block, words, counts, kinds in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
+            for shard, block, grams, counts in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
                 if shard != now and asked:
-                    yield totals(now, asked)
+                    yield sums(now, asked)
                     asked = []
                 now = shard
-                asked.append((block, np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32), np.frombuffer(kinds, np.int8)))
+                asked.append((block, grams, counts))
         if asked:
-            yield totals(now, asked)
-
-    dealt = each.mapInArrow(deal, "shard long, block long, words binary, counts binary, kinds binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    answers = stored(dealt.mapInArrow(total, "shard long, block long, answer binary, words binary, counts binary, rest binary, distinct long"), "lm-counts")
-    found = answers.where("block is null").select("words", "counts", "rest", "distinct")
-    summed = found.agg(F.sum("distinct")).first()[0]
-    vocabulary = int(summed or 0)
-    rest = np.zeros(CLASSES)
-    held_words, held_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in found.toLocalIterator():  # at most 1 / symbol_share words in all, a shard at a time
-        rest += np.frombuffer(r["rest"], float)
-        held_words.append(np.frombuffer(r["words"], np.uint64))
-        held_counts.append(np.frombuffer(r["counts"], np.int64))
-    words, counts = np.concatenate(held_words), np.concatenate(held_counts)
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    n = len(words) + CLASSES + 1
-    _put(f"{folder}/symbols", words=words)
-
-    def symbols_of(block, known: np.ndarray) -> np.ndarray:
-        """The symbol of each of a block's words."""
-        own = block["words"]
-        out = len(known) + block["kinds"].astype(np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            out = np.where(known[at] == own, at, out)
-        out[own == END] = n - 1
-        return out
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _get(f"{folder}/symbols")["words"]
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                block = _get(f"{folder}/{path}")
-                symbols = symbols_of(block, known)[block["at"]]
-                first = block["first"]
-                state = np.empty(len(symbols), np.int64)
-                state[1:] = symbols[:-1]
-                state[first[:-1]] = n
-                key, count = np.unique((state * (n + 1) + symbols)[np.repeat(block["train"], np.diff(first))], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(count, pa.int64())], names=["k", "c"])
-
-    kept = each.mapInArrow(pairs, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    kept = kept.where(F.col("c") >= max(2.0, arc_share * n_train)).toArrow()  # at most 1 / arc_share arcs
-    arcs, arc_counts = (np.asarray(kept.column(k).to_numpy(), np.int64) for k in ("k", "c"))
-    order = np.argsort(arcs)
-    model = Automaton.built(words, counts, rest, arcs[order], arc_counts[order], n_texts)
-    _put(f"{folder}/automaton", symbols=model.symbols, root=model.root, arcs=model.arcs, weights=model.weights, failure=model.failure)
-
-    def finish(path: int, parts: list[bytes], machine: Automaton) -> pa.RecordBatch:
-        block = _get(f"{folder}/{path}")
-        sums = np.frombuffer(b"".join(parts), np.int64)
-        symbols = symbols_of(block, machine.symbols)
-        at, first = block["at"], block["first"]
-        base = np.log10((sums + SMOOTH) / (n_train + SMOOTH * (vocabulary + 1)))
-        # Within its class, a word's smoothed share.
-        inner = np.zeros(len(sums))
-        plain = (symbols >= len(machine.symbols)) & (symbols < n - 1)
-        inner[plain] = np.log10((sums[plain] + SMOOTH) / (rest[symbols[plain] - len(machine.symbols)] + SMOOTH * (vocabulary + 1)))
-        moves = machine.scores(symbols[at], first) + inner[at]
-        add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has a token
-        ids = pa.ipc.open_stream(block["ids"].tobytes()).read_all().column(0).combine_chunks()
-        return pa.RecordBatch.from_arrays([
-            ids, pa.array(~block["train"], pa.bool_()), pa.array(np.diff(first), pa.int64()), pa.array(add((sums[at] > 0).astype(np.int64)), pa.int64()),
-            pa.array(np.full(len(first) - 1, n_train), pa.int64()), pa.array(add(base[at]), pa.float64()), pa.array(add(moves), pa.float64())],
-            names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield sums(now, asked)
+        tb.release()
+
+    each = blocks.select("block", F.lit(0).alias("order"), F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("binary").alias("cell"))
+    distinct = 0
+    for order in (1, 2, 3):
+        shards = max(1, -(-(n_words if order == 1 else n_tokens) // shard_keys))
+        to_blocks = each.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "order", "shard").select("block", "order", "cell")
+        cells = to_blocks.mapInArrow(dealt(order, shards), "shard long, block long, grams binary, counts binary")
+        answers = cells.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(total, "block long, shard long, cell binary, learned long")
+        answers = stored(answers, "lm-counts")
+        if order == 1:
+            distinct = int(answers.agg(F.sum("learned")).first()[0] or 0)
+        each = each.union(answers.where("block is not null").select("block", F.lit(order).alias("order"), "shard", "cell"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block and shard: one block at a time."""
-        machine, path, parts = None, None, []
-        for b in batches:
-            for block, answer in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if machine is None:
-                    saved = _get(f"{folder}/automaton")
-                    machine = Automaton(*[saved[k] for k in ("symbols", "root", "arcs", "weights", "failure")])
-                if block != path and parts:
-                    yield finish(path, parts, machine)
-                    parts = []
-                path = block
-                parts.append(answer)
-        if parts:
-            yield finish(path, parts, machine)
-
-    gathered = answers.where("block is not null").select("block", "shard", "answer").repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "shard")
-    return gathered.select("block", "answer").mapInArrow(
+        for number, cells in by_block(batches):
+            own = known(number, cells, 3)
+            machine = Automaton.of_counts(own.codes, own.tail, own.train, n_train, n_texts, distinct)
+            at, first = own.at, own.first
+            add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has a token
+            ids = pa.ipc.open_stream(own.ids.tobytes()).read_all().column(0).combine_chunks()
+            yield pa.RecordBatch.from_arrays([
+                ids, pa.array(~own.learn, pa.bool_()), pa.array(np.diff(first), pa.int64()), pa.array(add((own.train[1][at] > 0).astype(np.int64)), pa.int64()),
+                pa.array(np.full(len(first) - 1, n_train), pa.int64()), pa.array(add(machine.root[at]), pa.float64()), pa.array(add(machine.read(at, first)), pa.float64())],
+                names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    to_blocks = each.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "order", "shard").select("block", "order", "cell")
+    return to_blocks.mapInArrow(
         score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

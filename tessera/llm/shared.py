@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What this process has written to the shared folder and not deleted yet.
+_written: set[str] = set()
+
 #: A-Z, and what they become; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,18 +25,85 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def filesystem(uri: str):
+    """The file system of a place, and the place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file://{uri}")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share. Where none is named, a temporary one serves a local session; a cluster must name one."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not have:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.sparkContext.setCheckpointDir(have)
     return have
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; what is written there is deleted when the process ends, if not before."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def make_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared folder."""
+    path = work_path(spark, name)
+    system, place = filesystem(path)
+    system.create_dir(place, recursive=True)
+    return path
+
+
+def discard(paths: set[str]) -> None:
+    """Deletes written tables and folders that nothing reads any more."""
+    for path in sorted(paths & _written):
+        _written.discard(path)
+        try:
+            system, place = filesystem(path)
+            system.delete_dir(place)
+        except OSError:  # never written, or gone already
+            pass
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """All that is written inside is deleted at the end: the results must have been written elsewhere by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        discard(_written - before)
+
+
+def keep(path: str) -> None:
+    """From now on the caller owns what is written there."""
+    _written.discard(path)
+
+
+@atexit.register
+def _clean() -> None:
+    discard(set(_written))
+
+
+def put_arrays(path: str, **arrays: np.ndarray) -> None:
+    """Writes arrays as one compressed file, under its name only when complete."""
+    system, name = filesystem(path)
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    part = f"{name}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part, compression=None) as f:
+        f.write(zstandard.ZstdCompressor(level=1).compress(out.getbuffer()))
+    system.move(part, name)
+
+
+def get_arrays(path: str):
+    system, name = filesystem(path)
+    with system.open_input_stream(name, compression=None) as f:
+        return np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(f.read())))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,12 +127,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).toDF("a", "b").distinct(), f"{name}-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-labels")
+    spark, old = edges.sparkSession, set()
     while True:
         near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = step.join(jump, "low", "left").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("changed"))
-        new = stored(new, f"{name}-labels")
+        path = work_path(spark, f"{name}-labels")
+        new.write.parquet(path)
+        discard(old)  # the labels of the round before
+        old, new = {path}, spark.read.schema(new.schema).parquet(path)
         labels = new.select("node", "label")
         if new.where("changed").isEmpty():
             return labels

@@ -25,9 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .ngram_lm import _get, _put
-from .shared import stored, work_path
-from .warc import _filesystem
+from .shared import get_arrays, make_folder, put_arrays, stored
 
 #: Bytes of a repeated string; of an anchor's hash; most distinct contexts of a hash that meet in a task; bytes in a suffix array; in a block.
 LENGTH, GRAM, HOT, ARRAY_BYTES, BLOCK_BYTES = 200, 32, 4096, 256 << 10, 2 << 20
@@ -175,9 +173,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """
     spark = docs.sparkSession
     columns = columns or [id_col]
-    folder = work_path(spark, "suffix")
-    system, place = _filesystem(folder)
-    system.create_dir(place, recursive=True)
+    folder = make_folder(spark, "suffix")
     rows = docs.select(*columns, F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t"))
 
     def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +185,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 with pa.ipc.new_stream(sink := pa.BufferOutputStream(), head.schema) as out:
                     out.write_batch(head)
                 ids = part.column(len(columns)).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
-                _put(f"{folder}/{block}", raw=raw, offsets=offsets, head=np.frombuffer(sink.getvalue(), np.uint8))
+                put_arrays(f"{folder}/{block}", raw=raw, offsets=offsets, head=np.frombuffer(sink.getvalue(), np.uint8))
                 place, hashes, first, last = block_anchors(raw, offsets, length, gram)
                 data, ahead = raw.tobytes(), place - first
                 context = [xxhash.xxh3_64_intdigest(data[i : j + length], seed=k) for i, j, k in zip(first.tolist(), last.tolist(), ahead.tolist(), strict=True)]
                 owner = np.searchsorted(offsets, place, "right") - 1
-                _put(f"{folder}/{block}.anchors", key=hashes, ctx=np.array(context, np.uint64), owner=owner.astype(np.uint32), ids=ids,
+                put_arrays(f"{folder}/{block}.anchors", key=hashes, ctx=np.array(context, np.uint64), owner=owner.astype(np.uint32), ids=ids,
                      p=place.astype(np.int32), a=ahead.astype(np.int16), w=(last - first + 1).astype(np.int16))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
 
@@ -205,12 +201,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_get(f"{folder}/{block}.anchors")["key"].view(np.int64))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(get_arrays(f"{folder}/{block}.anchors")["key"].view(np.int64))], names=["key"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in b.column(0).to_pylist():
-                x = _get(f"{folder}/{block}.anchors")
+                x = get_arrays(f"{folder}/{block}.anchors")
                 key, p = x["key"].view(np.int64), x["p"]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key), pa.array(x["ctx"].view(np.int64)), pa.array(x["ids"][x["owner"]]), pa.array(np.full(len(p), block)),
@@ -225,7 +221,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _single(batches, 3):
-            data = _get(f"{folder}/{b.column(3)[0].as_py()}")["raw"].tobytes()
+            data = get_arrays(f"{folder}/{b.column(3)[0].as_py()}")["raw"].tobytes()
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
                 begin = part.column(4).to_numpy() - part.column(5).to_numpy()
@@ -303,7 +299,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _single(batches, 0):
-            x = _get(f"{folder}/{b.column(0)[0].as_py()}")
+            x = get_arrays(f"{folder}/{b.column(0)[0].as_py()}")
             raw, offsets = x["raw"], x["offsets"]
             head = pa.ipc.open_stream(x["head"].tobytes()).read_all().combine_chunks().to_batches()
             begin, count, packed = b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(3).to_pylist()

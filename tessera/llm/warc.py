@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import work_path
+from .shared import filesystem, work_path
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
@@ -106,12 +106,6 @@ def read_archive(raw: bytes) -> Iterator[bytes]:
         view = view[len(view) - len(rest) :]
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file://{uri}")
-
-
 def _frames(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     for r in read_archive(raw):
         yield parse_record(r)
@@ -142,7 +136,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def put(records: list[bytes]) -> pa.RecordBatch:
-        system, base = _filesystem(archives)
+        system, base = filesystem(archives)
         system.create_dir(base, recursive=True)
         raw = write_archive(records)
         name = f"{base}/{uuid.uuid4().hex}.warc.zst"
@@ -182,7 +176,7 @@ def read_warc(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                            ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())])
         for b in batches:
             for path in b.column(0).to_pylist():
-                system, base = _filesystem(path)
+                system, base = filesystem(path)
                 with system.open_input_stream(base, compression=None) as f:
                     raw = f.read()
                 rows, size = [], 0

@@ -198,38 +198,86 @@ def test_fm_index_counts_and_locates():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def brute_scores(tokens):
+    """Scores from the definition: (learn, words with their end) -> score, and the probability of a word after two others."""
+    counts = [collections.Counter() for _ in range(3)]
+    for learn, words in tokens:
+        if learn:
+            padded = ["start", *words]
+            counts[0].update(words)
+            counts[1].update(zip(padded, words, strict=False))
+            counts[2].update(zip(padded, words, words[1:], strict=False))
+    total, texts, (mu2, mu3) = sum(counts[0].values()), sum(learn for learn, _ in tokens), ngram_lm.PRIOR
+
+    def probability(u, v, w):
+        p = (counts[0][w] + .1) / (total + .1 * (len(counts[0]) + 1))
+        p = (counts[1][v, w] + mu2 * p) / ((texts if v == "start" else counts[0][v]) + mu2)
+        return p if u is None else (counts[2][u, v, w] + mu3 * p) / (counts[1][u, v] + mu3)
+
+    def score(words):
+        padded = [None, "start", *words]
+        return sum(math.log10(probability(*padded[k : k + 3])) for k in range(len(words)))
+    return [score(words) for _, words in tokens], probability, counts[0]
+
+
 def test_scores_equal_brute_force(spark):
-    rows = [*fixtures.documents(), (None, "null id", "en", "s", 0)] + [(1, "w1 w2", "en", "s", 0)]
+    rows = [*fixtures.documents(), (None, "null id", "en", "s", 0), (1, "w1 w2", "en", "s", 0), (700, "w1 w2 " * 900, "en", "s", 0)]
     token = re.compile(r"[^\x20\x09-\x0D]+")
     tokens = [(i, [*token.findall(lower(t)), "\0end"]) for i, t, *_ in rows]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    count = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    scores, _, count = brute_scores([(not held(i), ws) for i, ws in tokens])
     n, v = sum(count.values()), len(count)
-    want = sorted(((i, held(i), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + .1) / (n + .1 * (v + 1))) for w in ws), 6)) for i, ws in tokens), key=repr)
+    base = [sum(math.log10((count[w] + .1) / (n + .1 * (v + 1))) for w in ws) for _, ws in tokens]
+    want = sorted(((i, held(i), len(ws), sum(count[w] > 0 for w in ws), n, round(b, 6), round(s, 6)) for (i, ws), b, s in zip(tokens, base, scores, strict=True)), key=repr)
     df = fixtures.with_extras(fixtures.frame(spark, rows), "i", "h", "t", "score")
-    for block in (8 << 20, 2000):
-        got = ngram_lm.score_documents(df, block_bytes=block).collect()
-        assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=repr) == want
-        assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
+    for block, shard in ((8 << 20, 1_000_000), (2000, 500)):
+        got = ngram_lm.score_documents(df, block_bytes=block, shard_keys=shard).collect()
+        assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got), key=repr) == want
     assert ngram_lm.score_documents(df.limit(0)).isEmpty()
 
 
+def test_scores_without_training_documents(spark):
+    held = next(k for k in range(1000) if zlib.crc32(str(k).encode()) % 10 == 0)
+    r = ngram_lm.score_documents(fixtures.frame(spark, [(held, "a b", "en", "s", 0)])).first()
+    assert (r["train_tokens"], r["n_known"]) == (0, 0) and r["score"] == pytest.approx(r["base_score"]) == 0  # one class of unseen words
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     rows = ngram_lm.op7_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").collect()
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
-
-
-def test_automaton_is_a_distribution():
-    words, counts, rest = np.array([5, 9], np.uint64), np.array([30, 10]), np.array([4.0, 3.0, 7.0])
-    n = 2 + ngram_lm.CLASSES + 1
-    arcs = np.array([0 * (n + 1) + 1, 0 * (n + 1) + 0, n * (n + 1) + 0])
-    m = ngram_lm.Automaton.built(words, counts, rest, np.sort(arcs), np.array([6.0, 5.0, 4.0]), 8)
-    for state in (0, 1, n):
-        total = 0.0
-        for s in range(n):
-            text = np.array([s]) if state == n else np.array([state, s])
-            total += 10 ** m.scores(text, np.array([0, len(text)]))[-1]
-        assert total == pytest.approx(1, abs=1e-9)
+    assert sum(r["score"] for r in rows) > .8 * sum(r["base_score"] for r in rows)
+
+
+def machine_of(texts, unseen=1):
+    """An automaton over words 0.. of training texts; the last ``unseen`` words occur nowhere."""
+    n = max(max(t) for t in texts) + 1 + unseen
+    tokens, first = np.concatenate([np.array(t) for t in texts]), np.cumsum([0, *map(len, texts)])
+    before = np.concatenate([[n, *t[:-1]] for t in texts])
+    two, place = np.unique(before * n + tokens, return_inverse=True)
+    spot = np.setdiff1d(np.arange(len(tokens)), first)
+    three, place3 = np.unique(place[spot - 1] * n + tokens[spot], return_inverse=True)
+    tail = np.empty(len(three), np.int64)
+    tail[place3] = place[spot]
+    count = {1: np.bincount(tokens, minlength=n), 2: np.bincount(place), 3: np.bincount(place3)}
+    return ngram_lm.Automaton.of_counts({2: two, 3: three}, tail, count, len(tokens), len(texts), int((count[1] > 0).sum())), tokens, first
+
+
+def test_every_state_is_a_distribution():
+    rng = np.random.default_rng(1)
+    end = 6  # which is no context
+    machine, *_ = machine_of([[*rng.integers(0, end, 30).tolist(), end] for _ in range(4)])
+    words = np.arange(machine.words)
+    reached = machine.targets[machine.arcs % machine.words != end]
+    assert len(reached) > 20
+    for state in [0, *np.unique(reached).tolist(), 1 + machine.words]:
+        _, weight = machine.move(np.full(len(words), state), words)
+        assert (10**weight).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("segment", [1, 2, 3, 7])
+def test_long_texts_are_read_alike_from_several_places(segment):
+    rng = np.random.default_rng(2)
+    machine, tokens, first = machine_of([rng.integers(0, 9, n).tolist() for n in (1, 2, 50, 3, 17)])
+    assert np.allclose(machine.read(tokens, first, segment), machine.read(tokens, first))
 
 
 def edited_text(rows):
