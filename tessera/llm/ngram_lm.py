@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .exchange import answered, by_block, cell_schema, cells, packed, unpacked, whole_blocks
 from .shared import get_arrays, make_folder, put_arrays, stored
 
 #: Text bytes in a block; the base's smoothing; the prior's weight for a context of one word, and of two.
@@ -33,6 +33,8 @@ BLOCK_BYTES, SMOOTH, PRIOR = 8 << 20, 0.1, (20.0, 4.0)
 SHARD_KEYS, SEGMENT = 1_000_000, 512
 #: Hashes of the end token and of the start of a text: no word's, as far as 64 bits go.
 END, START = np.uint64(0x5BD1E995C6A4A793), np.uint64(0x1F83D9ABFB41BD6B)
+#: A shard's answer: occurrences in training texts, and in the others.
+COUNTS = np.dtype([("train", np.int64), ("other", np.int64)])
 
 
 def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,16 +51,6 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, at
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers in little space: bytes of equal weight together."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
-
-
-def unpacked(raw: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
-
-
 class Block:
     """A block's texts as places in its distinct words, and its n-grams of each order with their counts, as far as they are known.
 
@@ -117,10 +109,10 @@ class Block:
     def learned(self, order: int, cells: list[bytes]) -> None:
         """Counts over the corpus from the shards' answers, in the order of shards; the others' are the block's own."""
         self.train[order], self.every[order] = self.own(order)
-        counts = [unpacked(c, np.int64).reshape(2, -1) for c in cells]
-        if counts:
+        if cells:
             at = self.question(order)
-            self.train[order][at], self.every[order][at] = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
+            counts = np.concatenate([unpacked(c, COUNTS) for c in cells])
+            self.train[order][at], self.every[order][at] = counts["train"], counts["train"] + counts["other"]
 
 
 class Automaton:
@@ -234,89 +226,44 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = stored(rows.mapInArrow(tokenise, "block long, tokens long, texts long, n long, words long"), "lm-blocks")
     n_train, n_texts, n_tokens, n_words, n_blocks = (int(x or 0) for x in blocks.agg(*[F.sum(c) for c in ("tokens", "texts", "n", "words")], F.count("*")).first())
 
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
-        """Rows come sorted by block, order and shard: one block at a time, with its answers so far."""
-        now, cells = None, {}
-        for b in batches:
-            for block, order, cell in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
-                if block != now and now is not None:
-                    yield now, cells
-                    cells = {}
-                now = block
-                if order:
-                    cells.setdefault(order, []).append(cell)
-        if now is not None:
-            yield now, cells
-        tb.release()
-
-    def known(block: int, cells: dict[int, list[bytes]], orders: int) -> Block:
+    def known(block: int, answers: dict[int, list[bytes]], orders: int) -> Block:
         own = Block(f"{folder}/{block}")
         for order in range(1, orders + 1):
             if order > 1:
                 own.grow(order)
-            own.learned(order, cells.get(order, []))
+            own.learned(order, answers.get(order, []))
         return own
 
     def dealt(order: int, shards: int):
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block, cells in by_block(batches):
-                own = known(block, cells, order - 1)
+            for block, answers in by_block(batches):
+                own = known(block, answers, order - 1)
                 if order > 1:
                     own.grow(order)
                 at = own.question(order)
                 train, every = (x[at] for x in own.own(order))
-                keys = own.keys[order][at]
-                shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                numbers, start = np.unique(shard, return_index=True)
-                edge = [*start.tolist(), len(keys)]
-                cut = [slice(i, j) for i, j in zip(edge, edge[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(numbers.astype(np.int64)), pa.array(np.full(len(cut), block)), pa.array([packed(np.diff(keys[c], prepend=np.uint64(0))) for c in cut], pa.binary()),
-                    pa.array([packed(np.concatenate([train[c], every[c] - train[c]]).astype(np.uint32)) for c in cut], pa.binary())], names=["shard", "block", "grams", "counts"])
+                yield cells(block, own.keys[order][at], [train.astype(np.uint32), (every - train).astype(np.uint32)], shards)
         return deal
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard, one shard at a time: sums go back to its blocks, and a row says how many n-grams were learned."""
-        def sums(shard: int, asked: list[tuple]) -> pa.RecordBatch:
-            keys = [np.cumsum(unpacked(g, np.uint64), dtype=np.uint64) for _, g, _ in asked]
-            counts = [unpacked(c, np.uint32).reshape(2, -1) for _, _, c in asked]
-            grams, at = np.unique(np.concatenate(keys), return_inverse=True)
-            train = np.bincount(at, np.concatenate([c[0] for c in counts]), len(grams)).astype(np.int64)
-            every = train + np.bincount(at, np.concatenate([c[1] for c in counts]), len(grams)).astype(np.int64)
-            edge = np.cumsum([0, *map(len, keys)])
-            cells = [packed(np.concatenate([train[at[i:j]], every[at[i:j]]])) for i, j in zip(edge, edge[1:], strict=False)]
-            n = len(asked)
-            return pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in asked] + [None], pa.int64()), pa.array([shard] * (n + 1), pa.int64()), pa.array([*cells, None], pa.binary()),
-                pa.array([None] * n + [int((train > 0).sum())], pa.int64())], names=["block", "shard", "cell", "learned"])
-
-        now, asked = None, []
-        for b in batches:
-            for shard, block, grams, counts in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
-                if shard != now and asked:
-                    yield sums(now, asked)
-                    asked = []
-                now = shard
-                asked.append((block, grams, counts))
-        if asked:
-            yield sums(now, asked)
-        tb.release()
-
-    each = blocks.select("block", F.lit(0).alias("order"), F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("binary").alias("cell"))
-    distinct = 0
+    def sums(keys: np.ndarray, at: np.ndarray, _, facts: list[np.ndarray]) -> tuple[np.ndarray, int]:
+        """Counts over the corpus, of training texts and of others; and how many n-grams were learned."""
+        train, other = (np.bincount(at, x, len(keys)).astype(np.int64) for x in facts)
+        out = np.empty(len(at), COUNTS)
+        out["train"], out["other"] = train[at], other[at]
+        return out, int((train > 0).sum())
+
+    found, distinct = [], 0
     for order in (1, 2, 3):
         shards = max(1, -(-(n_words if order == 1 else n_tokens) // shard_keys))
-        to_blocks = each.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "order", "shard").select("block", "order", "cell")
-        cells = to_blocks.mapInArrow(dealt(order, shards), "shard long, block long, grams binary, counts binary")
-        answers = cells.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(total, "block long, shard long, cell binary, learned long")
-        answers = stored(answers, "lm-counts")
+        asked = whole_blocks(blocks, found, n_blocks).mapInArrow(dealt(order, shards), cell_schema(2))
+        rows = stored(answered(asked, [np.uint32, np.uint32], shards, order, sums), "lm-counts")
         if order == 1:
-            distinct = int(answers.agg(F.sum("learned")).first()[0] or 0)
-        each = each.union(answers.where("block is not null").select("block", F.lit(order).alias("order"), "shard", "cell"))
+            distinct = int(rows.agg(F.sum("total")).first()[0] or 0)
+        found.append(rows.where("block is not null").drop("total"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, cells in by_block(batches):
-            own = known(number, cells, 3)
+        for number, answers in by_block(batches):
+            own = known(number, answers, 3)
             machine = Automaton.of_counts(own.codes, own.tail, own.train, n_train, n_texts, distinct)
             at, first = own.at, own.first
             add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has a token
@@ -326,8 +273,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 pa.array(np.full(len(first) - 1, n_train), pa.int64()), pa.array(add(machine.root[at]), pa.float64()), pa.array(add(machine.read(at, first)), pa.float64())],
                 names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    to_blocks = each.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "order", "shard").select("block", "order", "cell")
-    return to_blocks.mapInArrow(
+    return whole_blocks(blocks, found, n_blocks).mapInArrow(
         score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

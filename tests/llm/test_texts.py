@@ -66,6 +66,51 @@ def test_split_buckets_and_tiles_change_nothing(spark, monkeypatch):
     assert groups_of(fixtures.frame(spark, rows)) == want
 
 
+def test_long_texts_are_dealt_by_their_bytes(spark, monkeypatch):
+    base = fixtures.words(__import__("random").Random(4), 3000)
+    rows = [(k, " ".join([*base[: 40 * k], f"new{k}", *base[40 * k + 1 :]]), "en", "s", 0) for k in range(12)]
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", 60_000)
+    assert groups_of(fixtures.frame(spark, rows)) == brute_groups(rows)
+
+
+def test_links_near_the_threshold_are_found(spark):
+    """Pairs of similarity 0.8 to 0.9, planted among texts that share half: at least the target recall, and no other links."""
+    rng = __import__("random").Random(5)
+    common = fixtures.words(rng, 60)
+    rows = []
+    for k in range(150):
+        body = [*common, *fixtures.words(rng, 120, 50_000)]
+        other = list(body)
+        for _ in range(rng.choice([1, 2, 3])):
+            other[rng.randrange(len(other))] = "changed"
+        rows += [(2 * k, " ".join(body), "en", "s", 0), (2 * k + 1, " ".join(other), "en", "s", 0)]
+    want, got = brute_groups(rows), groups_of(fixtures.frame(spark, rows))
+    linked = sum(x[3] for x in want.values())
+    assert linked > 250 and sum(x[3] for x in got.values()) >= .999 * linked and got == want
+
+
+def test_trie_walk_joins_all_links():
+    """Members of one node in many labels: whatever is linked ends in one group."""
+    rng = np.random.default_rng(6)
+    a, b = jaccard_join._constants(jaccard_join.TREES * jaccard_join.DEEPEST)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = []
+    for k in range(120):
+        s = base.copy() if k % 2 else rng.integers(0, 2**63, 400).astype(np.uint64)
+        s[rng.choice(400, rng.integers(0, 90), False)] = rng.integers(0, 2**63, 1)
+        sets.append(np.unique(s))
+    table = np.stack([jaccard_join.signature(s, a, b).astype(np.uint8) for s in sets])
+    label = rng.integers(0, 4, len(sets)) << 8  # of one prefix
+    order = np.argsort(label, kind="stable")
+    group = np.arange(len(sets))
+    jaccard_join.walk(table[order], label[order], group, np.zeros(len(sets)), 5, .8)
+    for x, y in itertools.combinations(range(len(sets)), 2):
+        p, q = set(sets[order[x]].tolist()), set(sets[order[y]].tolist())
+        if len(p & q) / len(p | q) >= .8:
+            assert group[x] == group[y]
+    assert len(set(group.tolist())) > 50
+
+
 def test_groups_of_nothing_and_of_repeated_rows(spark):
     assert groups_of(fixtures.frame(spark, [])) == {}
     rows = [(1, "a b c d e f g", "en", "s", 0)] * 3 + [(1, "quite another text of more words than that", "en", "s", 0), (None, "a b c d e f g", "en", "s", 0)]
@@ -74,7 +119,7 @@ def test_groups_of_nothing_and_of_repeated_rows(spark):
 
 
 def test_prefixes_are_as_long_as_recall_allows():
-    d = jaccard_join.prefix_length()
+    d = jaccard_join.shortest()
     assert 1 - (1 - .8**d) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - .8 ** (d + 1)) ** jaccard_join.TREES
 
 
@@ -99,21 +144,43 @@ def brute_dedup(rows, keep, length=200):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_dedup_equals_brute_force(spark, keep, hot):
+@pytest.mark.parametrize(("meet", "block"), [(4096, 2 << 20), (1, 2 << 20), (2, 4000)])
+def test_dedup_equals_brute_force(spark, keep, meet, block):
     rows = [*fixtures.documents(), (500, "ab" * 300, "en", "s", 0), (501, "é" * 150 + "x" * 220, "en", "s", 0), (502, "z" * 199, "en", "s", 0), (503, "z" * 199, "en", "s", 0)]
-    df = fixtures.with_extras(fixtures.frame(spark, rows), "key", "ctx", "n_bytes", "block")
-    got = suffix_dedup.dedup(df, keep=keep, hot=hot).collect()
+    passage = rows[0][1][-150:] + " " + "shared passage of all documents, cut off everywhere, " * 6
+    rows += [(600 + k, f"{k} " * (k % 7) + passage[k % 5 : len(passage) - k % 11] + f" end {k}", "en", "s", 0) for k in range(30)]
+    df = fixtures.with_extras(fixtures.frame(spark, rows), "key", "ctx", "n_bytes", "block").repartition(3)
+    got = suffix_dedup.dedup(df, keep=keep, meet=meet, block_bytes=block).collect()
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_dedup(rows, keep)
     assert suffix_dedup.dedup(df.limit(0)).isEmpty()
 
 
-def test_suffix_order():
-    raw = np.frombuffer(b"banana bandana banana", np.uint8)
-    starts = np.arange(len(raw) - 5)
-    order, same = suffix_dedup.suffix_order(raw, starts, 6)
-    assert order.tolist() == sorted(range(len(starts)), key=lambda k: (raw[k : k + 6].tobytes(), k))
-    assert [bool(x) for x in same] == [bool(k and raw[order[k] : order[k] + 6].tobytes() == raw[order[k - 1] : order[k - 1] + 6].tobytes()) for k in range(len(order))]
+def test_dedup_of_null_ids_repeated_rows_and_ids_of_letters(spark):
+    text = fixtures.documents()[0][1] + "more than two hundred bytes " * 9
+    rows = [(None, text, "en", "s", 0), (None, None, "en", "s", 0), (7, text, "en", "s", 0), (7, text, "en", "s", 0)]
+    got = suffix_dedup.dedup(fixtures.frame(spark, rows).repartition(2)).collect()
+    removed = sorted((r["n_removed"], r["doc_id"] is None) for r in got)
+    assert len(got) == 4 and [x for x, null in removed if null and x] != [len(text)]  # the first copy, of null id, stays
+    assert [x for x, null in removed if not null] == [len(text)] * 2
+    named = spark.createDataFrame([("a", text), ("b", text), (None, text)], "doc_id string, text string")
+    got = suffix_dedup.dedup(named).collect()
+    assert sorted(r["n_removed"] == len(text) for r in got) == [False, True, True] and {r["doc_id"] for r in got} == {"a", "b", None}
+
+
+@pytest.mark.parametrize("length", [3, 6, 11, 40])
+def test_previous_factors_equal_brute_force(length):
+    rng = np.random.default_rng(length)
+    for raw in (np.frombuffer(b"banana bandana banana banana bandana bananas", np.uint8), rng.integers(97, 99, 300).astype(np.uint8), np.zeros(90, np.uint8)):
+        starts = np.arange(len(raw) - length + 1)
+        text = raw.tobytes()
+        order, common = suffix_dedup.suffix_array(raw, starts, length)
+        assert order.tolist() == sorted(range(len(starts)), key=lambda k: (text[k : k + length], k))
+        def shared(p, q):
+            return next((k for k in range(length) if text[p + k] != text[q + k]), length)
+        assert common[1:].tolist() == [shared(p, q) for p, q in itertools.pairwise(order.tolist())]
+        factor, twice = suffix_dedup.previous_factors(raw, starts, length)
+        assert factor.tolist() == [max([shared(p, q) for q in range(p)], default=0) for p in range(len(starts))]
+        assert twice.tolist() == [any(shared(p, q) == length for q in range(len(starts)) if q != p) for p in range(len(starts))]
 
 
 @pytest.mark.parametrize("bits", [11, 5, 3])
