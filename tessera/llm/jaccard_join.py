@@ -1,15 +1,17 @@
 """N-gram Jaccard self-join of texts: an LSH forest of MinHash prefixes, then exact verification.
 
 Texts with the same set of word shingles are one class, and one representative of it is compared. Its MinHash values are dealt
-to ``TREES`` prefix tries; the prefixes that must match are shortened, from ``DEEPEST`` on, until a pair at the threshold shares one in
-some tree with probability ``RECALL``. Representatives with a common prefix meet in a bucket; buckets of the same members are
-searched once. In a bucket, members join a pivot if their signatures agree enough to leave room for any chain member - pivot - member
-above the threshold; members far from the pivot stay for the next one. The joined sets are candidate groups, in which all pairs are
-verified exactly on their shingles, in tiles of bounded size.
-
-Scale: copies are summed up before any shuffle of more than digests. Buckets over ``BUCKET`` members are split by a hash of the member, and
-the pivots of the splits meet in a further round; groups over ``TILE`` members are dealt in pairs of blocks. A tile emits a count
-for each member and the edges of a spanning forest, never its pairs. No links, labels or signatures reach the driver.
+to ``TREES`` prefix tries, ``DEEPEST`` values each: a label of that many bytes in each tree, and the sorted labels of a tree are its trie.
+All trees are sorted together (by range, so that no label is too frequent for a task). Matched prefixes are shortened value by value, from
+whole labels on; ``shortest`` says where that ends: as soon as a pair at the threshold shares a prefix in some tree with
+probability ``RECALL``. Below each node of that depth, members of a deeper node meet first; in a node, members join a pivot if
+their signatures leave room for a link between them or anything that left with them, members near the pivot leave with it and widen its
+radius, and only pivots go on when the prefix is shortened. A node whose members are of one group already is passed over. The joined
+sets are candidate groups, in which all pairs are verified exactly on their shingles (as 64-bit hashes), in tiles of bounded size.
+
+Scale: copies are summed up before any shuffle of more than digests. Nodes of over ``BUCKET`` members are split by a hash of the member, and
+the pivots of the splits meet by blocks, two by two; groups over ``TILE`` members or ``TILE_BYTES`` are dealt in pairs of blocks. A tile
+emits a count for each member and the edges of a spanning forest, never its pairs. No links, labels or signatures reach the driver.
 """
 
 from __future__ import annotations
@@ -28,24 +30,33 @@ from .shared import components, stored
 
 #: Words in a shingle; the similarity from which texts are linked.
 SHINGLE, THRESHOLD = 5, 0.8
-#: The forest; and the number of MinHash values in the signature that guesses similarities.
-TREES, DEEPEST, RECALL, SIGNATURE = 24, 6, 0.9999, 120
-#: Most members of a bucket in one task, and of each of the two blocks of a tile.
-BUCKET, TILE = 2048, 2048
-#: Trees whose buckets are joined first.
+#: The forest: trees, MinHash values in a label (a byte of each), the target recall.
+TREES, DEEPEST, RECALL = 24, 8, 0.9999
+#: Most members of a node in one task; most members, and shingle bytes in the mean, of each of the two blocks of a tile.
+BUCKET, TILE, TILE_BYTES = 1024, 1024, 4 << 20
+#: Trees whose nodes are joined first.
 FIRST_TREES = 4
-#: A guess of a similarity s from the signature is off by less than this, but for about one in a million.
-SLACK = 0.18
+#: Signatures guess a similarity; a guess is off by more than so many standard deviations for about one in a million.
+DEVIATIONS = 4.75
+#: Members that seem to be at least so like a pivot leave with it, while nothing that left is further than this from it.
+APART, MOST_RADIUS = 0.9, 0.3
+#: Representatives that are looked up by a broadcast; more of them are joined by sorting.
+BROADCAST_ROWS = 200_000
 
 
-def prefix_length(trees: int = TREES, threshold: float = THRESHOLD, recall: float = RECALL, deepest: int = DEEPEST) -> int:
-    """The longest prefix with which pairs at the threshold meet with the target recall."""
+def shortest(trees: int = TREES, threshold: float = THRESHOLD, recall: float = RECALL, deepest: int = DEEPEST) -> int:
+    """Prefixes are shortened from ``deepest`` on until pairs at the threshold meet with the target recall."""
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def slack(similarity: np.ndarray) -> np.ndarray:
+    """How far off a signature's guess of a similarity may be."""
+    return DEVIATIONS * np.sqrt(similarity * (1 - similarity) / (TREES * DEEPEST))
+
+
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     seed = np.arange(1, 2 * n + 1, dtype=np.uint64)
     x = tb.mix(seed * np.uint64(0x9E3779B97F4A7C15))
@@ -83,31 +94,27 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def summarise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each document's set digest, number of shingles, signature, and prefixes' hashes: the only pass over all texts."""
-    depth = prefix_length()
+    """Each document's set digest, number of shingles, and labels in the trees: the only pass over all texts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _constants(TREES * depth)
+        a, b = _constants(TREES * DEEPEST)
         for batch in batches:
             for part in tb.slices(batch, "t"):
                 raw, offsets = tb.buffers(part.column(1))
-                digests, sizes, signs, keys = [], [], [], []
+                digests, sizes, labels = [], [], []
                 for k, s in enumerate(shingle_sets(raw, offsets)):
                     sizes.append(len(s))
                     if not len(s):
                         digests.append(xxhash.xxh3_128_digest(raw[offsets[k] : offsets[k + 1]].tobytes(), seed=1))
-                        signs.append(None)
-                        keys.append(None)
+                        labels.append(None)
                         continue
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    low = signature(s, a, b)
-                    signs.append(low[:SIGNATURE].astype(np.uint8).tobytes())
-                    keys.append([xxhash.xxh3_64_intdigest(low[t * depth : (t + 1) * depth].tobytes(), seed=t) - 2**63 for t in range(TREES)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "n", "sign", "keys"])
+                    labels.append(signature(s, a, b).astype(np.uint8).view(">i8").astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64()))], names=["id", "digest", "n", "labels"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return stored(rows.mapInArrow(work, f"id {kind}, digest binary, n long, sign binary, keys array<long>"), "jaccard-docs")
+    return stored(rows.mapInArrow(work, f"id {kind}, digest binary, n long, labels array<long>"), "jaccard-docs")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -125,88 +132,141 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield key, list(zip(*columns, strict=True))
 
 
-def _pivot_round(members: DataFrame, near: float, apart: float) -> DataFrame:
-    """In each (bucket, part): edges member - pivot that join two of the groups ``comp`` known so far, and, for buckets that are split,
-    the pivots (b null). Members at ``apart`` or more leave with their pivot."""
+def _prefix(label: np.ndarray, values: int) -> np.ndarray:
+    """The first values of labels, as numbers."""
+    return label >> (8 * (DEEPEST - values))
+
+
+def trie_nodes(reps: DataFrame, depth: int) -> DataFrame:
+    """Members (tree, label, digest) of all trees that share a prefix of ``depth`` values with another one (or stand at the border of a range).
+
+    The trees are sorted by range of tree, label and member, so that also a label of a third of all members is dealt over tasks."""
+    rows = reps.where("n > 0").select("digest", F.posexplode("labels").alias("tree", "label"))
+    dealt = rows.repartitionByRange("tree", "label", "digest").sortWithinPartitions("tree", "label").select("tree", "label", "digest")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None  # the last member, and whether its prefix was met before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.concat_batches([held, b])
+            tree, prefix = b.column(0).to_numpy(), _prefix(b.column(1).to_numpy(), depth)
+            same = (tree[1:] == tree[:-1]) & (prefix[1:] == prefix[:-1])
+            met = np.concatenate([[True if before is None else before], same]) | np.concatenate([same, [False]])
+            yield b.slice(0, b.num_rows - 1).filter(pa.array(met[:-1]))
+            held, before = b.slice(b.num_rows - 1), bool(same[-1]) if len(same) else True if before is None else before
+        if held is not None:
+            yield held
+
+    return dealt.mapInArrow(work, "tree int, label long, digest binary")
+
+
+def _meet(own: np.ndarray, group: np.ndarray, radius: np.ndarray, left: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges that join two groups, and the pivots of the members ``left``. By the triangle inequality of the distance 1 - s, members whose
+    distance is over that of a link and both radii have no link, nor has anything that left with them."""
+    edges, pivots = [], []
+    while len(left):
+        pivot, left = int(left[0]), left[1:]
+        pivots.append(pivot)
+        if not len(left):
+            break
+        like = (own[left] == own[pivot]).mean(1)
+        far = 1 - like + slack(np.minimum(like, 0.97)) + radius[left]
+        leave = (like >= APART) & (far <= MOST_RADIUS)
+        radius[pivot] = max(radius[pivot], far[leave].max(initial=0.0))
+        least = np.maximum(threshold - radius[pivot] - radius[left], 0.0)
+        joined = left[like >= least - slack(least)]
+        groups, first = np.unique(group[joined], return_index=True)
+        for g, k in zip(groups.tolist(), joined[first].tolist(), strict=True):
+            if g != group[pivot]:
+                edges.append((k, pivot))
+                group[group == g] = group[pivot]
+        left = left[~leave]
+    return edges, pivots
+
+
+def walk(own: np.ndarray, label: np.ndarray, group: np.ndarray, radius: np.ndarray, depth: int, threshold: float, all_pivots: bool = False) -> tuple[list[tuple[int, int]], list[int]]:
+    """Joins the members of a node of ``depth``, sorted by label, from the whole labels' nodes on: prefixes are shortened by a value at a time,
+    and only pivots go on. ``group`` names the groups known so far; it and ``radius`` are changed. Returns edges that join two groups, and
+    the pivots (with ``all_pivots`` also of nodes that have nothing to join)."""
+    edges: list[tuple[int, int]] = []
+    alive = np.arange(len(label))
+    for values in range(DEEPEST, depth - 1, -1):
+        prefix = _prefix(label[alive], values)
+        begin = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+        if len(begin) == len(alive):
+            continue
+        on = []
+        for i, j in zip(begin.tolist(), np.append(begin[1:], len(alive)).tolist(), strict=True):
+            node = alive[i:j]
+            if j - i == 1 or not all_pivots and (group[node] == group[node[0]]).all():
+                on.extend(node.tolist())
+                continue
+            found, stay = _meet(own, group, radius, node, threshold)
+            edges += found
+            on.extend(stay)
+        alive = np.array(on, np.int64)
+    return edges, alive.tolist()
+
+
+def _pivot_round(members: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """In each (bucket, part): edges that join two of the groups ``comp`` known so far, and, for buckets that are split, the pivots (b null)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, _), (digests, signs, comps, split) in _groups(batches, 2):
+        for (bucket, _), (digests, labels, trees, comps, radii, split) in _groups(batches, 2):
             if not split[0] and len(set(comps)) == 1:
                 continue
-            own = np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1)
-            left = np.array(sorted(range(len(digests)), key=lambda k: digests[k]))
+            table = np.array(labels, np.int64)
+            label = table[np.arange(len(trees)), np.array(trees)]
+            order = np.lexsort((np.array([int.from_bytes(d[:7], "big") for d in digests]), label))
+            own, radius = table.view(np.uint8).reshape(len(table), -1)[order], np.array(radii)[order]
             _, group = np.unique(np.array(comps, dtype=object), return_inverse=True)
-            edges, pivots = [], []
-            while len(left):
-                pivot = left[0]
-                like = (own[left] == own[pivot]).mean(1)
-                taken = left[like >= near]
-                groups, first = np.unique(group[taken], return_index=True)
-                for g, k in zip(groups.tolist(), taken[first].tolist(), strict=True):
-                    if g != group[pivot]:
-                        edges.append((digests[k], digests[pivot]))
-                        group[group == g] = group[pivot]
-                pivots.append(int(pivot))
-                left = left[1:][like[1:] < apart]
-            out = [(bucket, a, b, None, None) for a, b in edges] + [(bucket, digests[k], None, signs[k], comps[k]) for k in pivots if split[0]]
+            edges, pivots = walk(own, label[order], group[order], radius, depth, threshold, split[0])
+            out = [(bucket, digests[order[a]], digests[order[b]], None, None, None, None) for a, b in edges]
+            if split[0]:
+                out += [(bucket, digests[order[k]], None, labels[order[k]], trees[order[k]], comps[order[k]], radius[k]) for k in pivots]
             if out:
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "a", "b", "sign", "comp"])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "a", "b", "labels", "tree", "comp", "radius"])
+        tb.release()
 
-    dealt = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "digest", "sign", "comp", "split")
-    return dealt.mapInArrow(work, "bucket long, a binary, b binary, sign binary, comp binary")
+    dealt = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "digest", "labels", "tree", "comp", "radius", "split")
+    return dealt.mapInArrow(work, "bucket long, a binary, b binary, labels array<long>, tree int, comp binary, radius double")
 
 
-def _joined(members: DataFrame, near: float, apart: float, wide: float) -> DataFrame:
-    """Edges (a, b) of all buckets, split ones in as many rounds as their pivots need."""
-    found = stored(_pivot_round(members, near, apart), "jaccard-pivots")
+def _joined(members: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Edges (a, b) of all buckets; the pivots of split ones meet in blocks, two by two."""
+    found = stored(_pivot_round(members, depth, threshold), "jaccard-pivots")
     edges = found.where("b is not null").select("a", "b")
-    rounds = 0
     pivots = found.where("b is null")
-    while not pivots.isEmpty():
-        rounds += 1
-        pivots = pivots.select("bucket", F.col("a").alias("digest"), "sign", "comp")
-        count = pivots.groupBy("bucket").agg(F.count("*").alias("m"))
-        parts = pivots.join(count, "bucket").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(rounds)), F.ceil(F.col("m") / BUCKET))).withColumn("split", F.col("m") > BUCKET)
-        before = pivots.count()
-        found = stored(_pivot_round(parts, wide, max(wide, 0.5)), "jaccard-pivots")
-        edges = edges.union(found.where("b is not null").select("a", "b"))
-        pivots = found.where("b is null")
-        if pivots.count() >= before:  # pivots that nothing joins, too many for a task: all buckets' parts meet, pair by pair
-            edges = edges.union(_part_pairs(pivots, wide))
-            break
-    return edges
-
-
-def _part_pairs(pivots: DataFrame, wide: float) -> DataFrame:
-    """Edges between pivots that are too many for a task: blocks of them meet two by two."""
-    rows = pivots.select("bucket", F.col("a").alias("digest"), "sign", "comp")
-    count = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("n"))
+    if pivots.isEmpty():
+        return edges
+    rows = pivots.select("bucket", F.col("a").alias("digest"), "labels", "tree", "comp", "radius")
+    count = rows.groupBy("bucket").agg(F.ceil(2 * F.count("*") / BUCKET).cast("int").alias("n"))
     rows = rows.join(count, "bucket").withColumn("own", F.pmod(F.xxhash64("digest", F.lit(-1)), F.col("n")).cast("int"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.withColumn("part", F.least("own", "k") * F.col("n").cast("long") + F.greatest("own", "k")).withColumn("split", F.lit(False))
-    return stored(_pivot_round(rows, wide, 2.0), "jaccard-pivots").select("a", "b")
+    return edges.union(stored(_pivot_round(rows, depth, threshold), "jaccard-pivots").select("a", "b"))
 
 
 def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Groups (digest, comp) such that pairs at the threshold that share a prefix are in one."""
-    rows = reps.where("n > 0").select("digest", F.posexplode("keys").alias("tree", "bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("tree").alias("tree"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("who")).where("m > 1")
-    # Buckets with the same members: one of them is enough.
-    buckets = buckets.groupBy("m", "who").agg(F.min(F.struct("tree", "bucket")).alias("b")).select("m", "b.tree", "b.bucket")
-    members = rows.drop("tree").join(buckets, "bucket")
-    members = stored(members.join(reps.select("digest", "sign"), "digest").select(
-        "tree", "bucket", "digest", "sign", F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BUCKET)).alias("part"), (F.col("m") > BUCKET).alias("split")), "jaccard-members")
-    # d(x, y) <= 1 - t: if x leaves with pivot p, d(x, p) <= 1 - apart, y must be taken by p as well.
-    apart = threshold - 0.1
-    near = 1 - ((1 - threshold) + (1 - apart)) - SLACK / 2
-    # The pivots of split buckets: y left with q, x with p; d(p, q) <= 2 (1 - apart) + 1 - t.
-    wide = max(0.0, 1 - (2 * (1 - apart) + 1 - threshold) - SLACK / 2)
+    depth = shortest(threshold=threshold)
+    prefix = F.shiftright(F.col("label"), 8 * (DEEPEST - depth))
+    rows = stored(trie_nodes(reps, depth).withColumn("bucket", F.xxhash64("tree", prefix)), "jaccard-nodes")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("tree").alias("t"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("who")).where("m > 1")
+    # Nodes with the same members: one of them is enough.
+    buckets = buckets.groupBy("m", "who").agg(F.min(F.struct("t", "bucket")).alias("b")).select("m", "b.bucket")
+    members = rows.join(buckets.hint("merge"), "bucket").select("bucket", "tree", "digest", "m")
+    members = stored(members.join(reps.select("digest", "labels").hint("merge"), "digest").select(
+        "tree", "bucket", "digest", "labels", F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BUCKET)).alias("part"), (F.col("m") > BUCKET).alias("split"), F.lit(0.0).alias("radius")), "jaccard-members")
     # The first trees join most of what there is; the others only add what joins two groups.
     first = members.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("digest"))
-    known = components(_joined(first, near, apart, wide), "jaccard-first").toDF("digest", "comp")
+    known = components(_joined(first, depth, threshold), "jaccard-first").toDF("digest", "comp")
     later = members.where(F.col("tree") >= FIRST_TREES).join(known, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    more = _joined(later, near, apart, wide)
+    open_ones = later.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    more = _joined(later.join(open_ones.hint("merge"), "bucket", "left_semi"), depth, threshold)
     label = known.toDF("node", "label")
     more = more.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     merged = components(more, "jaccard-groups").toDF("comp", "final")
@@ -248,22 +308,24 @@ def overlaps(sets: list[np.ndarray], split: int | None) -> np.ndarray:
 
 
 def verify(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Exact links within groups. Rows of (comp, m, digest, text) -> (a, b, links): b null with a's links, or an edge of a forest."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int")
+    """Exact links within groups. Rows of (comp, m, size, digest, text) -> (a, b, links): b null with a's links, or an edge of a forest.
+
+    ``m`` and ``size`` are the group's members and shingles: they say in how many blocks it is dealt."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE), F.ceil(F.col("size") * 8 / TILE_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("digest", F.lit(7)), blocks).cast("int")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in tb.slices(b, "text"):
-                sets = shingle_sets(*tb.buffers(part.column(2)))
+                sets = shingle_sets(*tb.buffers(part.column(1)))
                 # Rows that share the representative's id but not its text go.
-                same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column(4).to_pylist(), strict=True)], pa.bool_())
-                out = [part.column(0), part.column(1), part.column(3), part.column(4), part.column(5), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["comp", "m", "own", "digest", "other", "s"]).filter(same)
+                same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column(3).to_pylist(), strict=True)], pa.bool_())
+                out = [part.column(0), part.column(2), part.column(3), part.column(4), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=["comp", "own", "digest", "n", "s"]).filter(same)
 
-    sets = texts.withColumn("own", own).withColumn("other", blocks).select("comp", "m", "text", "own", "digest", "other").mapInArrow(
-        shingled, "comp binary, m long, own int, digest binary, other int, s binary")
-    dealt = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select(
+    sets = texts.withColumn("own", own).withColumn("n", blocks).select("comp", "text", "own", "digest", "n").mapInArrow(
+        shingled, "comp binary, own int, digest binary, n int, s binary")
+    dealt = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "comp", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "digest", "s")
     dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "own", "digest")
 
@@ -271,18 +333,24 @@ def verify(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for (_, i, j), (owns, digests, raws) in _groups(batches, 3):
             once = {d: (o, s) for o, d, s in zip(owns, digests, raws, strict=True)}  # repeated rows are one text
             digests, owns, raws = list(once), [x[0] for x in once.values()], [x[1] for x in once.values()]
+            if len(digests) == 1:
+                continue
             sets = [np.frombuffer(x, np.uint64) for x in raws]
-            split = None if i == j else sum(x == i for x in owns)
-            shared = overlaps(sets, split)
+            linked = overlaps(sets, None if i == j else sum(x == i for x in owns))
             size = np.array([len(s) for s in sets], np.float32)
-            linked = (shared > 0) & (shared >= threshold * (size[:, None] + size[None] - shared) - 1e-4)
+            for k in range(len(sets)):  # a row at a time: a link if shared >= threshold * (size + size - shared)
+                row = linked[k]
+                linked[k] = (row > 0) & (row * (1 + threshold) >= threshold * (size[k] + size) - 1e-4)
+            linked = linked.astype(bool)
             links = linked.sum(0) + linked.sum(1)
-            a, b = np.nonzero(linked)
             root = np.arange(len(sets))
             while True:  # the least member that links reach
                 low = root.copy()
-                np.minimum.at(low, a, root[b])
-                np.minimum.at(low, b, root[a])
+                for k in np.flatnonzero(linked.any(1)).tolist():
+                    to = np.flatnonzero(linked[k])
+                    least = min(low[k], low[to].min())
+                    low[k] = least
+                    low[to] = np.minimum(low[to], least)
                 low = low[low]
                 if (low == root).all():
                     break
@@ -291,6 +359,7 @@ def verify(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             out += [(digests[k], digests[r], 0) for k, r in enumerate(root.tolist()) if r != k]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "links"])
+        tb.release()
 
     return stored(dealt.mapInArrow(work, "a binary, b binary, links long"), "jaccard-links")
 
@@ -302,17 +371,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same shingles), n_copies (rows with the same shingles), n_links (other shingle sets that it is linked with).
 
     Defined cases: null texts are empty; texts without words are copies if their bytes are equal, and have no links; texts of fewer
-    words than a shingle are compared as a whole; null ids never name a group unless all its ids are null; rows of one id are
-    each counted; an empty table gives no rows; other columns are left out.
+    words than a shingle are compared as a whole; very long texts are compared whole, and a group of them is dealt by its bytes;
+    null ids never name a group unless all its ids are null, and a text that only null ids have is linked with none; rows of one id are each counted; an empty table gives no rows; other
+    columns are left out.
     """
     rows = summarise(docs, id_col, text_col)
     classes = stored(rows.groupBy("digest").agg(
-        F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("keys").alias("keys")), "jaccard-classes")
-    groups = candidate_groups(classes.select("digest", "n", "sign", "keys"), threshold)
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("m"))
-    wanted = groups.join(sizes, "comp").join(classes.select("digest", "rep"), "digest")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep").select("comp", "m", "digest", "text")
-    found = verify(texts, threshold)
+        F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("labels").alias("labels")), "jaccard-classes")
+    groups = stored(candidate_groups(classes.select("digest", "n", "labels"), threshold), "jaccard-candidates")
+    wanted = groups.join(classes.select("digest", "rep", "n").hint("merge"), "digest")
+    sizes = wanted.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    wanted = stored(wanted.join(sizes.hint("merge"), "comp").select("comp", "m", "size", "digest", "rep"), "jaccard-wanted")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = texts.join(wanted.hint("broadcast" if few else "merge"), "rep")
+    found = verify(texts.select("comp", "m", "size", "digest", "text"), threshold)
     links = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("n_links"))
     labels = components(found.where("b is not null").select("a", "b"), "jaccard-final").toDF("digest", "label")
     named = classes.select("digest", "rep", "n_copies").join(links, "digest", "left").join(labels, "digest", "left")
