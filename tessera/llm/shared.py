@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,15 +120,45 @@ def keyed_blocks(n_bytes: int, target: int, least: int = 1) -> int:
     return max(least, -(-int(n_bytes or 0) // target))
 
 
+#: Edges that one task takes at a time; more of them are joined in rounds.
+TASK_EDGES = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of a task, each node with the least one."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field(0).type
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(root.setdefault(x, x)), find(root.setdefault(y, y))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), kind), pa.array([find(x) for x in root], kind)], names=["node", "label"])
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of the columns a and b: a row (node, label) for each node that has an edge; label is the least node.
 
-    Labels spread along edges and by pointer jumping, a written table a round, until none changes; the number of rounds is about the
-    logarithm of the longest path. Nothing but the count of changes reaches the driver.
+    Up to ``TASK_EDGES`` edges (counted) are joined in one task. More of them aren't brought together: labels spread along edges and by pointer
+    jumping, a written table a round, until none changes; the number of rounds is about the logarithm of the longest path. Nothing but
+    the count of changes reaches the driver.
     """
-    both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).toDF("a", "b").distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-labels")
     spark, old = edges.sparkSession, set()
+    once = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    if once.count() <= TASK_EDGES:
+        kind = edges.schema["a"].dataType.simpleString()
+        return stored(once.coalesce(1).mapInArrow(_forest, f"node {kind}, label {kind}"), f"{name}-labels")
+    both = once.union(once.select("b", "a")).toDF("a", "b")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-labels")
     while True:
         near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))

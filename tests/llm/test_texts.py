@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tessera.llm import bpe, decontaminate, imatch, jaccard_join, ngram_lm, suffix_dedup
+from tessera.llm import bpe, decontaminate, imatch, jaccard_join, ngram_lm, shared, suffix_dedup
 
 from .. import oracles
 from . import fixtures
@@ -89,6 +89,19 @@ def test_links_near_the_threshold_are_found(spark):
     assert linked > 250 and sum(x[3] for x in got.values()) >= .999 * linked and got == want
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "TASK_EDGES", most)
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (80, 2))] + [(200 + k, 201 + k) for k in range(40)]
+    root = list(range(300))
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root]
+    got = {r["node"]: r["label"] for r in shared.components(spark.createDataFrame(pairs, "a long, b long"), "test").collect()}
+    assert got == {x: root[x] for p in pairs for x in p if p[0] != p[1]}
+
+
 def test_trie_walk_joins_all_links():
     """Members of one node in many labels: whatever is linked ends in one group."""
     rng = np.random.default_rng(6)
