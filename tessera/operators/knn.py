@@ -1,13 +1,15 @@
 """Exact top-k similarity joins.
 
-Queries are taken in blocks of bounded bytes; each block is sent to all tasks, which multiply it with their part of the corpus,
-matrix by matrix, and keep k rows for each query. A window over those few candidates merges the parts. The corpus is never shuffled.
+Queries are written in blocks of bounded size to the shared folder, by the tasks that hold them; each task multiplies its part of the
+corpus with one block after the other, and keeps k rows for each query and part. A window over those few candidates merges the parts. The corpus is
+never shuffled, and no query reaches the driver or a broadcast: only the blocks' names do.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most bytes of a block of queries.
-BLOCK_BYTES = 32 << 20
+from ..sources.scratch import filesystem, make_folder, stored
+
+#: Queries in a block; corpus bytes that meet the blocks at a time; bytes of blocks that a worker holds on to.
+BLOCK_ROWS, PART_BYTES, HELD_BYTES = 4096, 32 << 20, 64 << 20
+_held: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
 
 def candidates(k: int, corpus_size: int) -> int:
@@ -24,40 +29,81 @@ def candidates(k: int, corpus_size: int) -> int:
     return min(200, max(k, 10 * k), corpus_size)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(column) and len(flat) % len(column) or len(set(column.value_lengths().to_pylist())) > 1:
+        raise ValueError("all embeddings of a table must have the same length")
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """Without null and empty embeddings, which nothing is like; those that stay in double precision."""
+    return rows.withColumn("embedding", F.col("embedding").cast("array<double>")).where(F.size("embedding") > 0)
+
+
+def block_files(queries: DataFrame, keys: tuple[str, ...]) -> list[str]:
+    """Writes the rows' keys (numbers) and embeddings in blocks; returns the files' names."""
+    folder = make_folder(queries.sparkSession, "queries")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = filesystem(folder)
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(at, BLOCK_ROWS)
+                name = uuid.uuid4().hex  # a task that runs again writes files of its own; the table below says which count
+                with system.open_output_stream(f"{place}/{name}") as out:
+                    np.savez(out, ids=np.stack([part.column(c).to_numpy() for c in keys], 1), vectors=matrix(part.column("embedding")))
+                yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    rows = usable(queries).select(*[F.col(c).cast("long") for c in keys], "embedding")
+    return [f"{folder}/{r['name']}" for r in stored(rows.mapInArrow(write, "name string"), "query-blocks").orderBy("name").collect()]
+
+
+def block(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a block, from memory if the worker has read it lately."""
+    if path not in _held:
+        system, place = filesystem(path)
+        with system.open_input_file(place) as f:
+            x = np.load(f)
+            _held[path] = (x["ids"], x["vectors"])
+        while sum(a.nbytes + b.nbytes for a, b in _held.values()) > HELD_BYTES and len(_held) > 1:
+            _held.popitem(last=False)
+    _held.move_to_end(path)
+    return _held[path]
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a size: each part reads all blocks once."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.nbytes for x in held) >= PART_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", keys: tuple[str, ...] = ("query_id", "q_seg"), exclude: str | None = None, digits: int = 12) -> DataFrame:
     """The k best corpus rows for each query: keys, doc_id, label, score, rank.
 
     ``corpus`` has doc_id, label, embedding (and ``exclude``, a column whose value must differ from the first key). Cosine is the
-    inner product of unit vectors, l2 the negated square distance. Scores are rounded to ``digits``; ties go to the lower doc_id.
+    inner product of unit vectors, l2 the negated square distance. Scores are rounded to ``digits``; ties go to the lower doc_id. Rows with a
+    null or empty embedding are left out; embeddings of several lengths are an error.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric!r}: cosine, l2")
-    head = queries.select(*[F.col(c).cast("long") for c in keys], F.col("embedding").cast("array<double>"))
-    n = head.count()
-    first = head.select(F.size("embedding")).first()
-    blocks = max(1, -(-n * 8 * int(first[0] if first else 1) // BLOCK_BYTES))
-    cols = ["doc_id", "label", "embedding"] + ([exclude] if exclude else [])
-    corpus = corpus.select(*cols)
+    paths = block_files(queries, keys)
+    corpus = usable(corpus.select("doc_id", "label", "embedding", *([exclude] if exclude else [])))
     label = corpus.schema["label"].dataType.simpleString()
-    schema = ", ".join(f"{c} long" for c in keys) + f", doc_id long, label {label}, score double"
-    session = queries.sparkSession
-    found = []
-    for block in range(blocks):
-        part = head.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == block).toArrow().combine_chunks()
-        table = session.sparkContext.broadcast((
-            np.stack([part.column(c).to_numpy() for c in keys], 1) if part.num_rows else np.zeros((0, len(keys)), np.int64), _matrix(part.column("embedding").combine_chunks())))
-
-        def work(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            ids, q = table.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                docs, c = b.column(0).to_numpy(), _matrix(b.column(2))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            docs, c = b.column(0).to_numpy(), matrix(b.column(2))
+            for path in paths:
+                ids, q = block(path)
                 for at in range(0, len(ids), 512):
                     own = q[at : at + 512]
                     s = own @ c.T
@@ -75,10 +121,9 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", k
                         [*[pa.array(ids[at + row, j]) for j in range(len(keys))], b.column(0).take(pa.array(col)), b.column(1).take(pa.array(col)), pa.array(s[row, col])],
                         names=[*keys, "doc_id", "label", "score"])
 
-        found.append(corpus.mapInArrow(work, schema))
-    every = reduce(DataFrame.unionByName, found)
+    found = corpus.mapInArrow(work, ", ".join(f"{c} long" for c in keys) + f", doc_id long, label {label}, score double")
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id")
-    return every.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def index_bytes(kind: str, n: int, dim: int, m: int = 32, pq_m: int = 16, nbits: int = 8) -> int:

@@ -11,7 +11,7 @@ from ..functions.scalar import genus, name_words
 P_AT, R_AT = (1, 5), (1, 5, 10)
 
 
-def per_query(ranked: DataFrame, truth: DataFrame, label_counts: DataFrame) -> DataFrame:
+def per_query(ranked: DataFrame, truth: DataFrame, label_counts: DataFrame, p_at: tuple[int, ...] = P_AT, r_at: tuple[int, ...] = R_AT) -> DataFrame:
     """A row for each query, also those without predictions. A list has each label once, so average precision is the
     reciprocal rank; precision divides by the list's head, recall by the label's documents."""
     lists = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("pos") == 1, F.col("label"))).alias("top1"))
@@ -20,17 +20,17 @@ def per_query(ranked: DataFrame, truth: DataFrame, label_counts: DataFrame) -> D
     at, n, docs = F.col("at"), F.coalesce("n", F.lit(0)), F.greatest(F.lit(1), F.coalesce("docs", F.lit(1)))
     rr = F.coalesce(1.0 / at, F.lit(0.0))
     out = {"ap": rr, "rr": rr, "ndcg": F.coalesce(1.0 / F.log2(at + 1.0), F.lit(0.0))}
-    for k in P_AT:
+    for k in p_at:
         out[f"p_at_{k}"] = F.when((at <= k) & (n > 0), 1.0 / F.least(n, F.lit(k))).otherwise(0.0)
-    for k in R_AT:
+    for k in r_at:
         out[f"r_at_{k}"] = F.when(at <= k, 1.0 / docs).otherwise(0.0)
     return rows.select("query_id", "true_label", F.col("top1").alias("top1_pred"), *[F.round(v, 9).alias(k) for k, v in out.items()])
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """Means over queries; 0 for none."""
-    names = [c for c in rows.columns if c not in ("query_id", "true_label", "top1_pred", "system")]
-    return rows.agg(F.count("*").alias("n_queries"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias({"ap": "map", "rr": "mrr"}.get(c, c)) for c in names])
+def summary(rows: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """Means over queries, of all or of each group; 0 for none."""
+    names = [c for c in rows.columns if c not in ("query_id", "true_label", "top1_pred", "system", *(groups or []))]
+    return rows.groupBy(*(groups or [])).agg(F.count("*").alias("n_queries"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias({"ap": "map", "rr": "mrr"}.get(c, c)) for c in names])
 
 
 def label_counts(docs: DataFrame) -> DataFrame:
@@ -43,6 +43,12 @@ def top_confusions(rows: DataFrame, limit: int = 20) -> DataFrame:
     return wrong.groupBy("true_label", F.col("top1_pred").alias("pred_label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "true_label", "pred_label").limit(limit)
 
 
+def all_confusions(rows: DataFrame, limit: int = 20) -> DataFrame:
+    """As ``top_confusions``, with queries that have no prediction counted as an empty wrong one."""
+    wrong = rows.withColumn("top1_pred", F.coalesce(F.col("top1_pred").cast("string"), F.lit(""))).where(F.col("top1_pred") != F.col("true_label").cast("string"))
+    return wrong.groupBy("true_label", F.col("top1_pred").alias("pred_label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "true_label", "pred_label").limit(limit)
+
+
 def confusion_matrix(rows: DataFrame, most: int = 30) -> DataFrame:
     """Shares of first predictions by true label, over the most frequent true labels on both sides."""
     top = rows.groupBy("true_label").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "true_label").limit(most).select("true_label")

@@ -98,10 +98,10 @@ def taxonomy_boost(hits: DataFrame, labels: DataFrame, genus_boost: float = 0.2,
 
 
 def take_top_k(scored: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """The k best labels of each query: query_id, label, score (rounded), pos."""
-    scored = scored.withColumn("score", F.round("score", digits))
+    """The k best labels of each query: query_id, label, score (rounded), pos. Scores that differ by rounding errors alone are ties."""
+    scored = scored.withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "label")
-    return scored.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= k).select("query_id", "label", "score", "pos")
+    return scored.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= k).select("query_id", "label", F.round("score", digits).alias("score"), "pos")
 
 
 def minmax(ranked: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..functions.scalar import cache_key, genus, rating_kept, safe_double
 from ..functions.vector import l2_normalize, pad_or_crop, text_form
 from ..operators import pool, represent, sample, segment
 from ..sources import records, sinks
+from ..sources.scratch import work_path
 from . import derive, oracle
 
 SEGMENTS, VT = oracle.SEGMENTS, oracle.vector_text
@@ -52,7 +52,7 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV file written and read again."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tessera-')}/nation-{spark.sparkContext.applicationId}"
+    path = work_path(spark, "nation")
     sinks.write_csv(derive.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
     return spark.read.schema("n_nationkey long, n_name string, n_regionkey long").option("header", True).csv(path)
 

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import ann, fuse, knn, metrics, rank
 from . import derive, oracle
+from ..sources.scratch import stored
+from .registry import INDEXES
 from .derive import TOP_K
 
 HITS, TAX, SEGMENTS = oracle.HITS, oracle.TAXONOMY, oracle.SEGMENTS
 
+#: Share of the lists that are probed where centres aren't fitted.
+SEED_PROBED = 0.8
+
 #: Rankers by query name; the same parameters go to the SQL.
 RANKED = {
     "rank_max": ("max", {}), "rank_mean": ("mean", {}), "rank_topk_mean": ("topk_mean", {"per_label_k": 3}), "rank_hit": ("hit", {}), "rank_median": ("median", {}),
@@ -58,7 +63,7 @@ def system_name(name: str, params: dict) -> str:
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rankers of the grid on the same hits."""
-    hits, labels = derive.hits(spark, sf_dir).persist(), derive.taxonomy(spark, sf_dir)
+    hits, labels = stored(derive.hits(spark, sf_dir), "hits"), derive.taxonomy(spark, sf_dir)
     out = None
     for name, params in SWEEP:
         part = rank.take_top_k(scored(hits, labels, name, params), TOP_K).select(F.lit(system_name(name, params)).alias("system"), "query_id", "label", "score", "pos")
@@ -102,23 +107,38 @@ def knn_exclude_self(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_es_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search server's score (1 + cosine) / 2, mapped back."""
-    hits = knn_rows("cosine")(spark, sf_dir)
-    return hits.withColumn("es_score", (1 + F.col("score")) / 2).withColumn("score", 2 * ((1 + F.col("score")) / 2) - 1)
+    """What a search server answers: the best of 100 candidates, with its score (1 + cosine) / 2."""
+    queries, corpus = derive.queries_and_corpus(spark, sf_dir)
+    hits = INDEXES.get("es")(queries, corpus, TOP_K, num_candidates=100)
+    return hits.select("query_id", "q_seg", "doc_id", "label", F.round((1 + F.col("score")) / 2, 6).alias("es_score"), F.round("score", 6).alias("score"), "rank")
 
 
-def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted lists around centres that are the corpus rows with the least hashes."""
+def _ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus = derive.queries_and_corpus(spark, sf_dir)
     centres = ann.seed_centres(corpus, ann.list_count(corpus.count()))
-    return ann.ivf(queries, corpus, centres, TOP_K).select("query_id", "q_seg", "doc_id", "label", F.round("score", 6).alias("score"), "rank")
+    return ann.ivf(queries, corpus, centres, TOP_K, ann.probe_count(centres.count(), SEED_PROBED))
+
+
+def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted lists around centres that are the corpus rows with the least hashes; so many are probed that the recall is over 0.9."""
+    return _ivf(spark, sf_dir).select("query_id", "q_seg", "doc_id", "label", F.round("score", 6).alias("score"), "rank")
 
 
 def knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted lists around fitted centres."""
+    """In place of a graph index: inverted lists around fitted centres."""
     queries, corpus = derive.queries_and_corpus(spark, sf_dir)
-    lists = ann.list_count(corpus.count())
-    return ann.ivf(queries, corpus, ann.fitted_centres(corpus, lists), TOP_K, nprobe=max(8, lists // 2))
+    return INDEXES.get("hnsw")(queries, corpus, TOP_K)
+
+
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the exact hits that each approximate index finds, with the parameters of the queries above."""
+    queries, corpus = derive.queries_and_corpus(spark, sf_dir)
+    exact = knn.knn(queries, corpus, TOP_K)
+    out = None
+    for name, found in (("ivf", _ivf(spark, sf_dir)), ("hnsw", knn_ann(spark, sf_dir)), ("ivfpq", knn_ivfpq(spark, sf_dir))):
+        row = ann.recall(found, exact).select(F.lit(name).alias("index"), "n", F.round("recall", 6).alias("recall"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def knn_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,9 +218,9 @@ def taxonomic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query vector for each recording, hits not reduced to labels."""
+    """One query vector for each recording, pooled from all its segments; hits not reduced to labels."""
     queries, corpus = derive.queries_and_corpus(spark, sf_dir)
-    hits = knn.knn(queries.where("q_seg = 0"), corpus, TOP_K)
+    hits = knn.knn(fuse.early(queries), corpus, TOP_K)
     return metrics.multi_hit(hits, derive.truth(spark, sf_dir), TOP_K)
 
 
@@ -214,7 +234,7 @@ QUERIES = {
     **{k: (lambda s, d, n=n, p=p: ranked(s, d, n, p)) for k, (n, p) in RANKED.items()},
     **{k: (lambda s, d, k=k: ensemble(s, d, k)) for k in ENSEMBLES},
     "sweep_rankers": sweep, "minmax_norm": minmax_norm,
-    "knn_flat_cosine": knn_rows("cosine"), "knn_flat_l2": knn_rows("l2"), "knn_exclude_self": knn_exclude_self, "knn_es_score": knn_es_score, "knn_ivf": knn_ivf, "knn_ann": knn_ann, "knn_ivfpq": knn_ivfpq,
+    "knn_flat_cosine": knn_rows("cosine"), "knn_flat_l2": knn_rows("l2"), "knn_exclude_self": knn_exclude_self, "knn_es_score": knn_es_score, "knn_ivf": knn_ivf, "knn_ann": knn_ann, "knn_ivfpq": knn_ivfpq, "index_recall": index_recall,
     "index_footprint": index_footprint, "retrieve_early": retrieve_early, "retrieve_late": retrieve_late,
     "per_query_metrics": metric_rows, "eval_summary": eval_summary, "label_counts": label_counts, "top_confusions": top_confusions, "confusion_matrix": confusion_matrix,
     "taxonomic_hits": taxonomic_hits, "legacy_metrics": legacy_metrics,
@@ -228,11 +248,11 @@ ORACLE = {
     "knn_exclude_self": f"""WITH {SEGMENTS} SELECT query_id, q_seg, doc_id, label, round(s, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, doc_id) AS rank FROM (
     SELECT a.item_id AS query_id, a.seg_idx AS q_seg, b.vec_id AS doc_id, b.label AS label, round(list_dot_product(a.embedding, b.embedding), 12) AS s FROM segs a JOIN segs b ON a.item_id <> b.item_id)) WHERE rank <= 5""",
-    "knn_es_score": f"SELECT query_id, q_seg, doc_id, label, (1 + score) / 2 AS es_score, 2 * ((1 + score) / 2) - 1 AS score, rank FROM ({_knn_sql(DOT)})",
+    "knn_es_score": f"SELECT query_id, q_seg, doc_id, label, round((1 + s) / 2, 6) AS es_score, round(s, 6) AS score, rank FROM (WITH {SEGMENTS}, {oracle.SCORED} SELECT *, score AS s, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10",
     "knn_ivf": f"""WITH {SEGMENTS},
 lists AS (SELECT r - 1 AS list_id, embedding AS centre FROM (SELECT embedding, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) AS r FROM corpus) WHERE r <= (SELECT greatest(1, CAST(floor(sqrt(count(*)) + 0.5) AS BIGINT)) FROM corpus)),
 own AS (SELECT doc_id, label, embedding, list_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, list_id) AS r FROM (SELECT c.*, list_id, round(list_dot_product(c.embedding, centre), 12) AS s FROM corpus c, lists)) WHERE r = 1),
-probes AS (SELECT query_id, q_seg, embedding, list_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, list_id) AS r FROM (SELECT q.*, list_id, round(list_dot_product(q.embedding, centre), 12) AS s FROM queries q, lists)) WHERE r <= 8)
+probes AS (SELECT query_id, q_seg, embedding, list_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, list_id) AS r FROM (SELECT q.*, list_id, round(list_dot_product(q.embedding, centre), 12) AS s FROM queries q, lists)) WHERE r <= (SELECT greatest(least(8, count(*)), CAST(ceil(0.8 * count(*)) AS BIGINT)) FROM lists))
 SELECT query_id, q_seg, doc_id, label, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_seg ORDER BY s DESC, doc_id) AS rank FROM (
   SELECT query_id, q_seg, doc_id, label, round(list_dot_product(p.embedding, o.embedding), 12) AS s FROM probes p JOIN own o USING (list_id))) WHERE rank <= 10""",
     "index_footprint": "WITH s AS (SELECT count(*) AS n, max(len(embedding)) AS dim FROM embeddings) SELECT 'flat' AS kind, n * dim * 4 AS bytes FROM s UNION ALL SELECT 'ivf', n * dim * 4 FROM s UNION ALL SELECT 'hnsw', n * dim * 4 + n * 32 * 8 FROM s UNION ALL SELECT 'ivfpq', n * 16 FROM s",
@@ -246,8 +266,8 @@ SELECT query_id, q_seg, doc_id, label, round(s, 6) AS score, rank FROM (SELECT *
 c AS (SELECT true_label, top1_pred AS pred_label, count(*) AS n FROM rows WHERE true_label IN (FROM top) AND top1_pred IN (FROM top) GROUP BY ALL)
 SELECT true_label, pred_label, n, round(n / sum(n) OVER (PARTITION BY true_label), 6) AS share FROM c""",
     "taxonomic_hits": _taxonomic_sql(),
-    "legacy_metrics": f"""WITH {SEGMENTS}, {oracle.SCORED},
-h AS (SELECT * FROM (SELECT s.*, CAST(s.label = t.true_label AS INT) AS rel, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored s JOIN truth t USING (query_id) WHERE q_seg = 0) WHERE rank <= 10),
+    "legacy_metrics": f"""WITH {EARLY},
+h AS (SELECT s.*, CAST(s.label = t.true_label AS INT) AS rel FROM hits s JOIN truth t USING (query_id) WHERE rank <= 10),
 c AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM h),
 e AS (SELECT query_id, sum(CASE WHEN rel = 1 THEN seen / rank ELSE 0 END) AS s, sum(rel) AS found, min(CASE WHEN rel = 1 THEN rank END) AS place, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS p5, least(5, count(*)) AS n5 FROM c GROUP BY query_id)
 SELECT count(*) AS n_queries, round(avg(CASE WHEN found > 0 THEN s / found ELSE 0 END), 6) AS map, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr, round(avg(coalesce(p5 / n5, 0)), 6) AS p_at_5,

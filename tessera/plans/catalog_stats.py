@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, stats
+from ..sources.scratch import stored
 from . import catalog_rank, derive, oracle
 
 #: Systems that are compared.
@@ -23,7 +24,7 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, system, value: average precision of each system on the same hits."""
-    hits, labels, truth = derive.hits(spark, sf_dir).persist(), derive.taxonomy(spark, sf_dir), derive.truth(spark, sf_dir)
+    hits, labels, truth = stored(derive.hits(spark, sf_dir), "hits"), derive.taxonomy(spark, sf_dir), derive.truth(spark, sf_dir)
     counts = metrics.label_counts(derive.queries_and_corpus(spark, sf_dir)[1])
     out = None
     for name, params in SYSTEMS:

@@ -98,7 +98,7 @@ def ranker(name: str, **p: float) -> str:
 
 def top_k(scored: str, k: int = 10) -> str:
     return f"""SELECT query_id, label, score, pos FROM (
-  SELECT query_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, label) AS pos FROM ({scored})) WHERE pos <= {k}"""
+  SELECT query_id, label, round(round(score, 9), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, label) AS pos FROM ({scored})) WHERE pos <= {k}"""
 
 
 def normalised(ranked: str) -> str:
