@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard_join, language, suffix_dedup
-from tessera.llm.shared import stored
+from tessera.llm.shared import discard, scratch, stored, work_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -75,8 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents. A stage's intermediate tables go when its result is written, and that one when the next is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = work_path(spark, f"pipeline-{name}")
+        with scratch():
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        if before is not None:
+            discard({before})
+        docs, before = spark.read.schema(result.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,27 +1,22 @@
 """I-Match fingerprints with randomised lexicon subsets, in DataFrame operations only.
 
-``whole_fingerprints`` (the query) uses every term of every text: document frequency is counted over the distinct terms of all
-whole documents, and the band is applied to each term. The lexicon is dealt at random over ``LEXICONS`` parts, and a fingerprint is a
-hash for each part of all the text's terms in it, so that no term in the band can change unseen. Likeness is the share of equal
-subsets when the lexicon is split into ``2**b`` of them, ``b`` as below, and all of them are compared.
+A text's terms are its distinct lower-cased runs of letters and digits. Document frequency is counted over the distinct terms of all
+whole documents; the inverse-document-frequency band keeps terms of at least ``MIN_DF`` documents and at most ``MAX_SHARE`` of all. Of
+the terms in the band, sorted by their hash, each randomised lexicon keeps a share: the hashes between a start and start + 2**64 / 2**j.
+There are ``STARTS`` starts, and for each of them lexicons of all shares from 1 / ``STARTS`` (which together hold every term) to 1 / 2**``FINEST``. The
+fingerprint is one hash for each lexicon that isn't empty, so a change of any term in the band changes it.
+
+Likeness is worked out from two fingerprints alone. Of lexicons with a share r, about (1 - r)**d agree when d terms are in only
+one of the texts; so the number of lexicons that differ grows with the logarithm of d, as that of those that aren't empty does with the number of
+terms, and ``1 - (2**(differ / STARTS) - 1) / (2**(not empty / STARTS) - 1)`` estimates the share of common terms.
 
 Terms outside the band leave by range of ids: the frequent ones are at most ``terms / (MAX_SHARE * documents)`` and go to all
 ranges; a term of one document goes to the ranges that hold the document; a term that only an edited text has, where the two
 texts meet, is looked up and goes to its range. Texts are shuffled by range, hashes of terms never are by document.
 
-``fingerprints`` is the cheaper variant on a sample of terms. For it, a text's terms are its distinct lower-cased runs of letters and digits. The lexicon is split at random (by a hash of
-the term) into ``2**b`` subsets, where ``b`` grows with the text's length so that a subset holds about one term of it; the
-first ``SUBSETS`` of them are looked at, at scale ``b`` and at ``b + 1``, so that texts of similar length share a scale.
-Of the terms that fall into these, those within the inverse-document-frequency band are kept, sorted, and hashed: one
-hash per subset. Likeness is the share of equal hashes among the subsets that are not empty in both.
-
-Document frequency is counted over all documents, among those whose subsets hold the term. The band's lower end drops
-terms of a single document, its upper end terms of more than ``MAX_SHARE`` of all documents. The latter are at most
-``rows / (MAX_SHARE * documents)``, some hundreds whatever the input, so they leave by a broadcast; the rest is a plain
-sort-merge join in which no key has more than ``MAX_SHARE`` of the documents.
-
-The edited text needs the next document by descending id. Ids are dealt into ranges at sampled split points, with a
-copy of each range's first document at the end of the range before it, so that one shuffle of the texts is enough.
+The edited text needs the next document by descending id. Documents are dealt into ranges of id and a hash of the text (so that ids that many
+rows share are split as well), with a copy of each range's first document at the end of the range before it, so that one shuffle of the
+texts is enough.
 """
 
 from __future__ import annotations
@@ -34,13 +29,24 @@ from pyspark.sql.window import Window
 
 from .shared import stored
 
-#: Subsets looked at for each scale; characters for one term of a subset; documents in a range of ids, and most ranges.
-SUBSETS, CHARS_PER_TERM, RANGE_DOCS, MOST_RANGES = 32, 10, 200, 65536
+#: Documents in a range of ids; most ranges: their bounds are in the plan, so beyond them ranges get more documents.
+RANGE_DOCS, MOST_RANGES = 100, 1 << 17
 #: The band: at least so many documents, and at most this share of all.
 MIN_DF, MAX_SHARE = 2, 0.05
-#: Parts of the lexicon in a whole fingerprint: the highest five bits of the term's hash.
-LEXICONS = 32
-_LEAST_SCALE, _MOST_SCALE = 3, 40
+#: Starts of lexicons (a power of two); a lexicon's least share of the terms, as a power of 1 / 2.
+STARTS, FINEST = 8, 20
+_WIDEST = STARTS.bit_length() - 1
+#: Lexicons of a start.
+_EACH = FINEST - _WIDEST + 1
+
+
+def _marks() -> list[int]:
+    """Starts of lexicons and the ends of all but the widest, in order: the next start ends that one."""
+    out = []
+    for k in range(STARTS):
+        start = -(2**63) + k * (2**64 // STARTS)
+        out += [start, *[start + (1 << (64 - j)) for j in range(FINEST, _WIDEST, -1)]]
+    return out
 
 
 def terms_of(text: Column) -> Column:
@@ -49,88 +55,82 @@ def terms_of(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def scale_of(n_chars: Column) -> Column:
-    return F.least(F.lit(_MOST_SCALE), F.greatest(F.lit(_LEAST_SCALE), F.round(F.log2(F.greatest(n_chars, F.lit(1)) / CHARS_PER_TERM)))).cast("int")
+def with_fingerprint(rows: DataFrame, terms: str, name: str) -> DataFrame:
+    """Replaces the column of terms by the hashes of the lexicons, null where one is empty. Marks, sorted in among the terms, find the lexicons."""
+    laid = F.sort_array(F.concat(terms, F.array(*[F.lit(m).cast("long") for m in _marks()])))
+    at = F.filter(F.transform("_laid", lambda x, i: F.when(x.bitwiseAND(F.lit((1 << (64 - FINEST)) - 1)) == 0, i)), lambda i: i.isNotNull())
 
+    def one(i: Column) -> Column:
+        start = F.get("_at", i - i % _EACH)
+        inner = i % _EACH + 1  # marks from the start on, up to the end
+        stop = F.coalesce(F.get("_at", i + 1), F.size("_laid"))
+        wide = F.when(inner == _EACH, F.lit(0xFFFFFFFF)).otherwise(F.lit(0xFFFF))
+        return F.when(stop - start > inner, F.xxhash64(F.slice("_laid", start + 2, stop - start - 1)).bitwiseAND(wide))
 
-def _slot(h: Column, scale: Column) -> Column:
-    return h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), scale) - 1)
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(STARTS * _EACH - 1)), one)
+    return rows.withColumn("_laid", laid).withColumn("_at", at).withColumn(name, hashes).drop("_laid", "_at", terms)
 
 
-def _kept(terms: Column, scale: Column) -> Column:
-    """Terms in the subsets that are looked at; those of the finer scale are among them."""
-    return F.filter(terms, lambda h: _slot(h, scale) < SUBSETS)
+def shown(hashes: Column, whole: Column) -> Column:
+    """The fingerprint as a string; a text without a term in the band is its own hash."""
+    text = F.array_join(F.transform(hashes, lambda v: F.coalesce(F.lower(F.hex(v)), F.lit(""))), ",")
+    return F.when(F.size(F.filter(hashes, lambda v: v.isNotNull())) == 0, F.concat(F.lit("text:"), F.lower(F.hex(whole)))).otherwise(text)
 
 
-def _subset_hashes(terms: Column, scale: Column) -> Column:
-    """A hash for each subset, null where it is empty."""
-    def one(r: Column) -> Column:
-        own = F.filter(terms, lambda h: _slot(h, scale) == r)
-        return F.when(F.size(own) > 0, F.xxhash64(F.array_sort(own)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), one)
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """0 to 1 from the hashes of two fingerprints; 1 if they are the same as strings."""
+    pairs = F.filter(F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce((x == y).cast("int"), F.lit(0)))), lambda v: v.isNotNull())
+    either, differ = F.size(pairs), F.size(F.filter(pairs, lambda v: v == 0))
+    share = 1 - (F.pow(F.lit(2.0), differ / STARTS) - 1) / (F.pow(F.lit(2.0), either / STARTS) - 1)
+    return F.when(same, F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(share)
 
 
-def _text_form(scale: Column, a: Column, b: Column, whole: Column) -> Column:
-    """The fingerprint as a string; a text without a term in the band is its own hash."""
-    shown = lambda x: F.array_join(F.transform(x, lambda v: F.coalesce(F.lower(F.hex(v)), F.lit(""))), ",")
-    empty = F.size(F.filter(F.concat(a, b), lambda v: v.isNotNull())) == 0
-    return F.when(empty, F.concat(F.lit("text:"), F.lower(F.hex(whole)))).otherwise(
-        F.concat(scale.cast("string"), F.lit(":"), shown(a), F.lit(";"), shown(b)))
-
-
-def likeness(x: dict[str, Column], y: dict[str, Column]) -> Column:
-    """The share of equal subset hashes at the scales that two fingerprints share: 0 to 1; 1 if the fingerprints are equal."""
-    def share(p: Column, q: Column) -> Column:
-        pairs = F.filter(F.arrays_zip(p.alias("p"), q.alias("q")), lambda v: v["p"].isNotNull() | v["q"].isNotNull())
-        same = F.filter(pairs, lambda v: v["p"] == v["q"])
-        return F.coalesce(F.size(same) / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0))
-    return (F.when(x["text"] == y["text"], F.lit(1.0))
-            .when(x["scale"] == y["scale"], share(F.concat(x["a"], x["b"]), F.concat(y["a"], y["b"])))
-            .when(x["scale"] == y["scale"] + 1, share(x["a"], y["b"]))
-            .when(x["scale"] + 1 == y["scale"], share(x["b"], y["a"]))
-            .otherwise(F.lit(0.0)))
-
-
-def _ranges(ids: DataFrame, n: int) -> tuple[Column, int]:
-    """A column expression that gives the range of ``_key``, from split points (at most MOST_RANGES) of its quantiles."""
+def _ranges(ids: DataFrame, n: int) -> Column:
+    """An expression that gives the range of (_key, _tie), from the bounds of evenly dealt ranges."""
     count = max(1, min(MOST_RANGES, -(-n // RANGE_DOCS)))
     if count == 1:
-        return F.lit(0), 1
-    probs = [i / count for i in range(1, count)]
-    cuts = ids.agg(F.percentile_approx("_key", probs, max(10_000, 4 * count)).alias("q")).first()["q"]
-    cuts = sorted(set(cuts))
+        return F.lit(0)
+    dealt = ids.repartitionByRange(count, "_key", "_tie").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(F.col("_key").alias("k"), F.col("_tie").alias("t"))).alias("s"))
+    rows = dealt.orderBy("s").select("s.*").collect()[1:]  # a row a range
+    cuts = [{"k": r["k"], "t": r["t"]} for r in rows]
     width = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    firsts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
-    nested = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
-    coarse = F.size(F.filter(firsts, lambda s: s <= F.col("_key")))
-    fine = F.size(F.filter(F.element_at(nested, F.greatest(coarse, F.lit(1))), lambda s: s <= F.col("_key")))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + fine), len(cuts) + 1
+    one = f"struct<k:{ids.schema['_key'].dataType.simpleString()},t:bigint>"
+    own = F.struct(F.col("_key").alias("k"), F.col("_tie").alias("t"))
+    firsts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), f"array<{one}>")
+    nested = F.from_json(F.lit(json.dumps(groups)), f"array<array<{one}>>")
+    coarse = F.size(F.filter(firsts, lambda s: s <= own))
+    fine = F.size(F.filter(F.element_at(nested, F.greatest(coarse, F.lit(1))), lambda s: s <= own))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + fine)
 
 
 def _by_order():
-    return Window.partitionBy("bucket").orderBy("tail", F.desc("_key"), F.xxhash64("_text"))
+    return Window.partitionBy("bucket").orderBy("tail", F.col("_key").desc_nulls_last(), F.desc("_tie"))
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str):
-    """Rows dealt into ranges of descending ids, each with the next range's first documents as its tail; a function that deals
-    any rows with a column ``_key`` alike; and the number of documents."""
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    base = base.withColumn("_key", F.coalesce("_id", F.lit(-(2**63))))
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"))
+    """A function that deals rows with _key and _tie into ranges, with the next range's first documents as each one's tail; the documents'
+    keys and texts; and their number."""
+    whole_number = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    base = docs.select(F.col(id_col).cast("long" if whole_number else "string").alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    base = base.select("_key", F.xxhash64("_text").alias("_tie"), "_text")
+    ids = base.select("_key", "_tie")
     n = ids.count()
-    where, _ = _ranges(ids, n)
-    firsts = {r["b"]: r["k"] for r in ids.groupBy(where.alias("b")).agg(F.max("_key").alias("k")).collect()}  # a row a range
+    where = _ranges(ids, n)
+    own = F.struct(F.col("_key").alias("k"), F.col("_tie").alias("t"))
+    firsts = {r["b"]: r["s"] for r in ids.groupBy(where.alias("b")).agg(F.max(own).alias("s")).collect()}  # a row a range
     order = sorted(firsts)
-    tails = [{"k": firsts[b], "dest": order[(i + 1) % len(order)]} for i, b in enumerate(order)]
-    tail = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(tails)), "array<struct<k:bigint,dest:int>>")))
+    tails = [{"k": firsts[b]["k"], "t": firsts[b]["t"], "dest": order[(i + 1) % len(order)]} for i, b in enumerate(order)]
+    kind = ids.schema["_key"].dataType.simpleString()
+    tail = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(tails)), f"array<struct<k:{kind},t:bigint,dest:int>>")))
 
     def deal(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(tail), rows["_key"] == tail["k"], "left").select(*rows.columns, F.explode(F.filter(F.array(
+        found = rows.join(F.broadcast(tail), rows["_key"].eqNullSafe(tail["k"]) & (rows["_tie"] == tail["t"]), "left")
+        return found.select(*rows.columns, F.explode(F.filter(F.array(
             F.struct(where.cast("int").alias("bucket"), F.lit(False).alias("tail")), F.struct(F.col("dest").alias("bucket"), F.lit(True).alias("tail"))),
             lambda s: s["bucket"].isNotNull())).alias("at")).select(*rows.columns, "at.bucket", "at.tail")
 
-    return deal(base), deal, n
+    return deal, base, n
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,117 +140,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document's, by descending id; after the last comes the first. Returns id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. Other columns are left out, so they can't clash.
 
-    Defined cases: a null text is empty; a null id comes last in the order and is returned as null; documents of one id
-    are ordered by a hash of their text; a single document is its own next; empty texts, and those without a term in
-    the band, have a hash of the text as fingerprint; an empty table gives no rows.
+    Defined cases: a null text is empty; a null id comes last in the order and is returned as null; ids that aren't whole numbers are in
+    the order of strings; documents of one id are ordered by a hash of their text, descending; a single document is its own next; empty
+    texts, and those without a term in the band, have a hash of the text as fingerprint; all terms of very long texts count; an empty
+    table gives no rows.
     """
-    dealt, _, n = _dealt(docs, id_col, text_col)
-    by_order = _by_order()
-    n_chars = F.char_length("_text")
-    cut = F.floor(n_chars / 3).cast("int")
-    rows = dealt.withColumn("next", F.lead("_text").over(by_order)).withColumn("rn", F.row_number().over(by_order))
-    rows = rows.withColumn("edited", F.concat(F.left("_text", n_chars - cut), F.left(F.coalesce("next", F.lit("")), cut)))
-    rows = rows.select(
-        "bucket", "tail", "rn", "_id", n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"),
-        F.xxhash64("_text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"),
-        scale_of(n_chars).alias("so"), scale_of(F.char_length("edited")).alias("se"), terms_of(F.col("_text")).alias("to"), terms_of(F.col("edited")).alias("te"))
-    rows = rows.withColumns({"to": _kept(F.col("to"), F.col("so")), "te": F.when(F.col("tail"), F.array().cast("array<bigint>")).otherwise(_kept(F.col("te"), F.col("se")))})
-    rows = stored(rows, "imatch")
-
-    each = rows.select("bucket", "rn", "tail", "to", "te", F.explode(F.array_union("to", "te")).alias("h"))
-    each = each.select("bucket", "rn", "tail", "h", F.array_contains("to", F.col("h")).alias("o"), F.array_contains("te", F.col("h")).alias("e"))
-    most = max(MIN_DF, int(MAX_SHARE * n))
-    df = each.where("o and not tail").groupBy("h").agg(F.count("*").alias("df"))
-    frequent = df.where(F.col("df") > most).select("h")
-    band = df.where(F.col("df").between(MIN_DF, most)).select("h")
-    inside = each.drop("tail").join(F.broadcast(frequent), "h", "left_anti").join(band, "h")
-    meta = rows.select("bucket", "rn", "tail", "_id", "n_chars", "sha", "own_hash", "edited_hash", "so", "se")
-    joined = inside.unionByName(meta, allowMissingColumns=True).repartition("bucket")
-    docs_again = joined.groupBy("bucket", "rn").agg(
-        F.collect_list(F.when(F.col("o"), F.col("h"))).alias("to"), F.collect_list(F.when(F.col("e"), F.col("h"))).alias("te"),
-        *[F.max(c).alias(c) for c in ("tail", "_id", "n_chars", "sha", "own_hash", "edited_hash", "so", "se")])
-    so, se = F.col("so"), F.col("se")
-    fp = docs_again.select(
-        "bucket", "rn", "tail", "_id", "n_chars", "sha", "own_hash", "edited_hash", "so", "se",
-        _subset_hashes(F.col("to"), so).alias("oa"), _subset_hashes(F.col("to"), so + 1).alias("ob"),
-        _subset_hashes(F.col("te"), se).alias("ea"), _subset_hashes(F.col("te"), se + 1).alias("eb"))
-    fp = fp.withColumns({
-        "of": _text_form(so, F.col("oa"), F.col("ob"), F.col("own_hash")),
-        "ef": _text_form(se, F.col("ea"), F.col("eb"), F.col("edited_hash"))})
-    later = Window.partitionBy("bucket").orderBy("rn")
-    fp = fp.withColumn("nx", F.lead(F.struct("so", "oa", "ob", "of")).over(later)).where(~F.col("tail"))
-    own = {"scale": so, "a": F.col("oa"), "b": F.col("ob"), "text": F.col("of")}
-    edited = {"scale": se, "a": F.col("ea"), "b": F.col("eb"), "text": F.col("ef")}
-    nxt = {"scale": F.col("nx.so"), "a": F.col("nx.oa"), "b": F.col("nx.ob"), "text": F.col("nx.of")}
-    return fp.select(
-        F.col("_id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), F.col("of").alias("fingerprint"),
-        F.col("ef").alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, nxt).alias("near_next"))
-
-
-def _lexicon_hashes(terms: Column) -> tuple[Column, Column, Column]:
-    """In steps, a hash for each part of the lexicon, null where it is empty. Sorted terms lie in parts; marks between the parts find them."""
-    marks = [-(2**63) + (r << 59) for r in range(LEXICONS)]
-    laid = F.array_sort(F.concat(terms, F.array(*[F.lit(m).cast("long") for m in marks])))
-    ends = F.transform(F.array(*[F.lit(m).cast("long") for m in marks]), lambda m: F.array_position(F.col("_laid"), m).cast("int"))
-
-    def one(p: Column, r: Column) -> Column:
-        last = F.coalesce(F.get(F.col("_ends"), r + 1), F.size("_laid") + 1)
-        return F.when(last - p > 1, F.xxhash64(F.slice(F.col("_laid"), p + 1, last - p - 1)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return laid, ends, F.transform(F.col("_ends"), one)
-
-
-def _with_print(rows: DataFrame, terms: str, whole: str, name: str) -> DataFrame:
-    """Adds the whole fingerprint as a string; a text without a term in the band is its own hash."""
-    laid, ends, hashes = _lexicon_hashes(F.col(terms))
-    rows = rows.withColumn("_laid", laid).withColumn("_ends", ends).withColumn("_hashes", hashes)
-    shown = F.array_join(F.transform("_hashes", lambda v: F.coalesce(F.lower(F.hex(v)), F.lit(""))), ",")
-    return rows.withColumn(name, F.when(F.size(terms) == 0, F.concat(F.lit("text:"), F.lower(F.hex(whole)))).otherwise(shown)).drop("_laid", "_ends", "_hashes")
-
-
-def _whole_likeness(x: Column, y: Column, sx: Column, sy: Column) -> Column:
-    """The share of equal subsets of two texts' terms, of those that aren't empty in both, over all subsets of the scales that
-    both have: a subset differs if a term of only one text falls into it."""
-    any_term, odd = F.array_union(x, y), F.array_union(F.array_except(x, y), F.array_except(y, x))
-    slots = lambda v, s: F.size(F.array_distinct(F.transform(v, lambda h: _slot(h, s))))
-    s = F.greatest(sx, sy)
-    both = lambda v: slots(v, s) + F.when(sx == sy, slots(v, s + 1)).otherwise(0)
-    return F.when(F.abs(sx - sy) > 1, F.lit(0.0)).otherwise(F.coalesce(1 - both(odd) / F.nullif(both(any_term), F.lit(0)), F.lit(0.0)))
-
-
-def whole_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``fingerprints`` over all terms of all texts: same columns, edited texts and defined cases."""
-    dealt, deal, n = _dealt(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    each = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"), F.explode(terms_of(text)).alias("h"))
-    df = stored(each.groupBy("h").agg(F.count("*").alias("df"), F.max("_key").alias("_key")), "imatch-df")
+    deal, base, n = _dealt(docs, id_col, text_col)
+    df = base.select("_key", "_tie", F.explode(terms_of(F.col("_text"))).alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.max("_key").alias("_key"), F.max("_tie").alias("_tie"))
+    df = stored(df, "imatch-df")
     most = max(MIN_DF, int(MAX_SHARE * n))
     frequent = F.broadcast(df.where(F.col("df") > most).agg(F.collect_list("h").alias("frequent")))  # one row
 
     cut = F.floor(F.char_length("_text") / 3).cast("int")
-    rows = dealt.withColumn("next", F.coalesce(F.lead("_text").over(_by_order()), F.lit("")))
+    none = F.array().cast("array<bigint>")
+    rows = deal(base).repartition("bucket").withColumn("next", F.coalesce(F.lead("_text").over(_by_order()), F.lit("")))
     rows = rows.withColumn("edited", F.concat(F.left("_text", F.char_length("_text") - cut), F.left("next", cut)))
-    rows = rows.withColumn("to", terms_of(F.col("_text"))).withColumn("te", F.when(F.col("tail"), F.array().cast("array<bigint>")).otherwise(terms_of(F.col("edited"))))
-
-    # Terms to drop in each range, besides the frequent ones: with MIN_DF 2, a term of too few documents has one, or is in none.
-    seam = rows.withColumn("tn", F.lead("to").over(_by_order())).where(~F.col("tail"))
-    seam = seam.crossJoin(frequent).select("bucket", F.explode(F.array_except(F.array_except("te", F.array_union("to", F.coalesce("tn", "to"))), "frequent")).alias("h")).distinct()
-    unknown = seam.join(df.where(F.col("df") >= MIN_DF).select("h"), "h", "left_anti").select("bucket", "h")
-    rare = deal(df.where(F.col("df") < MIN_DF).select("_key", "h")).select("bucket", "h")
-    drops = stored(rare.union(unknown).groupBy("bucket").agg(F.collect_list("h").alias("drops")), "imatch-drops")
 
-    gone = F.concat(F.coalesce("drops", F.array().cast("array<bigint>")), "frequent")
+    # Terms to drop in each range, besides the frequent ones: with MIN_DF 2, a term of too few documents has one, or is in none. The latter
+    # stand where the two texts meet, or where the second is cut.
+    run = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++$"
+    kept, put = F.left("_text", F.char_length("_text") - cut), F.left("next", cut)
+    met = F.concat(F.regexp_extract(kept, run, 0), F.regexp_extract(put, r"^[\p{L}\p{N}]+", 0))
+    seam = rows.where(~F.col("tail") & (cut > 0)).select("bucket", F.explode(F.array(met, F.regexp_extract("edited", run, 0))).alias("w")).where("w <> ''")
+    seam = seam.select("bucket", F.explode(terms_of(F.col("w"))).alias("h")).distinct()
+    unknown = seam.join(df.where(F.col("df") >= MIN_DF).select("h").hint("merge"), "h", "left_anti").select("bucket", "h")
+    rare = deal(df.where(F.col("df") < MIN_DF).select("_key", "_tie", "h")).select("bucket", "h")
+    drops = rare.union(unknown).groupBy("bucket").agg(F.collect_list("h").alias("drops"))
+
+    gone = F.concat(F.coalesce("drops", none), "frequent")
     rows = rows.join(drops.hint("merge"), "bucket", "left").crossJoin(frequent).withColumn("gone", gone).select(
-        "bucket", "tail", "_key", "_id", "_text", F.char_length("_text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"),
-        F.xxhash64("_text").alias("own_hash"), F.xxhash64("edited").alias("edited_hash"), scale_of(F.char_length("_text")).alias("so"),
-        scale_of(F.char_length("edited")).alias("se"), F.array_except("to", "gone").alias("to"), F.array_except("te", "gone").alias("te"))
-    rows = _with_print(_with_print(rows, "to", "own_hash", "of"), "te", "edited_hash", "ef")
-    rows = rows.withColumn("nx", F.lead(F.struct("so", "to", "of")).over(_by_order())).where(~F.col("tail"))
-    so = F.col("so")
+        "bucket", "tail", "_key", "_tie", F.char_length("_text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.xxhash64("edited").alias("edited_hash"),
+        F.array_except(terms_of(F.col("_text")), F.col("gone")).alias("to"), F.when(F.col("tail"), none).otherwise(F.array_except(terms_of(F.col("edited")), F.col("gone"))).alias("te"))
+    rows = with_fingerprint(with_fingerprint(rows, "to", "own"), "te", "after")
+    rows = rows.withColumn("fo", shown(F.col("own"), F.col("_tie"))).withColumn("fe", shown(F.col("after"), F.col("edited_hash")))
+    rows = rows.withColumn("nx", F.lead(F.struct("own", "fo")).over(_by_order())).where(~F.col("tail"))
     return rows.select(
-        F.col("_id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), F.col("of").alias("fingerprint"), F.col("ef").alias("edited_fingerprint"),
-        F.when(F.col("of") == F.col("ef"), F.lit(1.0)).otherwise(_whole_likeness(F.col("to"), F.col("te"), so, F.col("se"))).alias("near_edited"),
-        F.when(F.col("of") == F.col("nx.of"), F.lit(1.0)).otherwise(_whole_likeness(F.col("to"), F.col("nx.to"), so, F.col("nx.so"))).alias("near_next"))
+        F.col("_key").cast(docs.schema[id_col].dataType).alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), F.col("fo").alias("fingerprint"), F.col("fe").alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("after"), F.col("fo") == F.col("fe")).alias("near_edited"), likeness(F.col("own"), F.col("nx.own"), F.col("fo") == F.col("nx.fo")).alias("near_next"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -380,7 +380,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("labels").alias("labels")), "jaccard-classes")
     groups = stored(candidate_groups(classes.select("digest", "n", "labels"), threshold), "jaccard-candidates")
     wanted = groups.join(classes.select("digest", "rep", "n").hint("merge"), "digest")
-    sizes = wanted.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    # Written, so that the join has both its sides from exchanges: a group that is hot is then split at run time.
+    sizes = stored(wanted.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("size")), "jaccard-sizes")
     wanted = stored(wanted.join(sizes.hint("merge"), "comp").select("comp", "m", "size", "digest", "rep"), "jaccard-wanted")
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     few = wanted.count() <= BROADCAST_ROWS

@@ -142,7 +142,11 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
 
     Defined cases: an empty or null text has no likelihood, so that declaration and host decide; a null declaration
     says nothing; one of a language without a model counts where the rest says "none": the row has that language, is accepted, and its
-    confidence is null; rows without a host share the empty host's prior; if no language has a model all is "none".
+    confidence is null; rows without a host share the empty host's prior; of languages that are equally likely the first by name counts; very
+    long texts are read whole; repeated rows count and are told each; if no language has a model all is "none".
+
+    The query learns from the column that it then takes for the declaration: its models are of what most declarations say, which is why a
+    single wrong one is overruled by its text. Held-out accuracy is tested without declarations.
     """
     k = len(langs) + 1
     scored = stored(score_texts(rows, langs, logs, markup), "language")

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import io
-import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What this process has written to the shared folder and not deleted yet.
-_written: set[str] = set()
+from ..sources.scratch import discard, filesystem, keep, make_folder, scratch, shared_dir, stored, work_path
+
+__all__ = [
+    "components", "discard", "filesystem", "get_arrays", "keep", "keyed_blocks", "lower_ascii", "make_folder", "put_arrays", "scratch", "shared_dir", "stored", "work_path",
+]
 
 #: A-Z, and what they become; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,70 +26,6 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def filesystem(uri: str):
-    """The file system of a place, and the place in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file://{uri}")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, a temporary one serves a local session; a cluster must name one."""
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not have:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        have = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.sparkContext.setCheckpointDir(have)
-    return have
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; what is written there is deleted when the process ends, if not before."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.add(path)
-    return path
-
-
-def make_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder."""
-    path = work_path(spark, name)
-    system, place = filesystem(path)
-    system.create_dir(place, recursive=True)
-    return path
-
-
-def discard(paths: set[str]) -> None:
-    """Deletes written tables and folders that nothing reads any more."""
-    for path in sorted(paths & _written):
-        _written.discard(path)
-        try:
-            system, place = filesystem(path)
-            system.delete_dir(place)
-        except OSError:  # never written, or gone already
-            pass
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """All that is written inside is deleted at the end: the results must have been written elsewhere by then."""
-    before = set(_written)
-    try:
-        yield
-    finally:
-        discard(_written - before)
-
-
-def keep(path: str) -> None:
-    """From now on the caller owns what is written there."""
-    _written.discard(path)
-
-
-@atexit.register
-def _clean() -> None:
-    discard(set(_written))
-
-
 def put_arrays(path: str, **arrays: np.ndarray) -> None:
     """Writes arrays as one compressed file, under its name only when complete."""
     system, name = filesystem(path)
@@ -107,14 +43,6 @@ def get_arrays(path: str):
         return np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(f.read())))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table in the shared folder: computed once, and lineage ends there."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed_blocks(n_bytes: int, target: int, least: int = 1) -> int:
     """How many blocks of about ``target`` bytes hold ``n_bytes``."""
     return max(least, -(-int(n_bytes or 0) // target))

@@ -1,7 +1,7 @@
 """WARC archives of individually compressed records with an embedded Zstandard dictionary, and their reader.
 
 Each archive is a ``.warc.zst`` file: a skippable frame that holds the dictionary (itself compressed), then one frame per
-record, compressed with it. The dictionary is trained on a bounded sample of the archive's own records. Records with equal
+record, compressed with it: a warcinfo record, then one for each row. The dictionary is trained on a bounded sample of the archive's own records. Records with equal
 payloads of at least ``LEAST`` bytes are stored once, as the response with the smallest id; the others revisit it.
 
 Scale: the response of a payload is found by a grouped minimum over digests (summed before the shuffle) and a join on
@@ -35,18 +35,21 @@ SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 
 
 def record_bytes(kind: str, uri: str, page_id: str, payload: bytes, length: int, digest: str, refers: str | None, refers_uri: str | None, date: str) -> bytes:
-    """A WARC 1.1 record."""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{uri}|{digest}")
-    head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {uri}", f"X-Page-ID: {page_id}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}",
-    ]
-    body = b"" if kind == "revisit" else payload
-    if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers}"]
-        if refers_uri:
-            head.append(f"WARC-Refers-To-Target-URI: {refers_uri}")
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
+    """A WARC 1.1 record with an id of its own. A response has an HTTP head before its payload; digest and length are the payload's alone."""
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    if kind == "warcinfo":
+        body = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+        head.append("Content-Type: application/warc-fields")
+    else:
+        head += [f"WARC-Target-URI: {uri}", f"X-Page-ID: {page_id}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}", "Content-Type: application/http; msgtype=response"]
+        body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+        if kind == "revisit":
+            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers}"]
+            if refers_uri:
+                head.append(f"WARC-Refers-To-Target-URI: {refers_uri}")
+        else:
+            body += payload
+    head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -124,7 +127,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         F.col(id_col).alias("_id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     rows = rows.withColumn("_digest", F.sha2("_html", 256))
-    # The same expressions over the same scan: the html itself isn't shuffled here, only digests are.
+    # Counting shuffles digests only; the join then shuffles the rows, html included, by digest.
     seen = rows.where(F.octet_length("_html") >= LEAST).groupBy("_digest").agg(
         F.min("_id").alias("_first"), F.min_by("_url", "_id").alias("_first_url"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     decided = rows.join(seen, "_digest", "left")
@@ -138,7 +141,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     def put(records: list[bytes]) -> pa.RecordBatch:
         system, base = filesystem(archives)
         system.create_dir(base, recursive=True)
-        raw = write_archive(records)
+        raw = write_archive([record_bytes("warcinfo", "", "", b"", 0, "", None, None, date), *records])
         name = f"{base}/{uuid.uuid4().hex}.warc.zst"
         with system.open_output_stream(f"{name}.part", compression=None) as out:
             out.write(raw)
@@ -181,6 +184,9 @@ def read_warc(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                     raw = f.read()
                 rows, size = [], 0
                 for fields, block in _frames(raw):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
+                    block = block.partition(b"\r\n\r\n")[2]  # without the HTTP head
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     whole = fields["WARC-Type"] == "response"
                     if whole and hashlib.sha256(block).hexdigest() != digest:

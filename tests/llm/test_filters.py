@@ -51,6 +51,13 @@ def test_no_urls_and_no_rules(spark):
     assert url_filter.filter_urls(some, url_filter.rules_frame(spark, [])).first()["verdict"] == "allow"
 
 
+def test_ties_of_rules(spark):
+    """The same rule as allow and block is block; of equal lengths the longer host wins."""
+    rules = url_filter.rules_frame(spark, [("allow", "a.org/"), ("block", "a.org/"), ("allow", "b.org/xyz"), ("block", "z.b.org/x")])
+    urls = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://z.b.org/xyz")], "page_id long, url string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(urls, rules).collect()} == {1: ("a.org/", "block"), 2: ("z.b.org/x", "block")}
+
+
 def test_url_plan_has_no_python(spark):
     df = url_filter.op1_url_filters(spark, oracles.SF)
     plan = df._jdf.queryExecution().toString()
@@ -140,6 +147,8 @@ def test_archive_bytes():
 
     import zstandard as zstd
 
+    one, other = (warc.parse_record(warc.record_bytes("response", "u", "1", b"<p>", 3, "d", None, None, "2020-01-01T00:00:00Z")) for _ in "ab")
+    assert one[0]["WARC-Record-ID"] != other[0]["WARC-Record-ID"] and one[1].startswith(b"HTTP/1.1 200 OK\r\n") and one[1].endswith(b"\r\n\r\n<p>")
     records = [warc.record_bytes("response", f"u{k}", str(k), b"payload %d" % k * 20, 0, "d", None, None, "2020-01-01T00:00:00Z") for k in range(50)]
     raw = warc.write_archive(records)
     assert list(warc.read_archive(raw)) == records
