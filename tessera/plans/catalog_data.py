@@ -182,6 +182,29 @@ def _window_sql(starts: str, end: str, win: str = "16", extra: str = "") -> str:
   SELECT user_id, v, n, s AS start_sample, row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS seg_idx FROM (SELECT user_id, v, n, unnest({starts}) AS s FROM sig))"""
 
 
+def _placed_sql(starts: str, keeps: str) -> str:
+    """Starts in order, each if ``keeps`` allows it beside those kept before, eight at most."""
+    return f"list_reduce(list_transform({starts}, lambda s: [s]), lambda a, x: CASE WHEN len(a) < 8 AND {keeps} THEN list_concat(a, x) ELSE a END)"
+
+
+# Loudness of frames of four, those over the 60th percentile, loudest first.
+_ENERGY_SQL = f"""WITH {_SIGNALS},
+loud AS (SELECT user_id, v, n, list_transform(range(0, n // 4), lambda k: sqrt(list_reduce(list_transform(v[k * 4 + 1 : k * 4 + 4], lambda x: x * x), lambda a, b: a + b) / 4)) AS f FROM sig WHERE n > 16),
+least_ AS (SELECT *, list_sort(f) AS o, (len(f) - 1) * 60 / 100 AS p60 FROM loud),
+floor_ AS (SELECT *, o[CAST(floor(p60) AS BIGINT) + 1] + (o[least(CAST(floor(p60) AS BIGINT) + 2, len(f))] - o[CAST(floor(p60) AS BIGINT) + 1]) * (p60 - floor(p60)) AS t FROM least_),
+peaks AS (SELECT user_id, v, n, list_transform(list_sort(list_transform(list_filter(range(1, len(f) + 1), lambda i: f[i] >= t), lambda i: {{'loud': -f[i], 'k': i - 1}})), lambda x: greatest(0, least(n - 16, x.k * 4 + 2 - 8))) AS starts FROM floor_),
+every AS (SELECT user_id, v, n, list_sort({_placed_sql('starts', 'len(list_filter(a, lambda o: abs(o - x[1]) < 16)) = 0')}) AS placed FROM peaks UNION ALL SELECT user_id, v, n, [0] FROM sig WHERE n BETWEEN 1 AND 16)
+SELECT user_id, seg_idx, start_sample, start_sample + 16 AS end_sample, 16 AS size, round(coalesce(list_sum(v[start_sample + 1 : start_sample + 16]), 0), 4) AS total
+FROM (SELECT user_id, v, s AS start_sample, row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS seg_idx FROM (SELECT user_id, v, unnest(placed) AS s FROM every))"""
+# Rises of the energy of frames of two.
+_EVENT_SQL = f"""WITH {_SIGNALS},
+level AS (SELECT user_id, v, n, list_transform(range(0, n // 2), lambda k: ln(1 + v[2 * k + 1] * v[2 * k + 1] + v[2 * k + 2] * v[2 * k + 2])) AS f FROM sig WHERE n > 16),
+rises AS (SELECT *, list_transform(range(1, len(f) + 1), lambda i: CASE WHEN i = 1 THEN 0.0 ELSE greatest(0, f[i] - f[i - 1]) END) AS r FROM level),
+peaks AS (SELECT user_id, v, n, list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i] > list_avg(r) AND r[i] >= coalesce(r[i + 1], 0) AND r[i] > CASE WHEN i = 1 THEN 0 ELSE r[i - 1] END), lambda i: greatest(0, least(n - 16, (i - 2) * 2 - 4))) AS starts FROM rises),
+every AS (SELECT user_id, v, n, CASE WHEN len(starts) = 0 THEN [greatest(0, n // 2 - 8)] ELSE {_placed_sql('starts', 'x[1] - a[len(a)] >= 8')} END AS placed FROM peaks UNION ALL SELECT user_id, v, n, [0] FROM sig WHERE n BETWEEN 1 AND 16)
+SELECT user_id, seg_idx, start_sample, start_sample + 16 AS end_sample, 16 AS size, round(coalesce(list_sum(v[start_sample + 1 : start_sample + 16]), 0), 4) AS total
+FROM (SELECT user_id, v, s AS start_sample, row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS seg_idx FROM (SELECT user_id, v, unnest(placed) AS s FROM every))"""
+
 _TUMBLE = "SELECT CAST(epoch(time_bucket(INTERVAL '{step} hours', ts, TIMESTAMP '1970-01-01')) AS BIGINT) - {back} AS start_s, event_type, value FROM events"
 
 QUERIES = {
@@ -212,6 +235,7 @@ UNION ALL SELECT 'max_price', round(max(o_totalprice) FILTER (o_orderstatus = 'F
     "seg_fixed": _window_sql("range(0, n, 16)", "start_sample + 16"),
     "seg_overlap": _window_sql("CASE WHEN n <= 16 THEN [0] ELSE list_concat(range(0, n - 15, 6), CASE WHEN (n - 16) // 6 * 6 + 16 < n THEN [n - 16] ELSE [] END) END", "start_sample + 16"),
     "seg_multiscale": " UNION ALL ".join(f"({_window_sql(f'range(0, n, {w})', f'start_sample + {w}', str(w), f', CAST({w} AS DOUBLE) AS scale')})" for w in (8, 16, 32)),
+    "seg_energy": _ENERGY_SQL, "seg_event": _EVENT_SQL,
     "frame_rms": f"WITH {_SIGNALS} SELECT user_id, k AS frame_idx, round(sqrt(list_dot_product(v[k * 8 + 1 : k * 8 + 8], v[k * 8 + 1 : k * 8 + 8]) / 8), 6) AS rms FROM (SELECT user_id, v, unnest(range(0, n // 8)) AS k FROM sig)",
     "min_gap_events": """WITH RECURSIVE t AS (SELECT user_id, epoch_us(ts) / 1e6 AS s FROM events),
 g AS (SELECT user_id, min(s) AS s FROM t GROUP BY user_id UNION ALL SELECT g.user_id, (SELECT min(t.s) FROM t WHERE t.user_id = g.user_id AND t.s - g.s >= 86400) FROM g WHERE g.s IS NOT NULL)
