@@ -1,6 +1,9 @@
 """Whole runs of the engine, stages by key, caches, reports, and searches at their bounds."""
 
+import io
 import json
+import wave
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,7 +13,7 @@ from tessera.functions import signal
 from tessera.operators import ann, knn, represent
 from tessera.plans import catalog_rank, experiment
 from tessera.plans.registry import EMBEDDERS, RetrievalSpec, retrieve
-from tessera.sources import scratch
+from tessera.sources import records, scratch
 
 RATE = 400
 
@@ -123,6 +126,70 @@ def test_queries_in_many_blocks_and_parts(spark, monkeypatch):
     assert {(r["query_id"], r["doc_id"]) for r in knn.knn(queries, corpus, 4).collect()} == want
 
 
+def test_a_written_index_finds_what_it_found_before(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((130, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    corpus = spark.createDataFrame([(k, f"l{k % 3}", x.tolist()) for k, x in enumerate(v[:100])], "doc_id long, label string, embedding array<double>")
+    queries = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(v[100:])], "query_id long, q_seg long, embedding array<double>")
+    ann.save_index(corpus, f"file://{tmp_path}/index", 8)
+    found = ann.search_index(queries, f"file://{tmp_path}/index", 5, 8)
+    exact = knn.knn(queries, corpus, 5)
+    assert ann.recall(found, exact).first()["recall"] == 1 and found.count() == 150 and found.schema["label"].dataType.simpleString() == "string"
+
+
+def wav(y, rate=RATE):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes((np.asarray(y) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def test_recordings_of_archives(spark, tmp_path):
+    """Files that aren't there go, samples are drawn before the rating filter, unknown ratings stay, ids are dense."""
+    lines = ["filename,primary_label,scientific_name,common_name,rating"]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(8):
+            lines.append(f"s{k % 2}/{k}.wav,s{k % 2},Genus g{k % 2},name,{(0, 1, 4, 5)[k % 4]}")
+            if k != 7:
+                z.writestr(f"train_audio/s{k % 2}/{k}.wav", wav(np.sin(np.arange(40) / (k + 1))))
+        z.writestr("train.csv", "\n".join(lines))
+    rows = records.load(spark, f"file://{tmp_path}/a.zip", min_rating=3.0).orderBy("item_id").collect()
+    assert [(r["item_id"], r["rel_path"], r["rating"]) for r in rows] == [(0, "train_audio/s0/0.wav", 0.0), (1, "train_audio/s0/2.wav", 4.0), (2, "train_audio/s0/4.wav", 0.0), (3, "train_audio/s0/6.wav", 4.0), (4, "train_audio/s1/3.wav", 5.0)]
+    few = records.load(spark, f"file://{tmp_path}/a.zip", max_records=4).groupBy("primary_label").count().collect()
+    assert sorted(r["count"] for r in few) == [2, 2]
+    audio = {r["rel_path"]: len(r["samples"]) for r in records.zip_audio(spark, f"file://{tmp_path}/a.zip", RATE).collect()}
+    assert len(audio) == 7 and set(audio.values()) == {40}
+
+
+def test_noise_clips(spark, tmp_path):
+    (tmp_path / "wind").mkdir()
+    for name in ("rain1.wav", "rain2.wav", "wind/x.wav", "other.wav"):
+        (tmp_path / name).write_bytes(wav(np.ones(30) / 2))
+    clips = records.noise_clips(spark, f"file://{tmp_path}", ["rain", "wind"], RATE)
+    assert sorted(r["kind"] for r in clips.collect()) == ["rain", "rain", "wind"]
+    with pytest.raises(FileNotFoundError, match="urban"):
+        records.noise_clips(spark, f"file://{tmp_path}", ["urban"], RATE)
+
+
+def test_searches_of_a_stream(spark, tmp_path):
+    from tessera.streaming.windows import search_stream
+
+    rng = np.random.default_rng(6)
+    corpus = spark.createDataFrame([(k, k % 2, x.tolist()) for k, x in enumerate(rng.standard_normal((20, 4)))], "doc_id long, label long, embedding array<double>")
+    queries = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(rng.standard_normal((6, 4)))], "query_id long, q_seg long, embedding array<double>")
+    queries.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(queries.schema).parquet(f"{tmp_path}/in")
+    running = search_stream(stream, lambda df: knn.knn(df, corpus, 3), f"{tmp_path}/out", f"{tmp_path}/state").start()
+    running.processAllAvailable()
+    running.stop()
+    key = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"]) for r in df.collect())
+    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(knn.knn(queries, corpus, 3))
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_recall_of_the_registered_indexes(spark, sf):
     rows = {r["index"]: r["recall"] for r in catalog_rank.index_recall(spark, f"/root/testdata/{sf}").collect()}
