@@ -31,14 +31,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the least id; of its repeated rows, one."""
-    groups = jaccard_join.jaccard_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    gone = stored(groups, "gone")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates, the document of the least id; of its repeated rows, one. Rows of one id, or of null ids, are told
+    apart by their texts."""
+    groups = jaccard_join.jaccard_groups(docs, hashed=True)
+    kept = _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash"))
     again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "again")
     if again.isEmpty():
         return kept
-    twice = kept["doc_id"].eqNullSafe(again["_id"])
+    twice = kept["doc_id"].eqNullSafe(again["_id"])  # few rows, or a join by sorting: the planner sees their size
     return kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

@@ -94,7 +94,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def summarise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each document's set digest, number of shingles, and labels in the trees: the only pass over all texts."""
+    """Each document's set digest, number of shingles, labels in the trees, and a hash of its text: the only pass over all texts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +111,11 @@ def summarise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         continue
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     labels.append(signature(s, a, b).astype(np.uint8).view(">i8").astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64()))], names=["id", "digest", "n", "labels"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64())), part.column(2)], names=["id", "digest", "n", "labels", "h"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return stored(rows.mapInArrow(work, f"id {kind}, digest binary, n long, labels array<long>"), "jaccard-docs")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    return stored(rows.mapInArrow(work, f"id {kind}, digest binary, n long, labels array<long>, h long"), "jaccard-docs")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -364,11 +365,12 @@ def verify(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return stored(dealt.mapInArrow(work, "a binary, b binary, links long"), "jaccard-links")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, hashed: bool = False) -> DataFrame:
     """Near-duplicate groups of documents whose word 5-gram sets have a Jaccard similarity of at least ``threshold``.
 
     Returns one row per row: id, class_id (the least id of its group: all that chains of links reach), text_id (the least id with
-    the same shingles), n_copies (rows with the same shingles), n_links (other shingle sets that it is linked with).
+    the same shingles), n_copies (rows with the same shingles), n_links (other shingle sets that it is linked with), and, if asked for,
+    text_hash (``xxhash64`` of the text), which tells rows of one id apart.
 
     Defined cases: null texts are empty; texts without words are copies if their bytes are equal, and have no links; texts of fewer
     words than a shingle are compared as a whole; very long texts are compared whole, and a group of them is dealt by its bytes;
@@ -393,7 +395,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = named.withColumn("label", F.coalesce("label", "digest"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = named.join(least, "label").select("digest", "class_id", F.col("rep").alias("text_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return rows.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "class_id", "text_id", "n_copies", "n_links")
+    out = rows.select("id", "digest", F.col("h").alias("text_hash")).join(named, "digest")
+    return out.select(F.col("id").alias(id_col), "class_id", "text_id", "n_copies", "n_links", *["text_hash"] * hashed)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,23 @@ def test_stages_in_order(spark, tmp_path):
     assert len(five) == four.count() and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in five)
 
 
+def test_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path):
+    """A copy goes by its own text: other rows of its id stay."""
+    a, b, c, d = (" ".join(fixtures.words(__import__("random").Random(k), 90)) for k in range(4))
+    rows = [(1, a, "en", "s", 0), (None, a, "en", "s", 0), (None, b, "en", "s", 0), (None, b, "en", "s", 0), (5, c, "en", "s", 0), (7, c + " end", "en", "s", 0), (7, d, "en", "s", 0), (7, d, "en", "s", 0), (None, None, None, None, None)]
+    docs = fixtures.frame(spark, rows)
+    spark.createDataFrame([(1, "none of these words at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    two = stages["near_duplicates"](spark, docs, str(tmp_path))
+    kept = [(1, a), (None, b), (5, c), (7, d), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in two.collect()), key=repr) == sorted(kept, key=repr)
+    for name in ("repeated_strings", "benchmark_passages"):
+        two = stages[name](spark, two, str(tmp_path))
+        assert sorted(((r["doc_id"], r["text"]) for r in two.collect()), key=repr) == sorted([(i, t or "") for i, t in kept], key=repr)
+    assert stages["language"](spark, docs, str(tmp_path)).count() == len(rows)  # a row without a text is told by the others of its (empty) host
+    assert stages["token_ids"](spark, two, str(tmp_path)).count() == 5
+
+
 def test_empty_input(spark, tmp_path):
     fixtures.frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

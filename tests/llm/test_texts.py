@@ -458,5 +458,5 @@ def test_fingerprint_plan_has_no_python(spark):
 
 def test_near_texts_are_likelier_than_far_ones(spark):
     """Two thirds of a text are as they were, so about half of all terms are common."""
-    r = imatch.op10_fingerprints(spark, "/root/testdata/sf0.01").selectExpr("avg(near_edited) AS e", "avg(near_next) AS n", "percentile(near_edited, 0.1) AS low").first()
-    assert r["e"] > .4 > .2 > 2 * r["n"] and r["low"] > .2
+    r = imatch.op10_fingerprints(spark, "/root/testdata/sf0.01").selectExpr("avg(near_edited) AS e", "avg(near_next) AS n").first()
+    assert r["e"] > .4 > .25 > 5 * r["n"]
