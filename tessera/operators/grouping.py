@@ -28,5 +28,6 @@ def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     ranked = ranged.withColumn("_r", F.row_number().over(inner))
     # One row for each range partition.
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    offsets = sizes.withColumn("_o",
+        F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     return ranked.join(offsets, "_p").withColumn(name, (F.col("_r") + F.col("_o") - 1).cast("long")).drop("_p", "_r", "_o")

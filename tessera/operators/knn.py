@@ -86,7 +86,8 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", keys: tuple[str, ...] = ("query_id", "q_seg"), exclude: str | None = None, digits: int = 12) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", keys: tuple[str, ...] = ("query_id", "q_seg"),
+        exclude: str | None = None, digits: int = 12) -> DataFrame:
     """The k best corpus rows for each query: keys, doc_id, label, score, rank.
 
     ``corpus`` has doc_id, label, embedding (and ``exclude``, a column whose value must differ from the first key). Cosine is the
@@ -118,7 +119,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", k
                     fine = np.isfinite(s[row, col])
                     row, col = row[fine], col[fine]
                     yield pa.RecordBatch.from_arrays(
-                        [*[pa.array(ids[at + row, j]) for j in range(len(keys))], b.column(0).take(pa.array(col)), b.column(1).take(pa.array(col)), pa.array(s[row, col])],
+                        [*[pa.array(ids[at + row, j]) for j in range(len(keys))], b.column(0).take(pa.array(col)),
+                        b.column(1).take(pa.array(col)), pa.array(s[row, col])],
                         names=[*keys, "doc_id", "label", "score"])
 
     found = corpus.mapInArrow(work, ", ".join(f"{c} long" for c in keys) + f", doc_id long, label {label}, score double")

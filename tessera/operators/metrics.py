@@ -30,7 +30,8 @@ def per_query(ranked: DataFrame, truth: DataFrame, label_counts: DataFrame, p_at
 def summary(rows: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Means over queries, of all or of each group; 0 for none."""
     names = [c for c in rows.columns if c not in ("query_id", "true_label", "top1_pred", "system", *(groups or []))]
-    return rows.groupBy(*(groups or [])).agg(F.count("*").alias("n_queries"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias({"ap": "map", "rr": "mrr"}.get(c, c)) for c in names])
+    return rows.groupBy(*(groups or [])).agg(F.count("*").alias("n_queries"),
+        *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias({"ap": "map", "rr": "mrr"}.get(c, c)) for c in names])
 
 
 def label_counts(docs: DataFrame) -> DataFrame:
@@ -40,13 +41,16 @@ def label_counts(docs: DataFrame) -> DataFrame:
 def top_confusions(rows: DataFrame, limit: int = 20) -> DataFrame:
     """Most frequent wrong first predictions; queries without one aren't counted."""
     wrong = rows.where("top1_pred IS NOT NULL AND top1_pred <> true_label")
-    return wrong.groupBy("true_label", F.col("top1_pred").alias("pred_label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "true_label", "pred_label").limit(limit)
+    return wrong.groupBy("true_label", F.col("top1_pred").alias("pred_label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"),
+        "true_label", "pred_label").limit(limit)
 
 
 def all_confusions(rows: DataFrame, limit: int = 20) -> DataFrame:
     """As ``top_confusions``, with queries that have no prediction counted as an empty wrong one."""
-    wrong = rows.withColumn("top1_pred", F.coalesce(F.col("top1_pred").cast("string"), F.lit(""))).where(F.col("top1_pred") != F.col("true_label").cast("string"))
-    return wrong.groupBy("true_label", F.col("top1_pred").alias("pred_label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "true_label", "pred_label").limit(limit)
+    wrong = rows.withColumn("top1_pred",
+        F.coalesce(F.col("top1_pred").cast("string"), F.lit(""))).where(F.col("top1_pred") != F.col("true_label").cast("string"))
+    return wrong.groupBy("true_label", F.col("top1_pred").alias("pred_label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"),
+        "true_label", "pred_label").limit(limit)
 
 
 def confusion_matrix(rows: DataFrame, most: int = 30) -> DataFrame:
@@ -60,12 +64,15 @@ def confusion_matrix(rows: DataFrame, most: int = 30) -> DataFrame:
 def taxonomic_hits(ranked: DataFrame, truth: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Shares of queries with a label of the true genus, or with a word of the true name, among the first k."""
     info = labels.select("label", genus(F.col("scientific_name")).alias("genus"), name_words(F.col("common_name")).alias("words"))
-    pairs = truth.join(info.toDF("true_label", "true_genus", "true_words"), "true_label", "left").join(ranked, "query_id", "left").join(info, "label", "left")
+    pairs = truth.join(info.toDF("true_label",
+        "true_genus", "true_words"), "true_label", "left").join(ranked, "query_id", "left").join(info, "label", "left")
     same = F.coalesce((F.col("genus") != "") & (F.col("genus") == F.col("true_genus")), F.lit(False))
     shared = F.coalesce(F.arrays_overlap("words", "true_words"), F.lit(False))
-    flags = [f(k) for k in ks for f in (lambda k: F.max((same & (F.col("pos") <= k)).cast("int")).alias(f"g{k}"), lambda k: F.max((shared & (F.col("pos") <= k)).cast("int")).alias(f"c{k}"))]
+    flags = [f(k) for k in ks for f in (lambda k: F.max((same & (F.col("pos") <= k)).cast("int")).alias(f"g{k}"),
+        lambda k: F.max((shared & (F.col("pos") <= k)).cast("int")).alias(f"c{k}"))]
     each = pairs.groupBy("query_id").agg(*flags)
-    return each.agg(*[F.round(F.avg(F.coalesce(f"{s}{k}", F.lit(0))), 6).alias(f"{name}_at_{k}") for k in ks for s, name in (("g", "genus"), ("c", "common"))])
+    return each.agg(*[F.round(F.avg(F.coalesce(f"{s}{k}", F.lit(0))), 6).alias(f"{name}_at_{k}") for k in ks for s,
+        name in (("g", "genus"), ("c", "common"))])
 
 
 def multi_hit(hits: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
@@ -82,7 +89,8 @@ def multi_hit(hits: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     return each.agg(
         F.count("*").alias("n_queries"), F.round(F.avg(zero(F.when(F.col("found") > 0, F.col("s") / F.col("found")))), 6).alias("map"),
         F.round(F.avg(zero(1.0 / F.col("at"))), 6).alias("mrr"), F.round(F.avg(zero(F.col("p5") / F.col("n5"))), 6).alias("p_at_5"),
-        F.round(F.avg((F.coalesce("at", F.lit(99)) <= 1).cast("double")), 6).alias("top1"), F.round(F.avg((F.coalesce("at", F.lit(99)) <= 5).cast("double")), 6).alias("top5"))
+        F.round(F.avg((F.coalesce("at", F.lit(99)) <= 1).cast("double")), 6).alias("top1"),
+        F.round(F.avg((F.coalesce("at", F.lit(99)) <= 5).cast("double")), 6).alias("top5"))
 
 
 def latency(values: DataFrame, column: str, groups: list[str]) -> DataFrame:

@@ -37,7 +37,8 @@ def _elementwise(df: DataFrame, groups: list[str], how: str, unit: bool = True)
     def rows(keys: list[tuple], own: list[pa.DataType], vectors: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         flat = pa.array(np.ascontiguousarray(vectors).reshape(-1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * vectors.shape[1], pa.int32()), flat)
-        return pa.RecordBatch.from_arrays([*[pa.array([x[j] for x in keys], own[j]) for j in range(k)], lists, pa.array(counts, pa.int64())], names=[*groups, "_v", "_n"])
+        return pa.RecordBatch.from_arrays([*[pa.array([x[j] for x in keys], own[j]) for j in range(k)], lists,
+            pa.array(counts, pa.int64())], names=[*groups, "_v", "_n"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,7 +116,8 @@ def pyramid(df: DataFrame, groups: list[str], levels: tuple[int, ...] = (1, 2, 4
         raise ValueError("levels must be positive")
     own = Window.partitionBy(*groups)
     rows = df.withColumn("_r", F.row_number().over(own.orderBy("idx")) - 1).withColumn("_n", F.count("*").over(own))
-    cells = F.array(*[F.struct(F.lit(a * 1000 + i).alias("at"), F.bround(F.col("_n") * i / F.lit(float(n)), 0).cast("int").alias("lo"), F.bround(F.col("_n") * (i + 1) / F.lit(float(n)), 0).cast("int").alias("hi")) for a, n in enumerate(levels) for i in range(n)])
+    cells = F.array(*[F.struct(F.lit(a * 1000 + i).alias("at"), F.bround(F.col("_n") * i / F.lit(float(n)), 0).cast("int").alias("lo"),
+        F.bround(F.col("_n") * (i + 1) / F.lit(float(n)), 0).cast("int").alias("hi")) for a, n in enumerate(levels) for i in range(n)])
     rows = rows.withColumn("_cell", F.explode(cells))
     lo, hi = F.col("_cell.lo"), F.col("_cell.hi")
     rows = rows.where(((F.col("_r") >= lo) & (F.col("_r") < hi)) | ((hi <= lo) & (F.col("_r") == F.col("_n") - 1))).withColumn("_at", F.col("_cell.at"))
@@ -127,4 +129,5 @@ def pyramid(df: DataFrame, groups: list[str], levels: tuple[int, ...] = (1, 2, 4
     return out.withColumn("pooled", l2_normalize(F.col("pooled")))
 
 
-AGGREGATORS: dict[str, Callable[..., DataFrame]] = {"mean": mean, "max": maximum, "topk_mean": topk_mean, "median": median, "attention": attention, "spe": pyramid}
+AGGREGATORS: dict[str, Callable[..., DataFrame]] = {"mean": mean, "max": maximum, "topk_mean": topk_mean, "median": median,
+    "attention": attention, "spe": pyramid}

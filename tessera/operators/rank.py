@@ -92,8 +92,10 @@ def taxonomy_boost(hits: DataFrame, labels: DataFrame, genus_boost: float = 0.2,
     info = labels.select("label", genus(F.col("scientific_name")).alias("genus"), name_words(F.col("common_name")).alias("words"))
     mine = top.join(info.toDF("top", "genus", "words"), "top", "left")
     same = mine.where("genus <> ''").join(info.where("genus <> ''").select(F.col("label"), "genus"), "genus").where("label <> top").select("query_id", "label", F.lit(genus_boost).alias("bonus"))
-    shared = mine.select("query_id", "top", F.explode("words").alias("w")).join(info.select("label", F.explode("words").alias("w")), "w").where("label <> top").select("query_id", "label").distinct().withColumn("bonus", F.lit(common_boost))
-    every = base.select("query_id", "label", F.col("base").alias("s")).unionByName(same.withColumnRenamed("bonus", "s")).unionByName(shared.withColumnRenamed("bonus", "s"))
+    shared = mine.select("query_id", "top", F.explode("words").alias("w")).join(info.select("label",
+        F.explode("words").alias("w")), "w").where("label <> top").select("query_id", "label").distinct().withColumn("bonus", F.lit(common_boost))
+    every = base.select("query_id", "label",
+        F.col("base").alias("s")).unionByName(same.withColumnRenamed("bonus", "s")).unionByName(shared.withColumnRenamed("bonus", "s"))
     return every.groupBy(*QL).agg(F.sum("s").alias("score"))
 
 
@@ -101,7 +103,8 @@ def take_top_k(scored: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     """The k best labels of each query: query_id, label, score (rounded), pos. Scores that differ by rounding errors alone are ties."""
     scored = scored.withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "label")
-    return scored.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= k).select("query_id", "label", F.round("score", digits).alias("score"), "pos")
+    return scored.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= k).select("query_id", "label",
+        F.round("score", digits).alias("score"), "pos")
 
 
 def minmax(ranked: DataFrame) -> DataFrame:
@@ -121,6 +124,7 @@ def ensemble(members: list[tuple[DataFrame, float]], k: int = 10) -> DataFrame:
 
 
 RANKERS: dict[str, Callable[..., DataFrame]] = {
-    "segment": best, "max": best, "mean": mean, "topk_mean": topk_mean, "hit": hit, "median": median, "threshold": threshold, "weighted_topk": weighted_topk,
+    "segment": best, "max": best, "mean": mean, "topk_mean": topk_mean, "hit": hit, "median": median, "threshold": threshold,
+    "weighted_topk": weighted_topk,
     "softmax": softmax, "rrf": rrf, "borda": borda, "attention": attention, "taxonomy_boost": taxonomy_boost,
 }

@@ -16,7 +16,8 @@ def average_ranks(values: DataFrame, column: str) -> DataFrame:
     counts = values.groupBy(column).agg(F.count("*").alias("ties")).repartitionByRange(column).withColumn("_p", F.spark_partition_id())
     inner = Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy("_p").agg(F.sum("ties").alias("_s"))  # a row for each range
-    offsets = sums.withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    offsets = sums.withColumn("_o",
+        F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     ranked = counts.withColumn("_b", F.coalesce(F.sum("ties").over(inner), F.lit(0))).join(offsets, "_p")
     return ranked.select(column, "ties", (F.col("_o") + F.col("_b") + (F.col("ties") + 1) / 2).alias("rank"))
 
@@ -25,7 +26,8 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     """Signed-rank statistic of a - b without zeros: n, w_plus, w_minus, statistic (the lesser), tie_term (sum of t^3 - t)."""
     diffs = pairs.select(F.round(F.col("a") - F.col("b"), 9).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     ranks = average_ranks(diffs, "m")
-    both = diffs.groupBy("m").agg(F.sum((F.col("d") > 0).cast("long")).alias("up"), F.sum((F.col("d") < 0).cast("long")).alias("down")).join(ranks, "m")
+    both = diffs.groupBy("m").agg(F.sum((F.col("d") > 0).cast("long")).alias("up"),
+        F.sum((F.col("d") < 0).cast("long")).alias("down")).join(ranks, "m")
     out = both.agg(
         F.coalesce(F.sum("ties"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum(F.col("down") * F.col("rank")), F.lit(0.0)).alias("w_minus"),
@@ -108,7 +110,8 @@ def bootstrap(values: DataFrame, column: str, resamples: int = 5000, level: floa
         mass += c / math.factorial(k)
         steps.append(mass)
     weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    rows = values.select("query_id", F.col(column).alias("v")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
+    rows = values.select("query_id", F.col(column).alias("v")).withColumn("b",
+        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
     means = rows.groupBy("b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
     side = (1 - level) / 2
     limits = means.agg(F.percentile("m", F.lit(side)).alias("low"), F.percentile("m", F.lit(1 - side)).alias("high"))
@@ -126,7 +129,10 @@ def pair_groups(systems: DataFrame, backbones: tuple[str, str], strategies: tupl
             cond = cond & c
         return a.join(b, cond).select(key("a").alias("key_a"), key("b").alias("key_b"), F.lit(order).alias("o"), F.lit(name).alias("grp"))
     every = pairs(1, "backbone", [*same("strategy", "ranker"), F.col("a.backbone") == backbones[0], F.col("b.backbone") == backbones[1]])
-    every = every.unionByName(pairs(2, "strategy", [*same("backbone", "ranker"), F.col("a.strategy") == strategies[0], F.col("b.strategy") == strategies[1]]))
-    every = every.unionByName(pairs(3, "reranker_vs_attention", [*same("backbone", "strategy"), F.col("a.ranker") == "attention", F.col("b.ranker") != "attention"]))
-    every = every.unionByName(pairs(4, "score_vs_rank", [*same("backbone", "strategy"), F.col("a.ranker").isin("attention", "softmax"), F.col("b.ranker").isin("rrf", "borda")]))
+    every = every.unionByName(pairs(2, "strategy", [*same("backbone", "ranker"), F.col("a.strategy") == strategies[0],
+        F.col("b.strategy") == strategies[1]]))
+    every = every.unionByName(pairs(3, "reranker_vs_attention",
+        [*same("backbone", "strategy"), F.col("a.ranker") == "attention", F.col("b.ranker") != "attention"]))
+    every = every.unionByName(pairs(4, "score_vs_rank",
+        [*same("backbone", "strategy"), F.col("a.ranker").isin("attention", "softmax"), F.col("b.ranker").isin("rrf", "borda")]))
     return every.groupBy("key_a", "key_b").agg(F.min(F.struct("o", "grp")).alias("g")).select("key_a", "key_b", F.col("g.grp").alias("grp"))

@@ -22,20 +22,24 @@ WIN, HOP = 16, 6
 def scan_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as recordings: rows whose label file is there, with a known or no rating, typed."""
     docs, labels = derive.table(spark, sf_dir, "documents"), derive.table(spark, sf_dir, "labels")
-    rows = docs.select(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".ogg ")).alias("filename"), F.col("lang").alias("primary_label"), F.col("source").alias("scientific_name"),
-                       F.lit(None).cast("string").alias("common_name"), F.when(F.col("doc_id") % 7 == 0, "n/a").otherwise((F.col("doc_id") % 6).cast("string")).alias("rating"))
+    rows = docs.select(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".ogg ")).alias("filename"),
+        F.col("lang").alias("primary_label"), F.col("source").alias("scientific_name"),
+                       F.lit(None).cast("string").alias("common_name"),
+                       F.when(F.col("doc_id") % 7 == 0, "n/a").otherwise((F.col("doc_id") % 6).cast("string")).alias("rating"))
     members = labels.select(F.concat(F.lit(f"{records.FOLDER}/"), F.col("doc_id").cast("string"), F.lit(".ogg")).alias("member"))
     return records.records(records.existing(rows, members), 3.0)
 
 
 def safe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = derive.table(spark, sf_dir, "part")
-    return part.select("p_partkey", safe_double(F.element_at(F.split("p_brand", "#"), -1)).alias("brand_no"), safe_double(F.col("p_name")).alias("name_no"))
+    return part.select("p_partkey", safe_double(F.element_at(F.split("p_brand", "#"), -1)).alias("brand_no"),
+        safe_double(F.col("p_name")).alias("name_no"))
 
 
 def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = derive.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", cache_key(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")), F.col("n_chars"), F.col("doc_id"), F.lit("logmel"), F.lit("none"), F.lit("fixed")).alias("key"))
+    return docs.select("doc_id", cache_key(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")), F.col("n_chars"),
+        F.col("doc_id"), F.lit("logmel"), F.lit("none"), F.lit("fixed")).alias("key"))
 
 
 def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +88,17 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, corpus = derive.queries_and_corpus(spark, sf_dir)
     each = corpus.groupBy("label", "item_id").agg(F.count("*").alias("n_segments"))
     ids = F.array_sort(F.collect_list("item_id"))
-    return each.groupBy("label").agg(F.array_join(F.slice(ids, 1, 3), ",").alias("first_records"), F.count("*").alias("n_records"), F.sum("n_segments").alias("n_segments"))
+    return each.groupBy("label").agg(F.array_join(F.slice(ids, 1, 3), ",").alias("first_records"), F.count("*").alias("n_records"),
+        F.sum("n_segments").alias("n_segments"))
 
 
 def compare_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of systems side by side."""
     orders = derive.table(spark, sf_dir, "orders")
-    runs = orders.groupBy(F.col("o_orderstatus").alias("system")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.round(F.max("o_totalprice"), 4).alias("max_price"))
-    return sinks.comparison(runs, "system", ["mean_price", "max_price"], ["F", "O", "P"]).select("metric", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
+    runs = orders.groupBy(F.col("o_orderstatus").alias("system")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean_price"),
+        F.round(F.max("o_totalprice"), 4).alias("max_price"))
+    return sinks.comparison(runs, "system", ["mean_price", "max_price"], ["F", "O", "P"]).select("metric", F.col("F").alias("f"),
+        F.col("O").alias("o"), F.col("P").alias("p"))
 
 
 def _windows(df: DataFrame) -> DataFrame:
@@ -109,7 +116,8 @@ def seg_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seg_multiscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segment.multi_scale(derive.signals(spark, sf_dir), [8, 16, 32])
-    return _windows(rows).withColumn("scale", F.lit(0.0)).drop("scale").join(rows.select("user_id", "seg_idx", "start_sample", "end_sample", "scale"), ["user_id", "seg_idx", "start_sample", "end_sample"])
+    return _windows(rows).withColumn("scale", F.lit(0.0)).drop("scale").join(rows.select("user_id", "seg_idx",
+        "start_sample", "end_sample", "scale"), ["user_id", "seg_idx", "start_sample", "end_sample"])
 
 
 def seg_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +140,14 @@ def min_gap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def win_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = derive.table(spark, sf_dir, "events")
-    return events.groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_seconds("window.start").alias("start_s"), "event_type", "n", "total")
+    return events.groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours"), "event_type").agg(F.count("*").alias("n"),
+        F.round(F.sum("value"), 4).alias("total")).select(F.unix_seconds("window.start").alias("start_s"), "event_type", "n", "total")
 
 
 def win_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = derive.table(spark, sf_dir, "events")
-    return events.groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours", "3 hours"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_seconds("window.start").alias("start_s"), "event_type", "n", "total")
+    return events.groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours", "3 hours"), "event_type").agg(F.count("*").alias("n"),
+        F.round(F.sum("value"), 4).alias("total")).select(F.unix_seconds("window.start").alias("start_s"), "event_type", "n", "total")
 
 
 def _pooled(name: str, **params):
@@ -151,7 +161,8 @@ def _docs(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = represent.REPRESENTATIONS[kind](derive.segments(spark, sf_dir).select("item_id", "seg_idx", "label", "embedding"))
         join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-        return docs.select("doc_id", "label", text_form(F.col("vector"), 5).alias("vector"), join("source_record_ids").alias("records"), join("source_segment_ids").alias("segments"))
+        return docs.select("doc_id", "label", text_form(F.col("vector"), 5).alias("vector"), join("source_record_ids").alias("records"),
+            join("source_segment_ids").alias("segments"))
     return run
 
 
@@ -208,12 +219,17 @@ FROM (SELECT user_id, v, s AS start_sample, row_number() OVER (PARTITION BY user
 _TUMBLE = "SELECT CAST(epoch(time_bucket(INTERVAL '{step} hours', ts, TIMESTAMP '1970-01-01')) AS BIGINT) - {back} AS start_s, event_type, value FROM events"
 
 QUERIES = {
-    "scan_semi_join": scan_semi_join, "safe_parse": safe_parse, "cache_key": cache_rows, "cache_probe": cache_probe, "json_report": json_report, "sink_roundtrip": sink_roundtrip, "point_lookup": point_lookup,
-    "rating_filter": rating_filter, "strat_sample": strat_sample, "strat_split": strat_split, "genus": genus_names, "lineage": lineage, "compare_pivot": compare_pivot,
-    "seg_fixed": seg_fixed, "seg_overlap": seg_overlap, "seg_multiscale": seg_multiscale, "seg_energy": seg_energy, "seg_event": seg_event, "frame_rms": frame_rms, "min_gap_events": min_gap_events,
+    "scan_semi_join": scan_semi_join, "safe_parse": safe_parse, "cache_key": cache_rows, "cache_probe": cache_probe,
+    "json_report": json_report, "sink_roundtrip": sink_roundtrip, "point_lookup": point_lookup,
+    "rating_filter": rating_filter, "strat_sample": strat_sample, "strat_split": strat_split, "genus": genus_names, "lineage": lineage,
+    "compare_pivot": compare_pivot,
+    "seg_fixed": seg_fixed, "seg_overlap": seg_overlap, "seg_multiscale": seg_multiscale, "seg_energy": seg_energy, "seg_event": seg_event,
+    "frame_rms": frame_rms, "min_gap_events": min_gap_events,
     "win_tumbling": win_tumbling, "win_sliding": win_sliding, "l2_normalize": normalised, "pad_crop": pad_crop,
-    "pool_mean": _pooled("mean"), "pool_max": _pooled("max"), "pool_median": _pooled("median"), "pool_topk_mean": _pooled("topk_mean", k=2), "pool_attention": _pooled("attention"), "pool_spe": _pooled("spe"),
-    "doc_segment": _docs("segment"), "doc_audio": _docs("audio"), "doc_species": _docs("species"), "doc_prototype": _docs("prototype"), "doc_cluster": _docs("cluster"),
+    "pool_mean": _pooled("mean"), "pool_max": _pooled("max"), "pool_median": _pooled("median"), "pool_topk_mean": _pooled("topk_mean", k=2),
+    "pool_attention": _pooled("attention"), "pool_spe": _pooled("spe"),
+    "doc_segment": _docs("segment"), "doc_audio": _docs("audio"), "doc_species": _docs("species"), "doc_prototype": _docs("prototype"),
+    "doc_cluster": _docs("cluster"),
 }
 ORACLE = {
     "scan_semi_join": f"""SELECT lang AS primary_label, source AS scientific_name, '' AS common_name, rating, '{records.FOLDER}/' || doc_id || '.ogg' AS rel_path FROM (
@@ -245,7 +261,8 @@ SELECT user_id, round(s, 3) AS kept_s FROM g WHERE s IS NOT NULL""",
     "l2_normalize": f"WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS m FROM embeddings) SELECT vec_id, {VT(oracle.unit('m'), 5)} AS unit FROM e",
     "pad_crop": f"WITH {_SIGNALS}, c AS (SELECT user_id, CASE WHEN n >= 64 THEN v[(n - 64) // 2 + 1 : (n - 64) // 2 + 64] ELSE list_concat(v, list_transform(range(64 - n), lambda x: CAST(0 AS DOUBLE))) END AS s FROM sig) SELECT user_id, {VT('s', 2)} AS samples FROM c",
     "pool_mean": _pool_sql("avg(embedding[i])"), "pool_max": _pool_sql("max(embedding[i])"), "pool_median": _pool_sql("median(embedding[i])"),
-    "pool_topk_mean": _pool_sql("avg(embedding[i])", "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(sqrt(list_dot_product(embedding, embedding)), 6) DESC, seg_idx) AS r FROM segs) WHERE r <= 2)"),
+    "pool_topk_mean": _pool_sql("avg(embedding[i])",
+    "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(sqrt(list_dot_product(embedding, embedding)), 6) DESC, seg_idx) AS r FROM segs) WHERE r <= 2)"),
     "pool_attention": f"""WITH {SEGMENTS}, {_centre('item_id')},
 s AS (SELECT item_id, embedding, list_dot_product(embedding, c) / 0.1 AS s FROM segs JOIN centre USING (item_id)),
 e AS (SELECT item_id, embedding, exp(s - max(s) OVER (PARTITION BY item_id)) AS e FROM s),

@@ -18,12 +18,16 @@ SEED_PROBED = 0.8
 
 #: Rankers by query name; the same parameters go to the SQL.
 RANKED = {
-    "rank_max": ("max", {}), "rank_mean": ("mean", {}), "rank_topk_mean": ("topk_mean", {"per_label_k": 3}), "rank_hit": ("hit", {}), "rank_median": ("median", {}),
-    "rank_threshold": ("threshold", {"tau": 0.2}), "rank_weighted_topk": ("weighted_topk", {"per_label_k": 5}), "rank_softmax": ("softmax", {"temperature": 0.1}),
+    "rank_max": ("max", {}), "rank_mean": ("mean", {}), "rank_topk_mean": ("topk_mean", {"per_label_k": 3}), "rank_hit": ("hit", {}),
+    "rank_median": ("median", {}),
+    "rank_threshold": ("threshold", {"tau": 0.2}), "rank_weighted_topk": ("weighted_topk", {"per_label_k": 5}),
+    "rank_softmax": ("softmax", {"temperature": 0.1}),
     "rank_rrf": ("rrf", {"k_const": 60}), "rank_borda": ("borda", {}), "rank_attention": ("attention", {"temperature": 0.05}),
-    "rank_attention_weighted": ("attention", {"temperature": 0.05, "weight_by_query_norm": True}), "rank_taxonomy_boost": ("taxonomy_boost", {"genus_boost": 0.2, "common_boost": 0.1}),
+    "rank_attention_weighted": ("attention", {"temperature": 0.05, "weight_by_query_norm": True}),
+    "rank_taxonomy_boost": ("taxonomy_boost", {"genus_boost": 0.2, "common_boost": 0.1}),
 }
-ATT, SOFT, RRF, BORDA = ("attention", {"temperature": 0.05, "weight_by_query_norm": True}), ("softmax", {"temperature": 0.1}), ("rrf", {"k_const": 60}), ("borda", {})
+ATT, SOFT, RRF, BORDA = ("attention", {"temperature": 0.05,
+    "weight_by_query_norm": True}), ("softmax", {"temperature": 0.1}), ("rrf", {"k_const": 60}), ("borda", {})
 
 
 def _tax(genus: float, common: float) -> tuple[str, dict]:
@@ -41,7 +45,8 @@ ENSEMBLES = {
 }
 #: The parameter grid of the ranker sweep.
 SWEEP = [
-    ("softmax", {"temperature": 0.1}), ("attention", {"temperature": 0.05, "weight_by_query_norm": True}), ("attention", {"temperature": 0.10, "weight_by_query_norm": True}),
+    ("softmax", {"temperature": 0.1}), ("attention", {"temperature": 0.05, "weight_by_query_norm": True}),
+    ("attention", {"temperature": 0.10, "weight_by_query_norm": True}),
     ("rrf", {"k_const": 60}), ("rrf", {"k_const": 30}), ("borda", {}), ("topk_mean", {"per_label_k": 3}), ("topk_mean", {"per_label_k": 5}),
     ("weighted_topk", {"per_label_k": 5}), ("weighted_topk", {"per_label_k": 7}), _tax(0.20, 0.10), _tax(0.35, 0.15), _tax(0.10, 0.05),
 ]
@@ -66,7 +71,8 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, labels = stored(derive.hits(spark, sf_dir), "hits"), derive.taxonomy(spark, sf_dir)
     out = None
     for name, params in SWEEP:
-        part = rank.take_top_k(scored(hits, labels, name, params), TOP_K).select(F.lit(system_name(name, params)).alias("system"), "query_id", "label", "score", "pos")
+        part = rank.take_top_k(scored(hits, labels, name, params), TOP_K).select(F.lit(system_name(name, params)).alias("system"),
+            "query_id", "label", "score", "pos")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -110,7 +116,8 @@ def knn_es_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a search server answers: the best of 100 candidates, with its score (1 + cosine) / 2."""
     queries, corpus = derive.queries_and_corpus(spark, sf_dir)
     hits = INDEXES.get("es")(queries, corpus, TOP_K, num_candidates=100)
-    return hits.select("query_id", "q_seg", "doc_id", "label", F.round((1 + F.col("score")) / 2, 6).alias("es_score"), F.round("score", 6).alias("score"), "rank")
+    return hits.select("query_id", "q_seg", "doc_id", "label", F.round((1 + F.col("score")) / 2, 6).alias("es_score"),
+        F.round("score", 6).alias("score"), "rank")
 
 
 def _ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +157,8 @@ def index_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = derive.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim"))
     n, dim = F.col("n"), F.col("dim")
     kinds = [("flat", n * dim * 4), ("ivf", n * dim * 4), ("hnsw", n * dim * 4 + n * 32 * 8), ("ivfpq", n * 16 * 1)]
-    return size.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("long").alias("bytes")) for k, v in kinds])).alias("x")).select("x.kind", "x.bytes")
+    return size.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"),
+        v.cast("long").alias("bytes")) for k, v in kinds])).alias("x")).select("x.kind", "x.bytes")
 
 
 def retrieve_early(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +202,9 @@ rows AS (SELECT t.query_id, t.true_label, top1 AS top1_pred, round(coalesce(1.0
 
 
 ROWS = f"WITH {HITS}, {metric_sql(oracle.ranker('rrf'))}"
-_MEANS = ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {n}" for c, n in [("ap", "map"), ("rr", "mrr"), ("ndcg", "ndcg"), *[(f"p_at_{k}", f"p_at_{k}") for k in metrics.P_AT], *[(f"r_at_{k}", f"r_at_{k}") for k in metrics.R_AT]])
+_MEANS = ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {n}" for c,
+    n in [("ap", "map"), ("rr", "mrr"), ("ndcg", "ndcg"), *[(f"p_at_{k}", f"p_at_{k}") for k in metrics.P_AT],
+    *[(f"r_at_{k}", f"r_at_{k}") for k in metrics.R_AT]])
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +244,11 @@ QUERIES = {
     **{k: (lambda s, d, n=n, p=p: ranked(s, d, n, p)) for k, (n, p) in RANKED.items()},
     **{k: (lambda s, d, k=k: ensemble(s, d, k)) for k in ENSEMBLES},
     "sweep_rankers": sweep, "minmax_norm": minmax_norm,
-    "knn_flat_cosine": knn_rows("cosine"), "knn_flat_l2": knn_rows("l2"), "knn_exclude_self": knn_exclude_self, "knn_es_score": knn_es_score, "knn_ivf": knn_ivf, "knn_ann": knn_ann, "knn_ivfpq": knn_ivfpq, "index_recall": index_recall,
+    "knn_flat_cosine": knn_rows("cosine"), "knn_flat_l2": knn_rows("l2"), "knn_exclude_self": knn_exclude_self,
+    "knn_es_score": knn_es_score, "knn_ivf": knn_ivf, "knn_ann": knn_ann, "knn_ivfpq": knn_ivfpq, "index_recall": index_recall,
     "index_footprint": index_footprint, "retrieve_early": retrieve_early, "retrieve_late": retrieve_late,
-    "per_query_metrics": metric_rows, "eval_summary": eval_summary, "label_counts": label_counts, "top_confusions": top_confusions, "confusion_matrix": confusion_matrix,
+    "per_query_metrics": metric_rows, "eval_summary": eval_summary, "label_counts": label_counts, "top_confusions": top_confusions,
+    "confusion_matrix": confusion_matrix,
     "taxonomic_hits": taxonomic_hits, "legacy_metrics": legacy_metrics,
 }
 ORACLE = {

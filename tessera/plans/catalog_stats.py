@@ -43,8 +43,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring events as pairs: enough of them for ties and both signs."""
-    events = derive.table(spark, sf_dir, "events").select((F.col("event_id") / 2).cast("long").alias("query_id"), (F.col("event_id") % 2).alias("s"), F.round("value", 0).alias("v"))
-    return events.groupBy("query_id").agg(F.max(F.when(F.col("s") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("s") == 1, F.col("v"))).alias("b")).where("a is not null and b is not null")
+    events = derive.table(spark, sf_dir, "events").select((F.col("event_id") / 2).cast("long").alias("query_id"),
+        (F.col("event_id") % 2).alias("s"), F.round("value", 0).alias("v"))
+    return events.groupBy("query_id").agg(F.max(F.when(F.col("s") == 0, F.col("v"))).alias("a"),
+        F.max(F.when(F.col("s") == 1, F.col("v"))).alias("b")).where("a is not null and b is not null")
 
 
 def wilcoxon_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,8 @@ def wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("test"), ((F.col("n_nationkey") * 7 % 25 + 1) / 500.0).alias("p_raw"), ((F.col("n_nationkey") % 3) - 1.0).alias("delta_map"))
+    return derive.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("test"),
+        ((F.col("n_nationkey") * 7 % 25 + 1) / 500.0).alias("p_raw"), ((F.col("n_nationkey") % 3) - 1.0).alias("delta_map"))
 
 
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,14 +102,16 @@ def noise_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line for each type: points in the order of the level, as text."""
     events = derive.table(spark, sf_dir, "events").withColumn("snr_db", F.floor(F.col("value") / 100) * 100)
     points = events.groupBy("event_type", "snr_db").agg(F.count("*").alias("n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("snr_db", "n"))), lambda p: F.concat_ws(":", p["snr_db"].cast("string"), p["n"].cast("string"))), " ")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("snr_db", "n"))),
+        lambda p: F.concat_ws(":", p["snr_db"].cast("string"), p["n"].cast("string"))), " ")
     return points.groupBy("event_type").agg(text.alias("points"))
 
 
 _VALUES = f"WITH {oracle.HITS}, " + ", ".join(f"r_{n} AS ({oracle.top_k(oracle.ranker(n, **p))})" for n, p in SYSTEMS) + ", vals AS (" + " UNION ALL ".join(
     f"SELECT t.query_id, '{n}' AS system, round(coalesce((SELECT 1.0 / min(pos) FROM r_{n} r WHERE r.query_id = t.query_id AND r.label = t.true_label), 0), 9) AS value FROM truth t" for n, _ in SYSTEMS) + ")"
 QUERIES = {
-    "latency_stats": latency_stats, "wilcoxon_stat": wilcoxon_stat, "wilcoxon_p": wilcoxon_p, "holm": holm, "friedman_stat": friedman_stat, "friedman_p": friedman_p, "bootstrap_ci": bootstrap_ci,
+    "latency_stats": latency_stats, "wilcoxon_stat": wilcoxon_stat, "wilcoxon_p": wilcoxon_p, "holm": holm, "friedman_stat": friedman_stat,
+    "friedman_p": friedman_p, "bootstrap_ci": bootstrap_ci,
     "pair_groups": pair_groups, "project_2d": project_2d, "noise_curve": noise_curve, "ap_values": ap_values,
 }
 ORACLE = {

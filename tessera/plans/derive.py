@@ -28,7 +28,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, embedding, seg_idx, item_id."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
     ranked = grouped_rank(rows, ["label"], F.floor(F.col("vec_id") / 1024), [F.col("vec_id")], "rn")
-    ranked = ranked.withColumn("rec_no", F.floor((F.col("rn") - 1) / SEGMENTS_PER_RECORDING)).withColumn("seg_idx", (F.col("rn") - 1) % SEGMENTS_PER_RECORDING)
+    ranked = ranked.withColumn("rec_no", F.floor((F.col("rn") - 1) / SEGMENTS_PER_RECORDING)).withColumn("seg_idx",
+        (F.col("rn") - 1) % SEGMENTS_PER_RECORDING)
     return ranked.withColumn("item_id", F.min("vec_id").over(Window.partitionBy("label", "rec_no"))).drop("rn", "rec_no")
 
 
@@ -44,7 +45,8 @@ def queries_and_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
         segs = segments(spark, sf_dir)
         _split[at] = stored(segs.join(split(segs), "item_id"), "split")
     both = _split[at]
-    queries = both.where("part = 'test'").select(F.col("item_id").alias("query_id"), F.col("seg_idx").alias("q_seg"), "embedding", F.col("label").alias("true_label"))
+    queries = both.where("part = 'test'").select(F.col("item_id").alias("query_id"), F.col("seg_idx").alias("q_seg"), "embedding",
+        F.col("label").alias("true_label"))
     corpus = both.where("part = 'train'").select(F.col("vec_id").alias("doc_id"), "item_id", "seg_idx", "label", "embedding")
     return queries, corpus
 
@@ -64,16 +66,20 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label, scientific_name, common_name of the labels that embeddings have."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label")).distinct()
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label"), F.concat_ws(" ", "p_type", "p_brand").alias("scientific_name"), F.col("p_name").alias("common_name"))
-    return labels.join(part, "label", "left").select("label", F.coalesce("scientific_name", F.lit("")).alias("scientific_name"), F.coalesce("common_name", F.lit("")).alias("common_name"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label"),
+        F.concat_ws(" ", "p_type", "p_brand").alias("scientific_name"), F.col("p_name").alias("common_name"))
+    return labels.join(part, "label", "left").select("label", F.coalesce("scientific_name", F.lit("")).alias("scientific_name"),
+        F.coalesce("common_name", F.lit("")).alias("common_name"))
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' waveforms as recordings: item_id, label (one of seven), samples."""
-    return signals(spark, sf_dir).select(F.col("user_id").cast("long").alias("item_id"), (F.col("user_id") % 7).cast("long").alias("label"), "samples")
+    return signals(spark, sf_dir).select(F.col("user_id").cast("long").alias("item_id"),
+        (F.col("user_id") % 7).cast("long").alias("label"), "samples")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's values in time order, as a waveform: user_id, samples."""
     events = table(spark, sf_dir, "events")
-    return events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"].cast("double")).alias("samples"))
+    return events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))),
+        lambda x: x["value"].cast("double")).alias("samples"))

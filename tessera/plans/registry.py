@@ -142,7 +142,8 @@ def documents(segs: DataFrame, stage: Stage, default: Stage | None = None) -> Da
     return REPRESENTATIONS.get(stage.type)(segs, **params)
 
 
-def search(queries: DataFrame, corpus: DataFrame, index: Stage, fusion: Stage, ranking: Stage, top_k: int, labels: DataFrame | None = None, default: Stage | None = None) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, index: Stage, fusion: Stage, ranking: Stage, top_k: int, labels: DataFrame | None = None,
+        default: Stage | None = None) -> DataFrame:
     """Ranked labels of each query; corpus: doc_id, label, embedding."""
     params = pooled_params(fusion, default) if fusion.type == "early" else dict(fusion.params)
     fused = FUSIONS.get(fusion.type)(queries, **params)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def windowed(stream: DataFrame, size: str, hop: str | None = None, late: str = "1 hour") -> DataFrame:
     """ts, event_type, value -> window start, event_type, n, total: tumbling, or sliding with ``hop``."""
     window = F.window("ts", size, hop) if hop else F.window("ts", size)
-    return stream.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return stream.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count("*").alias("n"),
+        F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def search_stream(queries: DataFrame, search: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

@@ -7,9 +7,12 @@ from tessera.plans import catalog
 from . import oracles
 
 FAST = [
-    "scan_semi_join", "safe_parse", "cache_key", "cache_probe", "json_report", "sink_roundtrip", "rating_filter", "strat_sample", "strat_split", "genus", "compare_pivot",
-    "seg_fixed", "seg_overlap", "seg_multiscale", "seg_energy", "seg_event", "decode_wav", "frame_rms", "min_gap_events", "win_tumbling", "win_sliding", "l2_normalize", "pad_crop", "pool_mean", "pool_spe", "pool_attention",
-    "doc_prototype", "knn_flat_cosine", "knn_flat_l2", "knn_ivf", "knn_es_score", "legacy_metrics", "rank_rrf", "rank_borda", "rank_taxonomy_boost", "ens_consensus", "eval_summary", "latency_stats", "wilcoxon_stat", "holm", "pair_groups", "noise_curve", "mix_snr",
+    "scan_semi_join", "safe_parse", "cache_key", "cache_probe", "json_report", "sink_roundtrip", "rating_filter", "strat_sample",
+    "strat_split", "genus", "compare_pivot",
+    "seg_fixed", "seg_overlap", "seg_multiscale", "seg_energy", "seg_event", "decode_wav", "frame_rms", "min_gap_events", "win_tumbling",
+    "win_sliding", "l2_normalize", "pad_crop", "pool_mean", "pool_spe", "pool_attention",
+    "doc_prototype", "knn_flat_cosine", "knn_flat_l2", "knn_ivf", "knn_es_score", "legacy_metrics", "rank_rrf", "rank_borda",
+    "rank_taxonomy_boost", "ens_consensus", "eval_summary", "latency_stats", "wilcoxon_stat", "holm", "pair_groups", "noise_curve", "mix_snr",
 ]
 
 

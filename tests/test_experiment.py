@@ -29,21 +29,28 @@ def recordings(spark):
         rows.append((k, f"species {k % 3}", [float(v) for v in y], f"Genus{k % 3} name", f"common {k % 3}", 4.0))
     rows.append((12, "species 0", [], "", "", 5.0))
     rows.append((13, "species 1", [1.0] * 900, "", "", 1.0))  # of a low rating
-    return spark.createDataFrame(rows, "item_id long, label string, samples array<double>, scientific_name string, common_name string, rating double").cache()
+    return spark.createDataFrame(rows,
+        "item_id long, label string, samples array<double>, scientific_name string, common_name string, rating double").cache()
 
 
 def config(**own):
-    return {"name": "t", "data": {"sample_rate": RATE, "min_rating": 3.0, "train_ratio": 0.7}, "segmentation": {"type": "fixed", "params": {"window_sec": 1.0}}, "embedding": "logmel",
+    return {"name": "t", "data": {"sample_rate": RATE, "min_rating": 3.0, "train_ratio": 0.7},
+        "segmentation": {"type": "fixed", "params": {"window_sec": 1.0}}, "embedding": "logmel",
             "representation": "segment", "indexing": "flat", "fusion": "late", "ranking": "max", "evaluation": {"top_k": 3}, **own}
 
 
 FAMILIES = {
     "baseline": config(representation="audio", fusion={"type": "early", "params": {"aggregator": "mean"}}),
-    "segments": config(segmentation={"type": "overlapping", "params": {"window_sec": 1.0, "hop_sec": 0.5, "pad_last": True}}, preprocessing={"type": "bandpass", "params": {"low_hz": 5.0, "high_hz": 180.0}},
-                       ranking={"type": "rrf", "params": {"k_const": 60}}, indexing={"type": "hnsw", "params": {"M": 32, "ef_construction": 200, "ef_search": 64}}),
-    "super-embedding": config(representation="audio", aggregation={"type": "topk_mean", "params": {"k": 2}}, fusion={"type": "early", "params": {"aggregator": "max"}}),
-    "species": config(representation="species", preprocessing={"type": "spectral_gating", "params": {"prop_decrease": 1.0, "n_std_thresh": 1.5, "stationary": True}}, similarity="l2"),
-    "clusters": config(representation={"type": "cluster", "params": {"n_clusters": 2}}, segmentation={"type": "energy", "params": {"window_sec": 0.5, "frame_sec": 0.1}},
+    "segments": config(segmentation={"type": "overlapping", "params": {"window_sec": 1.0, "hop_sec": 0.5, "pad_last": True}},
+    preprocessing={"type": "bandpass", "params": {"low_hz": 5.0, "high_hz": 180.0}},
+                       ranking={"type": "rrf", "params": {"k_const": 60}},
+                       indexing={"type": "hnsw", "params": {"M": 32, "ef_construction": 200, "ef_search": 64}}),
+    "super-embedding": config(representation="audio", aggregation={"type": "topk_mean", "params": {"k": 2}},
+        fusion={"type": "early", "params": {"aggregator": "max"}}),
+    "species": config(representation="species", preprocessing={"type": "spectral_gating", "params": {"prop_decrease": 1.0,
+    "n_std_thresh": 1.5, "stationary": True}}, similarity="l2"),
+    "clusters": config(representation={"type": "cluster", "params": {"n_clusters": 2}},
+    segmentation={"type": "energy", "params": {"window_sec": 0.5, "frame_sec": 0.1}},
                        ranking={"type": "taxonomy_boost", "params": {"genus_boost": 0.2, "common_name_boost": 0.1}}),
 }
 
@@ -57,7 +64,8 @@ def test_runs_find_the_labels(recordings, name):
 
 def test_a_run_with_noise_cache_and_reports(spark, recordings, tmp_path):
     yaml = pytest.importorskip("yaml")
-    (tmp_path / "c.yaml").write_text(yaml.safe_dump(config(evaluation={"top_k": 3, "noise": {"enabled": True, "noise_types": ["white", "rain"], "snr_db": [20.0, -40.0]}})))
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(config(evaluation={"top_k": 3,
+        "noise": {"enabled": True, "noise_types": ["white", "rain"], "snr_db": [20.0, -40.0]}})))
     spec = experiment.ExperimentSpec.load(tmp_path / "c.yaml")
     clips = spark.createDataFrame([("rain", [float(v) for v in np.random.default_rng(3).standard_normal(300)])], "kind string, samples array<double>")
     cache = f"file://{tmp_path}/cache"
@@ -95,19 +103,22 @@ def test_an_empty_corpus_is_an_error(spark, recordings):
 def test_documents_have_the_first_recordings_names(recordings):
     segs = experiment.embedded(recordings, experiment.ExperimentSpec.of(config())).join(recordings.select("item_id", "label"), "item_id")
     docs = represent.named(represent.species(segs), recordings).collect()
-    assert {(d["label"], d["scientific_name"], d["common_name"]) for d in docs} == {(f"species {k}", f"Genus{k} name", f"common {k}") for k in range(3)}
+    assert {(d["label"], d["scientific_name"], d["common_name"]) for d in docs} == {(f"species {k}",
+        f"Genus{k} name", f"common {k}") for k in range(3)}
 
 
 def test_aggregators_by_key(spark, recordings):
     segs = experiment.embedded(recordings, experiment.ExperimentSpec.of(config())).join(recordings.select("item_id", "label"), "item_id")
     queries = segs.select(F.col("item_id").alias("query_id"), F.col("seg_idx").alias("q_seg"), "embedding")
-    spec = RetrievalSpec.of({"representation": {"type": "audio", "params": {"aggregator": "median"}}, "fusion": {"type": "early", "params": {"aggregator": "topk_mean", "aggregator_params": {"k": 2}}}, "ranking": "max", "top_k": 2})
+    spec = RetrievalSpec.of({"representation": {"type": "audio", "params": {"aggregator": "median"}},
+        "fusion": {"type": "early", "params": {"aggregator": "topk_mean", "aggregator_params": {"k": 2}}}, "ranking": "max", "top_k": 2})
     assert retrieve(spec, segs, queries).where("pos = 1").count() == 13
     assert EMBEDDERS.keys() == ["logmel", "projection"]
 
 
 def test_null_and_uneven_embeddings(spark):
-    corpus = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, None), (3, 2, []), (4, 2, [0.0, 1.0])], "doc_id long, label long, embedding array<double>")
+    corpus = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, None), (3, 2, []), (4, 2, [0.0, 1.0])],
+        "doc_id long, label long, embedding array<double>")
     queries = spark.createDataFrame([(1, 0, [1.0, 0.1]), (2, 0, None)], "query_id long, q_seg long, embedding array<double>")
     assert [(r["query_id"], r["doc_id"]) for r in knn.knn(queries, corpus, 5).orderBy("rank").collect()] == [(1, 1), (1, 4)]
     assert ann.ivf(queries, corpus, ann.fitted_centres(corpus, 1), 5, 1).count() == 2
@@ -119,7 +130,8 @@ def test_null_and_uneven_embeddings(spark):
 def test_queries_in_many_blocks_and_parts(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((90, 8))
-    corpus = spark.createDataFrame([(k, k % 3, x.tolist()) for k, x in enumerate(v[:60])], "doc_id long, label long, embedding array<double>").repartition(3)
+    corpus = spark.createDataFrame([(k, k % 3, x.tolist()) for k, x in enumerate(v[:60])],
+        "doc_id long, label long, embedding array<double>").repartition(3)
     queries = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(v[60:])], "query_id long, q_seg long, embedding array<double>")
     monkeypatch.setattr(knn, "HELD_BYTES", 1)
     want = {(q, int(d)) for q, row in enumerate(np.argsort(-(v[60:] @ v[:60].T), axis=1)[:, :4]) for d in row}
@@ -130,7 +142,8 @@ def test_a_written_index_finds_what_it_found_before(spark, tmp_path):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((130, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    corpus = spark.createDataFrame([(k, f"l{k % 3}", x.tolist()) for k, x in enumerate(v[:100])], "doc_id long, label string, embedding array<double>")
+    corpus = spark.createDataFrame([(k, f"l{k % 3}", x.tolist()) for k, x in enumerate(v[:100])],
+        "doc_id long, label string, embedding array<double>")
     queries = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(v[100:])], "query_id long, q_seg long, embedding array<double>")
     ann.save_index(corpus, f"file://{tmp_path}/index", 8)
     found = ann.search_index(queries, f"file://{tmp_path}/index", 5, 8)
@@ -158,7 +171,8 @@ def test_recordings_of_archives(spark, tmp_path):
                 z.writestr(f"train_audio/s{k % 2}/{k}.wav", wav(np.sin(np.arange(40) / (k + 1))))
         z.writestr("train.csv", "\n".join(lines))
     rows = records.load(spark, f"file://{tmp_path}/a.zip", min_rating=3.0).orderBy("item_id").collect()
-    assert [(r["item_id"], r["rel_path"], r["rating"]) for r in rows] == [(0, "train_audio/s0/0.wav", 0.0), (1, "train_audio/s0/2.wav", 4.0), (2, "train_audio/s0/4.wav", 0.0), (3, "train_audio/s0/6.wav", 4.0), (4, "train_audio/s1/3.wav", 5.0)]
+    assert [(r["item_id"], r["rel_path"], r["rating"]) for r in rows] == [(0, "train_audio/s0/0.wav", 0.0),
+        (1, "train_audio/s0/2.wav", 4.0), (2, "train_audio/s0/4.wav", 0.0), (3, "train_audio/s0/6.wav", 4.0), (4, "train_audio/s1/3.wav", 5.0)]
     few = records.load(spark, f"file://{tmp_path}/a.zip", max_records=4).groupBy("primary_label").count().collect()
     assert sorted(r["count"] for r in few) == [2, 2]
     audio = {r["rel_path"]: len(r["samples"]) for r in records.zip_audio(spark, f"file://{tmp_path}/a.zip", RATE).collect()}
@@ -179,8 +193,10 @@ def test_searches_of_a_stream(spark, tmp_path):
     from tessera.streaming.windows import search_stream
 
     rng = np.random.default_rng(6)
-    corpus = spark.createDataFrame([(k, k % 2, x.tolist()) for k, x in enumerate(rng.standard_normal((20, 4)))], "doc_id long, label long, embedding array<double>")
-    queries = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(rng.standard_normal((6, 4)))], "query_id long, q_seg long, embedding array<double>")
+    corpus = spark.createDataFrame([(k, k % 2, x.tolist()) for k, x in enumerate(rng.standard_normal((20, 4)))],
+        "doc_id long, label long, embedding array<double>")
+    queries = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(rng.standard_normal((6, 4)))],
+        "query_id long, q_seg long, embedding array<double>")
     queries.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(queries.schema).parquet(f"{tmp_path}/in")
     running = search_stream(stream, lambda df: knn.knn(df, corpus, 3), f"{tmp_path}/out", f"{tmp_path}/state").start()

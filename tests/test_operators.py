@@ -44,7 +44,8 @@ def test_one_score_and_no_hits(spark):
 
 
 def test_taxonomy_adds_labels_without_hits(spark):
-    labels = spark.createDataFrame([("A", "X a", "red bird"), ("B", "X b", "blue"), ("C", "Y c", "red owl"), ("D", "Z d", "")], "label string, scientific_name string, common_name string")
+    labels = spark.createDataFrame([("A", "X a", "red bird"), ("B", "X b", "blue"), ("C", "Y c", "red owl"), ("D", "Z d", "")],
+        "label string, scientific_name string, common_name string")
     got = scores(rank.taxonomy_boost(hits(spark, [(1, 0, "A", .9, 1, 1)]), labels))
     assert got == {"A": .9, "B": .2, "C": .1}
 
@@ -132,12 +133,14 @@ def test_pyramid_of_one_level_is_the_mean(spark):
 
 
 def test_holm(spark):
-    got = {r["k"]: round(r["p_adjusted"], 9) for r in stats.holm(spark.createDataFrame([("a", .01), ("b", .04), ("c", .03)], "k string, p_raw double")).collect()}
+    got = {r["k"]: round(r["p_adjusted"], 9) for r in stats.holm(spark.createDataFrame([("a", .01), ("b", .04), ("c", .03)],
+        "k string, p_raw double")).collect()}
     assert got == {"a": .03, "b": .06, "c": .06}
 
 
 def test_wilcoxon_by_hand(spark):
-    pairs = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate([(5, 1), (3, 4), (7, 5), (2, 2), (9, 6), (8, 3)])], "query_id long, a double, b double")
+    pairs = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate([(5, 1), (3, 4), (7, 5), (2, 2), (9, 6), (8, 3)])],
+        "query_id long, a double, b double")
     row = stats.wilcoxon_p(stats.wilcoxon(pairs)).first()
     assert (row["n"], row["w_plus"], row["w_minus"]) == (5, 14.0, 1.0)
     assert row["p_value"] == pytest.approx(4 / 32)
@@ -191,7 +194,8 @@ def test_approximate_search_finds_enough(space):
 def test_dense_ids_and_grouped_ranks(spark):
     rows = spark.range(100).select((F.col("id") * 7 % 100).alias("x"), (F.col("id") % 3).alias("g"))
     assert [r["n"] for r in grouping.dense_ids(rows, ["x"], "n").orderBy("x").collect()] == list(range(100))
-    ranked = grouping.grouped_rank(rows, ["g"], F.floor(F.col("x") / 10), [F.col("x")], "r").groupBy("g").agg(F.array_sort(F.collect_list("r")).alias("r")).collect()
+    ranked = grouping.grouped_rank(rows, ["g"],
+        F.floor(F.col("x") / 10), [F.col("x")], "r").groupBy("g").agg(F.array_sort(F.collect_list("r")).alias("r")).collect()
     assert all(r["r"] == list(range(1, len(r["r"]) + 1)) for r in ranked)
 
 
@@ -218,12 +222,14 @@ def test_stft_round_trip_and_gate():
 
 def test_noise(spark):
     assert np.array_equal(signal.white(50, 3), signal.white(50, 3)) and signal.pink(4096, 1).std() == pytest.approx(1, abs=1e-6)
-    row = spark.createDataFrame([([3.0, -3.0, 3.0, -3.0], [1.0, 1.0, 1.0, 1.0])], "a array<double>, n array<double>").select(signal.mix(F.col("a"), F.col("n"), 0.0).alias("m")).first()
+    row = spark.createDataFrame([([3.0, -3.0, 3.0, -3.0], [1.0, 1.0, 1.0, 1.0])],
+        "a array<double>, n array<double>").select(signal.mix(F.col("a"), F.col("n"), 0.0).alias("m")).first()
     assert row["m"] == pytest.approx([6.0, 0.0, 6.0, 0.0], abs=1e-9)
 
 
 def test_scalars(spark):
-    row = spark.createDataFrame([("  Turdus merula", "x")], "s string, r string").select(scalar.genus(F.col("s")).alias("g"), scalar.safe_double(F.col("r")).alias("d"), scalar.genus(F.lit("")).alias("e")).first()
+    row = spark.createDataFrame([("  Turdus merula", "x")], "s string, r string").select(scalar.genus(F.col("s")).alias("g"),
+        scalar.safe_double(F.col("r")).alias("d"), scalar.genus(F.lit("")).alias("e")).first()
     assert (row["g"], row["d"], row["e"]) == ("turdus", 0.0, "")
 
 
