@@ -249,7 +249,8 @@ def tokenise(docs: DataFrame, keep: list[str], text_col: str = "text", vocabular
                 texts = part.column(len(keep)).to_pylist()
                 yield pa.RecordBatch.from_arrays([
                     *part.columns[: len(keep)], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                    pa.array([coder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())], names=[*keep, "n_tokens", "ids", "exact"])
+                    pa.array([coder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())],
+                    names=[*keep, "n_tokens", "ids", "exact"])
 
     return rows.mapInArrow(work, schema + ", n_tokens long, ids array<int>, exact boolean")
 

@@ -132,7 +132,8 @@ class FMIndex:
 class Phrases:
     """A block of benchmark windows: vocabulary, windows as codes, and the items of each window."""
 
-    def __init__(self, vocabulary: np.ndarray, windows: np.ndarray, lengths: np.ndarray, of: np.ndarray, items: np.ndarray, names: np.ndarray) -> None:
+    def __init__(self, vocabulary: np.ndarray, windows: np.ndarray, lengths: np.ndarray, of: np.ndarray,
+            items: np.ndarray, names: np.ndarray) -> None:
         self.vocabulary, self.windows, self.lengths, self.of, self.items, self.names = vocabulary, windows, lengths, of, items, names
         self.likely = np.zeros(1 << 18, bool)
         self.likely[(vocabulary >> np.uint64(46)).astype(np.int64)] = True
@@ -202,7 +203,8 @@ class Phrases:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, cleaned: bool = True) -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
+                  keep: list[str] | None = None, cleaned: bool = True) -> DataFrame:
     """Each document's words, words inside occurrences of benchmark windows, the items with occurring windows, and its text without them.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. Returns the columns ``keep`` (the id
@@ -257,7 +259,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 hit = np.cumsum(edge[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = total[first[1:]] - total[first[:-1]]
-                out = [*part.columns[: len(keep)], pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                out = [*part.columns[: len(keep)], pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()),
+                    pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
                 if cleaned:
                     texts = column.fill_null("").to_pylist()
                     for d in np.flatnonzero(n_hit).tolist():

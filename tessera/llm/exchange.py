@@ -44,7 +44,8 @@ def cells(block: int, keys: np.ndarray, facts: list[np.ndarray], shards: int) ->
     numbers, places = cuts(keys, shards)
     columns = [pa.array([packed(np.diff(keys[c], prepend=np.uint64(0))) for c in places], pa.binary())]
     columns += [pa.array([packed(x[c]) for c in places], pa.binary()) for x in facts]
-    return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.full(len(places), block)), *columns], names=["shard", "block", "keys", *[f"f{k}" for k in range(len(facts))]])
+    return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.full(len(places), block)), *columns],
+        names=["shard", "block", "keys", *[f"f{k}" for k in range(len(facts))]])
 
 
 def cell_schema(facts: int) -> str:
@@ -91,7 +92,8 @@ def answered(asked: DataFrame, facts: list[type], shards: int, order: int, answe
             parts = [packed(out[i:j].copy()) for i, j in zip(edge, edge[1:], strict=False)]
             return pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows] + [None], pa.int64()), pa.array([order] * (n + 1), pa.int32()), pa.array([shard] * (n + 1), pa.int64()),
-                pa.array([*parts, None], pa.binary()), pa.array([None] * n + [total], pa.int64())], names=["block", "order", "shard", "cell", "total"])
+                pa.array([*parts, None], pa.binary()), pa.array([None] * n + [total], pa.int64())],
+                names=["block", "order", "shard", "cell", "total"])
 
         now, rows = None, []
         for b in batches:

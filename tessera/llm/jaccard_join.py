@@ -112,7 +112,8 @@ def summarise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     labels.append(signature(s, a, b).astype(np.uint8).view(">i8").astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64())), part.column(2)], names=["id", "digest", "n", "labels", "h"])
+                    [part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                    pa.array(labels, pa.list_(pa.int64())), part.column(2)], names=["id", "digest", "n", "labels", "h"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     return stored(rows.mapInArrow(work, f"id {kind}, digest binary, n long, labels array<long>, h long"), "jaccard-docs")
@@ -187,7 +188,8 @@ def _meet(own: np.ndarray, group: np.ndarray, radius: np.ndarray, left: np.ndarr
     return edges, pivots
 
 
-def walk(own: np.ndarray, label: np.ndarray, group: np.ndarray, radius: np.ndarray, depth: int, threshold: float, all_pivots: bool = False) -> tuple[list[tuple[int, int]], list[int]]:
+def walk(own: np.ndarray, label: np.ndarray, group: np.ndarray, radius: np.ndarray, depth: int, threshold: float,
+        all_pivots: bool = False) -> tuple[list[tuple[int, int]], list[int]]:
     """Joins the members of a node of ``depth``, sorted by label, from the whole labels' nodes on: prefixes are shortened by a value at a time,
     and only pivots go on. ``group`` names the groups known so far; it and ``radius`` are changed. Returns edges that join two groups, and
     the pivots (with ``all_pivots`` also of nodes that have nothing to join)."""
@@ -229,10 +231,12 @@ def _pivot_round(members: DataFrame, depth: int, threshold: float) -> DataFrame:
                 out += [(bucket, digests[order[k]], None, labels[order[k]], trees[order[k]], comps[order[k]], radius[k]) for k in pivots]
             if out:
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "a", "b", "labels", "tree", "comp", "radius"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                    names=["bucket", "a", "b", "labels", "tree", "comp", "radius"])
         tb.release()
 
-    dealt = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "digest", "labels", "tree", "comp", "radius", "split")
+    dealt = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "digest", "labels",
+        "tree", "comp", "radius", "split")
     return dealt.mapInArrow(work, "bucket long, a binary, b binary, labels array<long>, tree int, comp binary, radius double")
 
 
@@ -256,12 +260,14 @@ def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     depth = shortest(threshold=threshold)
     prefix = F.shiftright(F.col("label"), 8 * (DEEPEST - depth))
     rows = stored(trie_nodes(reps, depth).withColumn("bucket", F.xxhash64("tree", prefix)), "jaccard-nodes")
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("tree").alias("t"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("who")).where("m > 1")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("tree").alias("t"),
+        F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("who")).where("m > 1")
     # Nodes with the same members: one of them is enough.
     buckets = buckets.groupBy("m", "who").agg(F.min(F.struct("t", "bucket")).alias("b")).select("m", "b.bucket")
     members = rows.join(buckets.hint("merge"), "bucket").select("bucket", "tree", "digest", "m")
     members = stored(members.join(reps.select("digest", "labels").hint("merge"), "digest").select(
-        "tree", "bucket", "digest", "labels", F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BUCKET)).alias("part"), (F.col("m") > BUCKET).alias("split"), F.lit(0.0).alias("radius")), "jaccard-members")
+        "tree", "bucket", "digest", "labels", F.pmod(F.xxhash64("digest"), F.ceil(F.col("m") / BUCKET)).alias("part"),
+        (F.col("m") > BUCKET).alias("split"), F.lit(0.0).alias("radius")), "jaccard-members")
     # The first trees join most of what there is; the others only add what joins two groups.
     first = members.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("digest"))
     known = components(_joined(first, depth, threshold), "jaccard-first").toDF("digest", "comp")
@@ -269,7 +275,8 @@ def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     open_ones = later.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     more = _joined(later.join(open_ones.hint("merge"), "bucket", "left_semi"), depth, threshold)
     label = known.toDF("node", "label")
-    more = more.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    more = more.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"),
+        F.coalesce("lb", "b").alias("b"))
     merged = components(more, "jaccard-groups").toDF("comp", "final")
     # Nodes of the first groups, and those that only later edges reach.
     every = known.union(merged.select(F.col("comp").alias("digest"), F.col("comp")).join(known.select("digest"), "digest", "left_anti")).toDF("digest", "comp")
@@ -359,7 +366,8 @@ def verify(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             out = [(digests[k], None, int(n)) for k, n in enumerate(links) if n]
             out += [(digests[k], digests[r], 0) for k, r in enumerate(root.tolist()) if r != k]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c,
+                    t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "links"])
         tb.release()
 
     return stored(dealt.mapInArrow(work, "a binary, b binary, links long"), "jaccard-links")
@@ -394,7 +402,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = classes.select("digest", "rep", "n_copies").join(links, "digest", "left").join(labels, "digest", "left")
     named = named.withColumn("label", F.coalesce("label", "digest"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "label").select("digest", "class_id", F.col("rep").alias("text_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = named.join(least, "label").select("digest", "class_id", F.col("rep").alias("text_id"), "n_copies",
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = rows.select("id", "digest", F.col("h").alias("text_hash")).join(named, "digest")
     return out.select(F.col("id").alias(id_col), "class_id", "text_id", "n_copies", "n_links", *["text_hash"] * hashed)
 

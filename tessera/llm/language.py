@@ -151,7 +151,8 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
     k = len(langs) + 1
     scored = stored(score_texts(rows, langs, logs, markup), "language")
     prior = [(1 - NONE_PRIOR) / len(langs)] * len(langs) + [NONE_PRIOR] if langs else [1.0]
-    by_text = F.transform(F.arrays_zip(F.col("ll").alias("a"), F.array(*[F.lit(float(np.log(p))) for p in prior]).alias("b")), lambda v: v["a"] * TEMPER + v["b"])
+    by_text = F.transform(F.arrays_zip(F.col("ll").alias("a"), F.array(*[F.lit(float(np.log(p))) for p in prior]).alias("b")),
+        lambda v: v["a"] * TEMPER + v["b"])
     scored = scored.withColumn("text_lang", _best(by_text, langs))
     # Addresses: host, its last two labels, its last label.
     scored = scored.withColumns({"_domain": F.substring_index("_host", ".", -2), "_suffix": F.substring_index("_host", ".", -1)})
@@ -170,7 +171,8 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
             joined = counts.withColumn("_base", base)
         else:
             joined = counts.join(above.select(up, F.col("prior").alias("_base")), up)
-        return joined.select(*keys, F.transform(F.arrays_zip(n.alias("a"), F.col("_base").alias("b")), lambda v: (v["a"] + PRIOR_WEIGHT * v["b"]) / (whole + PRIOR_WEIGHT)).alias("prior"))
+        return joined.select(*keys, F.transform(F.arrays_zip(n.alias("a"), F.col("_base").alias("b")),
+            lambda v: (v["a"] + PRIOR_WEIGHT * v["b"]) / (whole + PRIOR_WEIGHT)).alias("prior"))
 
     sums = [F.sum(f"n{j}").alias(f"n{j}") for j in range(k)]
     suffixes = level(hosts.groupBy("_suffix").agg(*sums), None, ["_suffix"], None)
@@ -178,7 +180,8 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
     priors = level(hosts, domains, ["_host"], "_domain")
 
     # P(declared | language), for declarations of known languages: at most languages squared rows.
-    seen = {(r["d"], r["t"]): r["n"] for r in scored.where(F.col("_declared").isin(langs)).groupBy(F.col("_declared").alias("d"), F.col("text_lang").alias("t")).agg(F.count("*").alias("n")).collect()} if langs else {}
+    seen = {(r["d"], r["t"]): r["n"] for r in scored.where(F.col("_declared").isin(langs)).groupBy(F.col("_declared").alias("d"),
+        F.col("text_lang").alias("t")).agg(F.count("*").alias("n")).collect()} if langs else {}
     table = []
     for t in [*langs, NONE]:
         whole = sum(seen.get((d, t), 0) for d in langs) + DECLARED_SMOOTH * len(langs)
@@ -186,7 +189,8 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
     known = F.from_json(F.lit(json.dumps({d: [row[d] for row in table] for d in langs})), "map<string,array<double>>")
     declared = F.coalesce(F.try_element_at(known, F.col("_declared")), F.array(*[F.lit(0.0)] * k))
     out = scored.join(priors, "_host", "left")
-    fused = F.transform(F.arrays_zip(F.col("ll").alias("a"), declared.alias("b"), F.col("prior").alias("c")), lambda v: v["a"] * TEMPER + v["b"] + F.log(v["c"]))
+    fused = F.transform(F.arrays_zip(F.col("ll").alias("a"), declared.alias("b"), F.col("prior").alias("c")),
+        lambda v: v["a"] * TEMPER + v["b"] + F.log(v["c"]))
     out = out.withColumn("_post", fused)
     weight = F.aggregate(F.transform("_post", lambda v: F.exp(v - F.array_max("_post"))), F.lit(0.0), lambda a, v: a + v)
     out = out.withColumns({"lang": _best(F.col("_post"), langs), "confidence": 1 / weight})
@@ -194,20 +198,23 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
     out = out.withColumn("_other", unmodelled)
     return out.withColumns({
         "lang": F.when(F.col("_other"), F.col("_declared")).otherwise(F.col("lang")), "confidence": F.when(~F.col("_other"), F.col("confidence")),
-        "accepted": F.col("_other") | ((F.col("lang") != NONE) & (F.col("confidence") >= ACCEPT))}).drop("_other", "ll", "prior", "_post", "_domain", "_suffix")
+        "accepted": F.col("_other") | ((F.col("lang") != NONE) & (F.col("confidence") >= ACCEPT))}).drop("_other", "ll", "prior",
+        "_post", "_domain", "_suffix")
 
 
 def identify_documents(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Languages of documents: their lang column is the declaration, their source the host. Learns from them if no model is given."""
     langs, logs = model or train(docs)
-    rows = docs.select(*(keep or ["doc_id"]), normal(F.col("lang")).alias("_declared"), F.coalesce("source", F.lit("")).alias("_host"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select(*(keep or ["doc_id"]), normal(F.col("lang")).alias("_declared"), F.coalesce("source", F.lit("")).alias("_host"),
+        F.coalesce("text", F.lit("")).alias("_text"))
     return identify(rows, langs, logs)
 
 
 def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """Languages of web pages: declared by the html element's lang, hosts by url."""
     rows = pages.select(
-        "page_id", normal(F.nullif(F.regexp_extract("html", _LANG, 1), F.lit(""))).alias("_declared"), host_of(F.col("url")).alias("_host"), F.coalesce("html", F.lit("")).alias("_text"))
+        "page_id", normal(F.nullif(F.regexp_extract("html", _LANG, 1), F.lit(""))).alias("_declared"), host_of(F.col("url")).alias("_host"),
+        F.coalesce("html", F.lit("")).alias("_text"))
     return identify(rows, *model, markup=True)
 
 
@@ -216,4 +223,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet")
     model = train(docs)
     both = identify_documents(docs, model).unionByName(identify_pages(pages, model), allowMissingColumns=True)
-    return both.select("doc_id", "page_id", F.col("_host").alias("host"), F.col("_declared").alias("declared"), "text_lang", "lang", F.round("confidence", 9).alias("confidence"), "accepted")
+    return both.select("doc_id", "page_id", F.col("_host").alias("host"), F.col("_declared").alias("declared"), "text_lang", "lang",
+        F.round("confidence", 9).alias("confidence"), "accepted")

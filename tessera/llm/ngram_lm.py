@@ -119,11 +119,13 @@ class Automaton:
     """State 0 has no context; 1 + w is the context of a word (w = words: the start of a text), the others are pairs. ``arcs`` are sorted
     state * words + word, with weights and targets; each state but 0 has a failure arc; state 0 has an arc for each word."""
 
-    def __init__(self, words: int, root: np.ndarray, home: np.ndarray, arcs: np.ndarray, weights: np.ndarray, targets: np.ndarray, failure: np.ndarray, leave: np.ndarray) -> None:
+    def __init__(self, words: int, root: np.ndarray, home: np.ndarray, arcs: np.ndarray, weights: np.ndarray, targets: np.ndarray,
+            failure: np.ndarray, leave: np.ndarray) -> None:
         self.words, self.root, self.home, self.arcs, self.weights, self.targets, self.failure, self.leave = words, root, home, arcs, weights, targets, failure, leave
 
     @classmethod
-    def of_counts(cls, codes: dict[int, np.ndarray], tail: np.ndarray, count: dict[int, np.ndarray], tokens: int, texts: int, distinct: int, prior: tuple[float, float] = PRIOR) -> Automaton:
+    def of_counts(cls, codes: dict[int, np.ndarray], tail: np.ndarray, count: dict[int, np.ndarray], tokens: int, texts: int, distinct: int,
+            prior: tuple[float, float] = PRIOR) -> Automaton:
         """From n-grams and their training counts: pairs are u * words + v, triples pair * words + w; ``tail`` is a triple's last pair."""
         n = len(count[1])
         one = (count[1] + SMOOTH) / (tokens + SMOOTH * (distinct + 1))
@@ -188,7 +190,8 @@ class Automaton:
         return out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+        shard_keys: int = SHARD_KEYS) -> DataFrame:
     """Scores all texts, learning from those whose crc32(id as text) modulo 10 is not 0.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams with additive smoothing) and score (log10).
@@ -219,9 +222,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 schema = pa.schema([part.schema.field(0)])
                 with pa.ipc.new_stream(sink := pa.BufferOutputStream(), schema) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([part.column(0)], schema=schema))
-                put_arrays(f"{folder}/{block}", words=words, at=np.frombuffer(packed(at.astype(np.uint32)), np.uint8), first=first, learn=learn, ids=np.frombuffer(sink.getvalue(), np.uint8))
+                put_arrays(f"{folder}/{block}", words=words, at=np.frombuffer(packed(at.astype(np.uint32)), np.uint8), first=first,
+                    learn=learn, ids=np.frombuffer(sink.getvalue(), np.uint8))
                 tokens = int(np.diff(first)[learn].sum())
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (block, tokens, int(learn.sum()), len(at), len(words))], names=["block", "tokens", "texts", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (block, tokens,
+                    int(learn.sum()), len(at), len(words))], names=["block", "tokens", "texts", "n", "words"])
 
     blocks = stored(rows.mapInArrow(tokenise, "block long, tokens long, texts long, n long, words long"), "lm-blocks")
     n_train, n_texts, n_tokens, n_words, n_blocks = (int(x or 0) for x in blocks.agg(*[F.sum(c) for c in ("tokens", "texts", "n", "words")], F.count("*")).first())
@@ -269,8 +274,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has a token
             ids = pa.ipc.open_stream(own.ids.tobytes()).read_all().column(0).combine_chunks()
             yield pa.RecordBatch.from_arrays([
-                ids, pa.array(~own.learn, pa.bool_()), pa.array(np.diff(first), pa.int64()), pa.array(add((own.train[1][at] > 0).astype(np.int64)), pa.int64()),
-                pa.array(np.full(len(first) - 1, n_train), pa.int64()), pa.array(add(machine.root[at]), pa.float64()), pa.array(add(machine.read(at, first)), pa.float64())],
+                ids, pa.array(~own.learn, pa.bool_()), pa.array(np.diff(first), pa.int64()),
+                pa.array(add((own.train[1][at] > 0).astype(np.int64)), pa.int64()),
+                pa.array(np.full(len(first) - 1, n_train), pa.int64()), pa.array(add(machine.root[at]), pa.float64()),
+                pa.array(add(machine.read(at, first)), pa.float64())],
                 names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return whole_blocks(blocks, found, n_blocks).mapInArrow(

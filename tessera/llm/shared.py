@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import discard, filesystem, keep, make_folder, scratch, shared_dir, stored, work_path
 
 __all__ = [
-    "components", "discard", "filesystem", "get_arrays", "keep", "keyed_blocks", "lower_ascii", "make_folder", "put_arrays", "scratch", "shared_dir", "stored", "work_path",
+    "components", "discard", "filesystem", "get_arrays", "keep", "keyed_blocks", "lower_ascii", "make_folder", "put_arrays", "scratch",
+    "shared_dir", "stored", "work_path",
 ]
 
 #: A-Z, and what they become; other letters stay as they are.
@@ -91,7 +92,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = step.join(jump, "low", "left").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("changed"))
+        new = step.join(jump, "low", "left").select("node", F.least("low", "far").alias("label"),
+            (F.least("low", "far") != F.col("label")).alias("changed"))
         path = work_path(spark, f"{name}-labels")
         new.write.parquet(path)
         discard(old)  # the labels of the round before

@@ -195,7 +195,8 @@ class Contexts:
         if raw is not None:
             sums = tb.prefix_sums(raw)
             self.key = tb.mix(tb.span_hashes(sums, place - low, place + length - high) + low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            self.ctx = tb.mix(tb.span_hashes(sums, begin, begin + count - 1 + length) + (place - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            self.ctx = tb.mix(tb.span_hashes(sums, begin,
+                begin + count - 1 + length) + (place - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def halved(self, chosen: np.ndarray, raw: np.ndarray, length: int) -> Contexts:
         """The chosen contexts in two parts each: windows with the anchor further on in them, and the others."""
@@ -237,7 +238,8 @@ class Block:
         x = get_arrays(f"{path}.anchors")
         zero = np.zeros(len(x["p"]), np.int64)
         self.ids = x["ids"]
-        self.anchors = Contexts(x["p"].astype(np.int64), x["p"] - x["a"].astype(np.int64), x["w"].astype(np.int64), zero, zero + (length - gram), x["owner"].astype(np.int64), None, x["key"])
+        self.anchors = Contexts(x["p"].astype(np.int64), x["p"] - x["a"].astype(np.int64), x["w"].astype(np.int64), zero,
+            zero + (length - gram), x["owner"].astype(np.int64), None, x["key"])
         self.texts = None
         self.rounds: list[tuple] = []
 
@@ -296,7 +298,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 place, hashes, first, last = block_anchors(raw, offsets, length, gram)
                 owner = np.searchsorted(offsets, place, "right") - 1
                 put_arrays(f"{folder}/{block}.anchors", key=hashes, owner=owner.astype(np.uint32), ids=ids,
-                           p=place.astype(np.int64 if len(raw) >> 31 else np.int32), a=(place - first).astype(np.int16), w=(last - first + 1).astype(np.int16))
+                           p=place.astype(np.int64 if len(raw) >> 31 else np.int32), a=(place - first).astype(np.int16),
+                           w=(last - first + 1).astype(np.int16))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(place)], pa.int64())], names=["block", "n"])
 
     blocks = stored(rows.mapInArrow(cut_blocks, "block long, n long"), "suffix-blocks")
@@ -365,7 +368,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                     rows = at[first[k : k + 4096]]
                     begin, count = now.begin[rows], now.count[rows]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(now.key[rows].view(np.int64)), pa.array(own.ids[now.doc[rows]]), pa.array(np.full(len(rows), block)), pa.array(begin), pa.array(np.full(len(rows), turn, np.int32)),
+                        pa.array(now.key[rows].view(np.int64)), pa.array(own.ids[now.doc[rows]]), pa.array(np.full(len(rows), block)),
+                        pa.array(begin), pa.array(np.full(len(rows), turn, np.int32)),
                         pa.array(now.ctx[rows].view(np.int64)), pa.array(copies[k : k + 4096]), pa.array(count),
                         pa.array([data[i : i + w - 1 + length] for i, w in zip(begin.tolist(), count.tolist(), strict=True)], pa.binary())],
                         names=["key", "d", "block", "p", "turn", "ctx", "copies", "w", "raw"])
@@ -390,7 +394,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 bits = b"" if flags is None else np.packbits(flags).tobytes() if flags.any() else None
                 out.append(None if bits is None else struct.pack("<qq", *name[k]) + bits)
             turns = pa.array(rows.column(4).to_numpy() + _FLAGS, pa.int32())
-            result = pa.RecordBatch.from_arrays([rows.column(2), turns, pa.array([0] * rows.num_rows, pa.int64()), pa.array(out, pa.binary())], names=["block", "order", "shard", "cell"])
+            result = pa.RecordBatch.from_arrays([rows.column(2), turns, pa.array([0] * rows.num_rows, pa.int64()),
+                pa.array(out, pa.binary())], names=["block", "order", "shard", "cell"])
             return result.filter(pa.array([x is not None for x in out]))
 
         held, size = [], 0
@@ -404,7 +409,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             yield done(held)
         tb.release()
 
-    met = whole_blocks(blocks, answers, n_blocks).mapInArrow(meeting, "key long, d long, block long, p long, turn int, ctx long, copies long, w long, raw binary")
+    met = whole_blocks(blocks, answers, n_blocks).mapInArrow(meeting,
+        "key long, d long, block long, p long, turn int, ctx long, copies long, w long, raw binary")
     flags = met.repartition("key").sortWithinPartitions("key", "d", "block", "p").mapInArrow(search, TO_BLOCK)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
@@ -425,7 +431,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                     some = order[(told & (DIFFER | MANY)) == DIFFER]
                     seen: set[tuple] = set()
                     more = []
-                    for x, name in zip(some.tolist(), zip(now.key[some].view(np.int64).tolist(), now.ctx[some].view(np.int64).tolist(), strict=True), strict=True):
+                    for x, name in zip(some.tolist(), zip(now.key[some].view(np.int64).tolist(),
+                            now.ctx[some].view(np.int64).tolist(), strict=True), strict=True):
                         again = keep == "first" and name in seen  # copies within the block
                         seen.add(name)
                         bits = b"" if again else flagged.get(name)
@@ -445,12 +452,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             data = raw.tobytes()
             stay = raw[~gone].tobytes()
             left = offsets - total[offsets]
-            parts = [stay[i:j] if g else data[p:q] for i, j, p, q, g in zip(left.tolist(), left[1:].tolist(), offsets.tolist(), offsets[1:].tolist(), removed.tolist(), strict=False)]
-            out = [pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array([hashlib.sha256(v).hexdigest() for v in parts], pa.string())]
+            parts = [stay[i:j] if g else data[p:q] for i, j, p, q,
+                g in zip(left.tolist(), left[1:].tolist(), offsets.tolist(), offsets[1:].tolist(), removed.tolist(), strict=False)]
+            out = [pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(np.diff(first), pa.int64()),
+                pa.array([hashlib.sha256(v).hexdigest() for v in parts], pa.string())]
             if cleaned:
                 out.append(pa.array([v.decode("utf-8", "ignore") for v in parts], pa.string()))
             for h in head:
-                yield pa.RecordBatch.from_arrays([*h.columns, *out], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["cleaned"] * cleaned])
+                yield pa.RecordBatch.from_arrays([*h.columns, *out],
+                    names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["cleaned"] * cleaned])
 
     return whole_blocks(blocks, [*answers, flags], n_blocks).mapInArrow(
         finish, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", cleaned string" * cleaned)

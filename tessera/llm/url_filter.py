@@ -96,7 +96,8 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ends = _intervals(rules).select(F.explode(F.array(
         F.struct(F.col("key").alias("key"), F.col("inside").alias("stack")),
         F.struct(F.concat(F.col("key"), end).alias("key"), F.col("outside").alias("stack")))).alias("e"))
-    ends = ends.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sweeps - 1).cast("long"))).alias("sweep"), "e.key", F.lit(0).alias("kind"), "e.stack")
+    ends = ends.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sweeps - 1).cast("long"))).alias("sweep"), "e.key",
+        F.lit(0).alias("kind"), "e.stack")
     both = points.unionByName(ends, allowMissingColumns=True)
     order = Window.partitionBy("sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("kind = 1")

@@ -34,14 +34,16 @@ LEVEL = 6
 SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 
 
-def record_bytes(kind: str, uri: str, page_id: str, payload: bytes, length: int, digest: str, refers: str | None, refers_uri: str | None, date: str) -> bytes:
+def record_bytes(kind: str, uri: str, page_id: str, payload: bytes, length: int, digest: str, refers: str | None,
+        refers_uri: str | None, date: str) -> bytes:
     """A WARC 1.1 record with an id of its own. A response has an HTTP head before its payload; digest and length are the payload's alone."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
     if kind == "warcinfo":
         body = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
         head.append("Content-Type: application/warc-fields")
     else:
-        head += [f"WARC-Target-URI: {uri}", f"X-Page-ID: {page_id}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}", "Content-Type: application/http; msgtype=response"]
+        head += [f"WARC-Target-URI: {uri}", f"X-Page-ID: {page_id}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}",
+            "Content-Type: application/http; msgtype=response"]
         body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
         if kind == "revisit":
             head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers}"]
@@ -133,7 +135,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     decided = rows.join(seen, "_digest", "left")
     later = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     decided = decided.select(
-        "_id", "_url", F.when(later, F.lit(None)).otherwise(F.col("_html")).alias("_html"), F.octet_length("_html").cast("long").alias("_len"), "_digest",
+        "_id", "_url", F.when(later, F.lit(None)).otherwise(F.col("_html")).alias("_html"),
+        F.octet_length("_html").cast("long").alias("_len"), "_digest",
         F.when(later, F.col("_first").cast("string")).alias("_refers"), F.when(later, F.col("_first_url")).alias("_refers_url"))
     archives = f"{folder}/archives"
     date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -146,7 +149,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         with system.open_output_stream(f"{name}.part", compression=None) as out:
             out.write(raw)
         system.move(f"{name}.part", name)
-        return pa.RecordBatch.from_arrays([pa.array([f"{archives}/{name.rpartition('/')[2]}"]), pa.array([len(records)], pa.int64()), pa.array([len(raw)], pa.int64())], names=["archive", "records", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array([f"{archives}/{name.rpartition('/')[2]}"]), pa.array([len(records)], pa.int64()),
+            pa.array([len(raw)], pa.int64())], names=["archive", "records", "bytes"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, size = [], 0
@@ -192,8 +196,10 @@ def read_warc(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                     if whole and hashlib.sha256(block).hexdigest() != digest:
                         raise ValueError(f"a payload in {path} isn't what its digest says")
                     rows.append({
-                        "page_id": fields["X-Page-ID"] or None, "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": fields.get("X-Refers-To-Page"),
-                        "payload_bytes": len(block) if whole else int(fields["X-Payload-Length"]), "payload_digest": digest, "payload": block.decode() if whole else None})
+                        "page_id": fields["X-Page-ID"] or None, "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"],
+                        "refers_to": fields.get("X-Refers-To-Page"),
+                        "payload_bytes": len(block) if whole else int(fields["X-Payload-Length"]), "payload_digest": digest,
+                        "payload": block.decode() if whole else None})
                     size += len(block)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(rows, kinds)

@@ -30,8 +30,10 @@ def brute(url, rules):
 
 RULES = [*url_filter.RULES, ("block", "a.b.example.net/en/x"), ("allow", "xample.net/"), ("block", "uk/")]
 URLS = [
-    "http://x.net/", "https://A.B.Example.NET/en/x1?q=/de/", "http://example.net", "http://example.net/en/", "http://notexample.com/de/", "http://sub.example.com/de/a#b", "http://example.com/fr/",
-    "ftp://z.org/fr/x", "http://org/fr/", None, "", "no scheme", "http://", "http:///path", "http://net", "http://a..net/", "http://u@x.net:80/", "x://y://z.net/", "http://é.net/" + "p" * 5000, "http://x.co.uk/", "http://x.net/", "http://a.net\n.org/fr/",
+    "http://x.net/", "https://A.B.Example.NET/en/x1?q=/de/", "http://example.net", "http://example.net/en/", "http://notexample.com/de/",
+    "http://sub.example.com/de/a#b", "http://example.com/fr/",
+    "ftp://z.org/fr/x", "http://org/fr/", None, "", "no scheme", "http://", "http:///path", "http://net", "http://a..net/",
+    "http://u@x.net:80/", "x://y://z.net/", "http://é.net/" + "p" * 5000, "http://x.co.uk/", "http://x.net/", "http://a.net\n.org/fr/",
 ]
 
 
@@ -40,7 +42,8 @@ def test_urls_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "URLS_PER_RULE", 1)
     rows = [(k if k % 4 else None, u) for k, u in enumerate(URLS)] * 2
     df = fixtures.with_extras(spark.createDataFrame(rows, "page_id long, url string"), "host", "path", "key", "kind", "rule")
-    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(df, url_filter.rules_frame(spark, RULES)).collect()), key=repr)
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(df,
+        url_filter.rules_frame(spark, RULES)).collect()), key=repr)
     assert got == sorted(((i, *brute(u, RULES)) for i, u in rows), key=repr)
 
 
@@ -55,7 +58,8 @@ def test_ties_of_rules(spark):
     """The same rule as allow and block is block; of equal lengths the longer host wins."""
     rules = url_filter.rules_frame(spark, [("allow", "a.org/"), ("block", "a.org/"), ("allow", "b.org/xyz"), ("block", "z.b.org/x")])
     urls = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://z.b.org/xyz")], "page_id long, url string")
-    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(urls, rules).collect()} == {1: ("a.org/", "block"), 2: ("z.b.org/x", "block")}
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(urls, rules).collect()} == {1: ("a.org/", "block"),
+        2: ("z.b.org/x", "block")}
 
 
 def test_url_plan_has_no_python(spark):
@@ -88,7 +92,8 @@ def test_pages_without_article():
 
 
 def test_extract_pages(spark):
-    df = fixtures.with_extras(spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string"), "text", "n_chars")
+    df = fixtures.with_extras(spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)],
+        "page_id long, url string, html string"), "text", "n_chars")
     rows = html_text.extract_pages(df).collect()
     assert sorted(r["n_chars"] for r in rows) == [0, rows[0]["n_chars"], rows[0]["n_chars"]] and len(rows) == 3
     assert html_text.extract_pages(df.limit(0)).isEmpty()
@@ -104,8 +109,10 @@ def test_language_of_held_out_documents(spark):
 
 
 def test_evidence_decides_where_text_does_not(spark):
-    rows = [(k, "the of and to in is that " * 5, "en", "a.example", 0) for k in range(30)] + [(100 + k, "der die und das ist nicht ein " * 5, "de", "b.example", 0) for k in range(30)]
-    rows += [(200, "", "de", "a.example", 0), (201, None, None, "b.example", 0), (202, "12345 67890 " * 5, "de", "b.example", 0), (203, "\u0001\u0002\u0003" * 200, "en", "a.example", 0)]
+    rows = [(k, "the of and to in is that " * 5, "en", "a.example", 0) for k in range(30)] + [(100 + k,
+        "der die und das ist nicht ein " * 5, "de", "b.example", 0) for k in range(30)]
+    rows += [(200, "", "de", "a.example", 0), (201, None, None, "b.example", 0), (202, "12345 67890 " * 5, "de", "b.example", 0),
+        (203, "\u0001\u0002\u0003" * 200, "en", "a.example", 0)]
     df = fixtures.with_extras(spark.createDataFrame(rows, fixtures.SCHEMA), "ll", "prior")
     got = {r["doc_id"]: r for r in language.identify_documents(df, language.train(df.where("doc_id < 200"))).collect()}
     assert got[0]["lang"] == "en" and got[100]["lang"] == "de"
@@ -119,7 +126,8 @@ def test_every_declared_language_counts(spark):
     names = [f"{a}{b}" for a in "abcdefg" for b in "klmnopqrst"]  # 70, each of an alphabet of its own
     text = lambda k: "".join(chr(0x4E00 + 40 * k + j) for j in range(40)) * 4
     rows = [(10 * k + j, text(k), x, "a.example", 0) for k, x in enumerate(names) for j in range(5)]
-    rows += [(5000 + j, text(200), "fi", "a.example", 0) for j in range(3)] + [(5010, "\u0001\u0002\u0003" * 200, None, "a.example", 0), (5011, "\u0001\u0002\u0003" * 200, "ak", "a.example", 0)]
+    rows += [(5000 + j, text(200), "fi", "a.example", 0) for j in range(3)] + [(5010, "\u0001\u0002\u0003" * 200, None, "a.example", 0),
+        (5011, "\u0001\u0002\u0003" * 200, "ak", "a.example", 0)]
     df = fixtures.frame(spark, rows)
     model = language.train(df.where("doc_id < 5010"))
     assert model[0] == sorted(names)
@@ -130,7 +138,8 @@ def test_every_declared_language_counts(spark):
 
 def test_archives_round_trip(spark):
     big, small = "<p>" + "same " * 50, "<p>tiny"
-    rows = [(5, "http://a/", big), (2, "http://b/", big), (9, None, big), (3, "c", small), (4, "d", small), (7, "e", None), (None, "f", big), (11, "g\r\nX: y", "é" * 5000), (2, "http://b/", big)]
+    rows = [(5, "http://a/", big), (2, "http://b/", big), (9, None, big), (3, "c", small), (4, "d", small), (7, "e", None),
+        (None, "f", big), (11, "g\r\nX: y", "é" * 5000), (2, "http://b/", big)]
     df = fixtures.with_extras(spark.createDataFrame(rows, "page_id long, url string, html string"), "_first", "_digest", "archive")
     manifest = warc.write_warc(df, work_path(spark, "t"))
     got = warc.read_warc(manifest).collect()

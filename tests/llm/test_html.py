@@ -32,7 +32,8 @@ PAGES = {
     "link lists of divs": ("<div>" + "".join(f"<div><a href='/{k}'>More about item {k}</a></div>" for k in range(8)) + f"</div><div><div>{ARTICLE}</div></div>", WHOLE),
     "nested": (f"<div><div><div>{LINKS}</div><div><section>{ARTICLE}</section></div></div></div>", WHOLE),
     "flat body": ("".join(f"<p><a href='/{k}'>Item {k}</a></p>" for k in range(5)) + p(*LONG) + "".join(f"<p><a href='/{k}'>Old item {k}</a></p>" for k in range(5)), LONG),
-    "short paragraphs stay": (f"<nav>{LINKS}</nav><article>{p(SHORT, *LONG[:2], SHORT, *LONG[2:], SHORT)}</article>", [SHORT, *LONG[:2], SHORT, *LONG[2:], SHORT]),
+    "short paragraphs stay": (f"<nav>{LINKS}</nav><article>{p(SHORT, *LONG[:2], SHORT, *LONG[2:], SHORT)}</article>",
+    [SHORT, *LONG[:2], SHORT, *LONG[2:], SHORT]),
     "short ends without article": (f"<ul>{LINKS}</ul><div>{p(SHORT, *LONG, SHORT)}</div>", [SHORT, *LONG, SHORT]),
     "advert inside": (f"<article>{p(*LONG[:2])}<div class='ad'>Buy salt now!</div>{p(*LONG[2:])}</article>", LONG),
     "advert before": (f"<body><div class='ad-banner'>Buy salt now, cheap!</div><div>{ARTICLE}</div></body>", WHOLE),
@@ -44,9 +45,11 @@ PAGES = {
     "script and style": (f"<style>p{{}}</style><article>{p(LONG[0])}<script>var a = '<p>no</p>';</script>{p(*LONG[1:])}</article>", LONG),
     "a class of other words": (f"<article>{p(LONG[0])}{p(LONG[1], kind=' class=social-history')}<div id=promotion-policy>{p(LONG[2])}</div><div class=comments-off>{p(LONG[3])}</div></article>", LONG),
     "a class around everything": (f"<div class='sidebar-left'><div>{ARTICLE}</div></div>", WHOLE),
-    "a table of words": (f"<div>{p(*LONG[:2])}<table><tr><td>Salt</td><td>12 barrels</td></tr></table>{p(*LONG[2:])}</div>", [*LONG[:2], "Salt 12 barrels", *LONG[2:]]),
+    "a table of words": (f"<div>{p(*LONG[:2])}<table><tr><td>Salt</td><td>12 barrels</td></tr></table>{p(*LONG[2:])}</div>",
+    [*LONG[:2], "Salt 12 barrels", *LONG[2:]]),
     "quotes and lists": (f"<article>{p(LONG[0])}<blockquote>{LONG[1]}</blockquote><ul><li>{LONG[2]}</li><li>{SHORT}</li></ul>{p(LONG[3])}</article>", [*LONG[:3], SHORT, LONG[3]]),
-    "references and white space": ("<article><p>Fish &amp; chips\n  &lt;3&nbsp;&#233;t&eacute;</p>" + p(*LONG) + "</article>", ["Fish & chips <3 été", *LONG]),
+    "references and white space": ("<article><p>Fish &amp; chips\n  &lt;3&nbsp;&#233;t&eacute;</p>" + p(*LONG) + "</article>",
+    ["Fish & chips <3 été", *LONG]),
     "links within prose": (f"<article>{p(LONG[0], LONG[1].replace('the ferry', '<a href=/f>the ferry</a>'), *LONG[2:])}</article>", LONG),
     "never closed": (f"<nav><ul>{LINKS}</ul></nav><article><p><b>{LONG[0]}<br><p>{LONG[1]}<p>{LONG[2]}", LONG[:3]),
     "share buttons": (f"<article>{ARTICLE}<div class='share-buttons'><a href='#'>Mail</a> Share this</div></article>", WHOLE),
@@ -70,8 +73,10 @@ def test_the_ratio_decides(monkeypatch):
 
 
 def test_table(spark):
-    rows = [(1, "http://a/", PAGES["article"][0]), (1, "http://a/", PAGES["article"][0]), (None, None, None), (2, "", ""), (3, "x", "<p>" + "word " * 200_000)]
+    rows = [(1, "http://a/", PAGES["article"][0]), (1, "http://a/", PAGES["article"][0]), (None, None, None), (2, "", ""),
+        (3, "x", "<p>" + "word " * 200_000)]
     df = fixtures.with_extras(spark.createDataFrame(rows, "page_id long, url string, html string"), "text", "n_chars")
     got = html_text.extract_pages(df).collect()
-    assert sorted((r["page_id"] or 0, len(r["text"]), r["n_chars"]) for r in got) == sorted([(1, *[len("\n\n".join(WHOLE))] * 2)] * 2 + [(0, 0, 0), (2, 0, 0), (3, 999_999, 999_999)])
+    assert sorted((r["page_id"] or 0, len(r["text"]), r["n_chars"]) for r in got) == sorted([(1,
+        *[len("\n\n".join(WHOLE))] * 2)] * 2 + [(0, 0, 0), (2, 0, 0), (3, 999_999, 999_999)])
     assert html_text.extract_pages(df.limit(0)).isEmpty()

@@ -54,7 +54,8 @@ def brute(rows, langs, logs):
     return out
 
 
-TEXTS = {"en": "the of and to in is that it was for ", "de": "der die und das ist nicht ein auch mit sich ", "fr": "le la les et est une dans que pour des "}
+TEXTS = {"en": "the of and to in is that it was for ", "de": "der die und das ist nicht ein auch mit sich ",
+    "fr": "le la les et est une dans que pour des "}
 
 
 def documents():
@@ -63,8 +64,11 @@ def documents():
         words = text.split()
         for k in range(25):
             body = " ".join(words[(k * j + n) % len(words)] for j in range(3 + k))
-            rows.append((100 * n + k, body, ["en", "de", "fr"][(n + (k % 9 == 0)) % 3] if k % 7 else None, f"{'abc'[k % 3]}.{['x', 'y'][k % 2]}.{['org', 'de', 'fr'][n]}", 0))
-    rows += [(900, "", "de", "a.x.de", 0), (901, None, None, "", 0), (902, None, "fi", None, 0), (903, "\u0001\u0002" * 300, "en", "a.x.org", 0), (904, "\u0001\u0002" * 300, "fi", "a.x.org", 0), (905, "the und le " * 9, "EN-us", "b.x.fr", 0)]
+            rows.append((100 * n + k, body, ["en", "de", "fr"][(n + (k % 9 == 0)) % 3] if k % 7 else None,
+                f"{'abc'[k % 3]}.{['x', 'y'][k % 2]}.{['org', 'de', 'fr'][n]}", 0))
+    rows += [(900, "", "de", "a.x.de", 0), (901, None, None, "", 0), (902, None, "fi", None, 0),
+        (903, "\u0001\u0002" * 300, "en", "a.x.org", 0), (904, "\u0001\u0002" * 300, "fi", "a.x.org", 0),
+        (905, "the und le " * 9, "EN-us", "b.x.fr", 0)]
     return rows
 
 
@@ -89,7 +93,8 @@ def test_pages_equal_the_formula(spark):
     pages, plain = [], []
     for k, (i, t, x, s, _) in enumerate(rows):
         head = "" if x is None else f" class=a lang='{x}'"
-        pages.append((i, f"https://{s}/p?q" if s else None, None if t is None else f"<!DOCTYPE html><HTML{head}><script>der die das</script><!-- le la --><p>{html.escape(t)}</p><b>&amp;{k}</b></HTML>"))
+        pages.append((i, f"https://{s}/p?q" if s else None,
+            None if t is None else f"<!DOCTYPE html><HTML{head}><script>der die das</script><!-- le la --><p>{html.escape(t)}</p><b>&amp;{k}</b></HTML>"))
         text = "" if t is None else language._TAGS.sub(" ", pages[-1][2])
         plain.append((i, html.unescape(text), None if x is None or t is None else x.split("-")[0].lower(), s or ""))
     df = fixtures.with_extras(spark.createDataFrame([*pages, (None, None, None)], "page_id long, url string, html string"), "lang", "source", "text")

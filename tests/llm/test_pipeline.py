@@ -53,7 +53,8 @@ def test_stages_in_order(spark, tmp_path):
 def test_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path):
     """A copy goes by its own text: other rows of its id stay."""
     a, b, c, d = (" ".join(fixtures.words(__import__("random").Random(k), 90)) for k in range(4))
-    rows = [(1, a, "en", "s", 0), (None, a, "en", "s", 0), (None, b, "en", "s", 0), (None, b, "en", "s", 0), (5, c, "en", "s", 0), (7, c + " end", "en", "s", 0), (7, d, "en", "s", 0), (7, d, "en", "s", 0), (None, None, None, None, None)]
+    rows = [(1, a, "en", "s", 0), (None, a, "en", "s", 0), (None, b, "en", "s", 0), (None, b, "en", "s", 0), (5, c, "en", "s", 0),
+        (7, c + " end", "en", "s", 0), (7, d, "en", "s", 0), (7, d, "en", "s", 0), (None, None, None, None, None)]
     docs = fixtures.frame(spark, rows)
     spark.createDataFrame([(1, "none of these words at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     stages = dict(corpus_pipeline.STAGES)

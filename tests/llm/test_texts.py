@@ -126,7 +126,8 @@ def test_trie_walk_joins_all_links():
 
 def test_groups_of_nothing_and_of_repeated_rows(spark):
     assert groups_of(fixtures.frame(spark, [])) == {}
-    rows = [(1, "a b c d e f g", "en", "s", 0)] * 3 + [(1, "quite another text of more words than that", "en", "s", 0), (None, "a b c d e f g", "en", "s", 0)]
+    rows = [(1, "a b c d e f g", "en", "s", 0)] * 3 + [(1, "quite another text of more words than that", "en", "s", 0),
+        (None, "a b c d e f g", "en", "s", 0)]
     got = [(r["doc_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in jaccard_join.jaccard_groups(fixtures.frame(spark, rows)).collect()]
     assert sorted(got, key=repr) == sorted([(1, 1, 4, 0)] * 3 + [(None, 1, 4, 0), (1, 1, 1, 0)], key=repr)
 
@@ -159,7 +160,8 @@ def brute_dedup(rows, keep, length=200):
 @pytest.mark.parametrize("keep", ["none", "first"])
 @pytest.mark.parametrize(("meet", "block"), [(4096, 2 << 20), (1, 2 << 20), (2, 4000)])
 def test_dedup_equals_brute_force(spark, keep, meet, block):
-    rows = [*fixtures.documents(), (500, "ab" * 300, "en", "s", 0), (501, "é" * 150 + "x" * 220, "en", "s", 0), (502, "z" * 199, "en", "s", 0), (503, "z" * 199, "en", "s", 0)]
+    rows = [*fixtures.documents(), (500, "ab" * 300, "en", "s", 0), (501, "é" * 150 + "x" * 220, "en", "s", 0),
+        (502, "z" * 199, "en", "s", 0), (503, "z" * 199, "en", "s", 0)]
     passage = rows[0][1][-150:] + " " + "shared passage of all documents, cut off everywhere, " * 6
     rows += [(600 + k, f"{k} " * (k % 7) + passage[k % 5 : len(passage) - k % 11] + f" end {k}", "en", "s", 0) for k in range(30)]
     df = fixtures.with_extras(fixtures.frame(spark, rows), "key", "ctx", "n_bytes", "block").repartition(3)
@@ -183,7 +185,8 @@ def test_dedup_of_null_ids_repeated_rows_and_ids_of_letters(spark):
 @pytest.mark.parametrize("length", [3, 6, 11, 40])
 def test_previous_factors_equal_brute_force(length):
     rng = np.random.default_rng(length)
-    for raw in (np.frombuffer(b"banana bandana banana banana bandana bananas", np.uint8), rng.integers(97, 99, 300).astype(np.uint8), np.zeros(90, np.uint8)):
+    for raw in (np.frombuffer(b"banana bandana banana banana bandana bananas", np.uint8),
+            rng.integers(97, 99, 300).astype(np.uint8), np.zeros(90, np.uint8)):
         starts = np.arange(len(raw) - length + 1)
         text = raw.tobytes()
         order, common = suffix_dedup.suffix_array(raw, starts, length)
@@ -221,7 +224,8 @@ def test_bpe_query(spark):
     lists = {r["doc_id"]: r["ids"] for r in coded.collect()}
     for r in bpe.digests(df).collect():
         ids = lists[r["doc_id"]]
-        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back[r["doc_id"]].encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids),
+            hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back[r["doc_id"]].encode()).hexdigest())
     assert bpe.digests(df.limit(0)).isEmpty()
     assert all(r["exact"] for r in bpe.tokenise(df, ["doc_id"]).collect())
 
@@ -249,10 +253,13 @@ def brute_hits(rows, items):
 def test_decontamination_equals_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rows = fixtures.documents()
-    rows += [(900 + k, f"Before {t} after", "en", "s", 0) for k, t in enumerate([rows[1][1].upper(), "One-TWO", "one two", rows[2][1], rows[2][1] + " " + rows[2][1]])]
-    items = [(1, rows[1][1]), (2, rows[2][1]), (3, "one two"), (4, "one two"), (5, None), (6, "..."), (None, rows[3][1]), (2, rows[2][1]), (7, "solo"), (8, rows[5][1][:300])]
+    rows += [(900 + k, f"Before {t} after", "en", "s", 0) for k,
+        t in enumerate([rows[1][1].upper(), "One-TWO", "one two", rows[2][1], rows[2][1] + " " + rows[2][1]])]
+    items = [(1, rows[1][1]), (2, rows[2][1]), (3, "one two"), (4, "one two"), (5, None), (6, "..."), (None, rows[3][1]), (2, rows[2][1]),
+        (7, "solo"), (8, rows[5][1][:300])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: r for r in decontaminate.decontaminate(fixtures.with_extras(fixtures.frame(spark, rows), "items", "n_hit", "_whole"), bench).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(fixtures.with_extras(fixtures.frame(spark, rows),
+        "items", "n_hit", "_whole"), bench).collect()}
     want = brute_hits(rows, items)
     assert {k: (r["n_words"], r["n_hit"], r["items"]) for k, r in got.items()} == want and sum(n for _, n, _ in want.values())
     assert got[901]["cleaned"] == "Before  after" and brute_hits([(0, got[900]["cleaned"])], items)[0][1] == 0
@@ -308,11 +315,13 @@ def test_scores_equal_brute_force(spark):
     scores, _, count = brute_scores([(not held(i), ws) for i, ws in tokens])
     n, v = sum(count.values()), len(count)
     base = [sum(math.log10((count[w] + .1) / (n + .1 * (v + 1))) for w in ws) for _, ws in tokens]
-    want = sorted(((i, held(i), len(ws), sum(count[w] > 0 for w in ws), n, round(b, 6), round(s, 6)) for (i, ws), b, s in zip(tokens, base, scores, strict=True)), key=repr)
+    want = sorted(((i, held(i), len(ws), sum(count[w] > 0 for w in ws), n, round(b, 6), round(s, 6)) for (i, ws), b,
+        s in zip(tokens, base, scores, strict=True)), key=repr)
     df = fixtures.with_extras(fixtures.frame(spark, rows), "i", "h", "t", "score")
     for block, shard in ((8 << 20, 1_000_000), (2000, 500)):
         got = ngram_lm.score_documents(df, block_bytes=block, shard_keys=shard).collect()
-        assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got), key=repr) == want
+        assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"],
+            round(r["base_score"], 6), round(r["score"], 6)) for r in got), key=repr) == want
     assert ngram_lm.score_documents(df.limit(0)).isEmpty()
 
 
@@ -408,7 +417,8 @@ def brute_likeness(p, q, x, y):
 @pytest.mark.parametrize("ids", ["long", "string"])
 def test_fingerprints_equal_brute_force(spark, monkeypatch, ids):
     monkeypatch.setattr(imatch, "RANGE_DOCS", 7)  # many ranges
-    rows = [*fixtures.documents(), (300, "Ünïted Käse 漢字 w1 w2 " + fixtures.documents()[2][1], "de", "s", 0), (301, "käse 漢字 ünïted", "de", "s", 0), (None, "w1 w2 of a null id", "en", "s", 0), (None, None, "en", "s", 0), (5, "w1 again", "en", "s", 0)]
+    rows = [*fixtures.documents(), (300, "Ünïted Käse 漢字 w1 w2 " + fixtures.documents()[2][1], "de", "s", 0),
+        (301, "käse 漢字 ünïted", "de", "s", 0), (None, "w1 w2 of a null id", "en", "s", 0), (None, None, "en", "s", 0), (5, "w1 again", "en", "s", 0)]
     if ids == "string":
         rows = [(None if r[0] is None else r[0] + 1000, *r[1:]) for r in rows]  # in the same order as strings
     want, texts = edited_text(rows), [r[1] or "" for r in rows]
