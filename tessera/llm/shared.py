@@ -12,10 +12,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, filesystem, keep, make_folder, scratch, shared_dir, stored, work_path
+from ..sources.scratch import discard, filesystem, make_folder, scratch, shared_dir, stored, work_path
 
 __all__ = [
-    "components", "discard", "filesystem", "get_arrays", "keep", "keyed_blocks", "lower_ascii", "make_folder", "put_arrays", "scratch",
+    "components", "discard", "filesystem", "get_arrays", "keyed_blocks", "lower_ascii", "make_folder", "put_arrays", "scratch",
     "shared_dir", "stored", "work_path",
 ]
 
