@@ -76,11 +76,6 @@ def scratch() -> Iterator[None]:
         discard(_written - before)
 
 
-def keep(path: str) -> None:
-    """From now on the caller owns what is written there."""
-    _written.discard(path)
-
-
 @atexit.register
 def _clean() -> None:
     discard(set(_written))
