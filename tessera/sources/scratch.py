@@ -18,6 +18,8 @@ def filesystem(uri: str):
     """The file system of a place, and the place in it."""
     from pyarrow import fs
 
+    if uri.startswith("file:/") and not uri.startswith("file://"):  # as Hadoop writes it
+        uri = "file://" + uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file://{uri}")
 
 
