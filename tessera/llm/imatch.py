@@ -153,7 +153,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     cut = F.floor(F.char_length("_text") / 3).cast("int")
     none = F.array().cast("array<bigint>")
-    rows = deal(base).repartition("bucket").withColumn("next", F.coalesce(F.lead("_text").over(_by_order()), F.lit("")))
+    # The condition, always true, is one that the planner adds for one of the two uses: with it both read the same exchange.
+    rows = deal(base).where(F.col("bucket").isNotNull()).repartition("bucket").withColumn("next", F.coalesce(F.lead("_text").over(_by_order()), F.lit("")))
     rows = rows.withColumn("edited", F.concat(F.left("_text", F.char_length("_text") - cut), F.left("next", cut)))
 
     # Terms to drop in each range, besides the frequent ones: with MIN_DF 2, a term of too few documents has one, or is in none. The latter
