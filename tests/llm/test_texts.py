@@ -63,6 +63,7 @@ def test_split_buckets_and_tiles_change_nothing(spark, monkeypatch):
     want = brute_groups(rows)
     monkeypatch.setattr(jaccard_join, "BUCKET", 8)
     monkeypatch.setattr(jaccard_join, "TILE", 8)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     assert groups_of(fixtures.frame(spark, rows)) == want
 
 
