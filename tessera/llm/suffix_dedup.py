@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +30,9 @@ from .exchange import TO_BLOCK, answered, by_block, cell_schema, cells, unpacked
 from .shared import get_arrays, make_folder, put_arrays, stored
 
 #: Bytes of a repeated string; of an anchor's hash; most contexts of a core that meet; bytes in a suffix array; in a block.
-LENGTH, GRAM, MEET, ARRAY_BYTES, BLOCK_BYTES = 200, 32, 4096, 256 << 10, 2 << 20
+LENGTH, GRAM, MEET, ARRAY_BYTES, BLOCK_BYTES = 200, 32, 2048, 256 << 10, 1 << 20
 #: Bytes of text that are worked on at a time; cores that meet in a shard, as an upper bound of the mean.
-CACHE_BYTES, SHARD_KEYS = 1 << 20, 1_000_000
+CACHE_BYTES, SHARD_KEYS = 512 << 10, 400_000
 #: Places within a text are told apart by so many bits when hashes are equal.
 _PLACE_BITS = 28
 #: What a shard answers on a core: it is repeated; its contexts differ; they are too many to meet; the block has its first context.
@@ -400,11 +400,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
         held, size = [], 0
         for b in _runs(batches, 0):
-            held.append(b)
-            size += b.column(8).nbytes
-            if size >= ARRAY_BYTES:
-                yield done(held)
-                held, size = [], 0
+            key, at = b.column(0).to_numpy(), np.concatenate([[0], np.cumsum(pc.binary_length(b.column(8)).to_numpy())])
+            edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for i, j in zip(edge, edge[1:], strict=False):  # a core at a time
+                held.append(b.slice(i, j - i))
+                size += int(at[j] - at[i])
+                if size >= ARRAY_BYTES:
+                    yield done(held)
+                    held, size = [], 0
         if held:
             yield done(held)
         tb.release()
