@@ -17,8 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` but those of ``gone`` (doc_id and a hash of the text). Written first: a few rows are then a broadcast, by size."""
+    """Rows of ``docs`` but those of ``gone`` (doc_id and a hash of the text). Written and counted first: up to ``BROADCAST_ROWS`` of them go to
+    the texts, whatever size the session broadcasts by itself; more of them meet the texts by sorting, which moves each text once."""
     gone = stored(gone.toDF("_id", "_hash").distinct(), "gone")
+    gone = gone.hint("broadcast" if gone.count() <= jaccard_join.BROADCAST_ROWS else "merge")
     key = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
     return docs.join(gone, key, "left_anti").select(*COLUMNS)
 

@@ -72,3 +72,20 @@ def test_empty_input(spark, tmp_path):
     fixtures.frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_few_rows_that_go_never_move_the_texts(spark, monkeypatch):
+    """Whatever the session broadcasts by itself: the join is chosen by the number of rows, with the same result."""
+    docs = spark.createDataFrame([(k if k % 5 else None, f"text {k}", "en", "s", 6) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    gone = docs.where("doc_id % 2 = 0 or text = 'text 10'").selectExpr("doc_id", "xxhash64(text)")
+    want = sorted((f"text {k}" for k in range(60) if k != 10 and not (k % 5 and k % 2 == 0)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows, join in ((1000, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(corpus_pipeline.jaccard_join, "BROADCAST_ROWS", rows)
+            kept = corpus_pipeline._without(docs, gone)
+            assert sorted(r["text"] for r in kept.collect()) == want
+            assert join in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
