@@ -140,7 +140,7 @@ def knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the exact hits that each approximate index finds, with the parameters of the queries above."""
     queries, corpus = derive.queries_and_corpus(spark, sf_dir)
-    exact = knn.knn(queries, corpus, TOP_K)
+    exact = stored(knn.knn(queries, corpus, TOP_K), "exact")  # what each index is held against
     out = None
     for name, found in (("ivf", _ivf(spark, sf_dir)), ("hnsw", knn_ann(spark, sf_dir)), ("ivfpq", knn_ivfpq(spark, sf_dir))):
         row = ann.recall(found, exact).select(F.lit(name).alias("index"), "n", F.round("recall", 6).alias("recall"))

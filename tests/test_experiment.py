@@ -212,6 +212,23 @@ def test_recall_of_the_registered_indexes(spark, sf):
     assert set(rows) == {"ivf", "hnsw", "ivfpq"} and min(rows.values()) >= .9
 
 
+def test_recall_searches_exactly_once(spark, monkeypatch):
+    rows, search = spark.sparkContext.accumulator(0), knn.knn
+
+    def counted(*args, **kwargs):
+        found = search(*args, **kwargs)
+
+        def see(batches):
+            for b in batches:
+                rows.add(b.num_rows)
+                yield b
+        return found.mapInArrow(see, found.schema)
+
+    monkeypatch.setattr(catalog_rank.knn, "knn", counted)
+    recalls = catalog_rank.index_recall(spark, "/root/testdata/sf0.001").collect()
+    assert {r["n"] for r in recalls} == {rows.value}
+
+
 @pytest.mark.parametrize("n", [1, 5, 255, 256, 1000])
 def test_filter_by_blocks_equals_the_recurrence(n):
     sections = signal.butter_sections(.1, .5, 4)
